@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .op3_sharding import op3_jump_shards
+from .op9_packing import op9_shortest_pack_first
 
-QUERIES = {"op3_jump_shards": op3_jump_shards}
+QUERIES = {"op3_jump_shards": op3_jump_shards, "op9_shortest_pack_first": op9_shortest_pack_first}
 ORACLE_SQL: dict[str, str] = {}
