@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from . import op6_substring
 from .op3_sharding import op3_jump_shards
+from .op6_substring import op6_count_min_windows
 from .op9_packing import op9_shortest_pack_first
 
-QUERIES = {"op3_jump_shards": op3_jump_shards, "op9_shortest_pack_first": op9_shortest_pack_first}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op3_jump_shards": op3_jump_shards,
+    "op6_count_min_windows": op6_count_min_windows,
+    "op9_shortest_pack_first": op9_shortest_pack_first,
+}
+ORACLE_SQL: dict[str, str] = {"op6_count_min_windows": op6_substring.ORACLE}
