@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from . import op6_substring
+from .op2_dartminhash import op2_dartminhash
 from .op3_sharding import op3_jump_shards
 from .op6_substring import op6_count_min_windows
 from .op9_packing import op9_shortest_pack_first
 
 QUERIES = {
+    "op2_dartminhash": op2_dartminhash,
     "op3_jump_shards": op3_jump_shards,
     "op6_count_min_windows": op6_count_min_windows,
     "op9_shortest_pack_first": op9_shortest_pack_first,
