@@ -11,8 +11,8 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from array import array
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut, gapless, read, utf8_slices
@@ -24,23 +24,39 @@ BROADCAST_INTERVALS = 100_000
 
 
 class WordIds(dict):
-    """Packed little-endian ids of words, remembered up to a bounded number of words.
+    """Packed little-endian ids of words in lower case, remembered up to a bounded number of words.
 
-    The tokenizer's pieces never hold white space, so a text's ids are its words' ids in a row.
+    The tokenizer's pieces never hold white space, so a text's ids are its words' ids in a row. Two generations are
+    kept: a word that is met again while it is in the old one moves to the new one.
     """
 
-    def __init__(self, tokenizer_file: str, most: int = 300_000):
+    def __init__(self, tokenizer_file: str, most: int = 350_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(tokenizer_file), most
+        self.tokenizer, self.most, self.old = Tokenizer.from_file(tokenizer_file), most, {}
+        self.model = self.tokenizer.model
+        self.marks = {x: self.encode(x) for x in (b",", b".")}
+
+    def encode(self, text: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+
+    def ids(self, word: bytes) -> bytes:
+        if word.isalpha() and word.islower():  # ASCII letters are one pre-token
+            return array("I", [x.id for x in self.model.tokenize(word.decode())]).tobytes()
+        if word[-1:] in self.marks and word[-2:-1].isalpha():  # a letter and a mark never share a pre-token
+            return self[word[:-1]] + self.marks[word[-1:]]
+        return self.encode(word)
 
     def __missing__(self, word: bytes) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = self.ids(word)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        got = self[word] = np.array(ids, "<u4").tobytes()
+        self[word] = got
         return got
 
 
@@ -51,8 +67,12 @@ def text_ids(text: bytes | None, tokenizer_file: str) -> bytes:
     """Packed ids of a UTF-8 text, then END_ID."""
     if tokenizer_file not in _IDS:
         _IDS[tokenizer_file] = WordIds(tokenizer_file)
-    words = _IDS[tokenizer_file]
-    return b"".join(map(words.__getitem__, (text or b"").split())) + END_ID.to_bytes(4, "little")
+    words, text = _IDS[tokenizer_file], text or b""
+    if b"<|" in text:  # perhaps a special token, which only counts in lower case
+        ids = words.encode(text)
+    else:  # the tokenizer puts all in lower case; ASCII first makes no difference
+        ids = b"".join(map(words.__getitem__, text.lower().split()))
+    return ids + END_ID.to_bytes(4, "little")
 
 
 def default_tokenizer() -> str:
