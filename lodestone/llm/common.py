@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: Rows that are turned into Python objects at a time.
 SLICE_ROWS = 256
+SLICE_BYTES = 4_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,13 +25,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def utf8_slices(batch, column: str = "text"):
-    """(first row, list of bytes or None) for slices of an Arrow batch's string column; no text is decoded."""
+    """(first row, list of bytes or None) for slices of an Arrow batch's string column, of at most SLICE_ROWS rows and,
+    if of more than one row, SLICE_BYTES; no text is decoded."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     texts = batch.column(column)
     texts = texts.cast(pa.large_binary()) if pa.types.is_large_string(texts.type) else texts.cast(pa.binary())
-    for at in range(0, len(texts), SLICE_ROWS):
-        yield at, texts.slice(at, SLICE_ROWS).to_pylist()
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        n = int(np.searchsorted(ends[at : at + SLICE_ROWS], before + SLICE_BYTES, "right"))
+        n = max(1, n)
+        yield at, texts.slice(at, n).to_pylist()
+        at += n
 
 
 def splits(df: DataFrame, column: str, n: int) -> list[int]:

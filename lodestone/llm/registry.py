@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import op6_substring
 from .op2_dartminhash import op2_dartminhash
 from .op3_sharding import op3_jump_shards
+from .op4_ctw import op4_context_tree
 from .op6_substring import op6_count_min_windows
 from .op7_pii import op7_semi_markov
 from .op8_language import op8_rank_order
@@ -13,6 +14,7 @@ from .op9_packing import op9_shortest_pack_first
 QUERIES = {
     "op2_dartminhash": op2_dartminhash,
     "op3_jump_shards": op3_jump_shards,
+    "op4_context_tree": op4_context_tree,
     "op6_count_min_windows": op6_count_min_windows,
     "op7_semi_markov": op7_semi_markov,
     "op8_rank_order": op8_rank_order,
