@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op6_substring
+from . import op5_threshold, op6_substring
 from .op2_dartminhash import op2_dartminhash
 from .op3_sharding import op3_jump_shards
 from .op4_ctw import op4_context_tree
+from .op5_threshold import op5_threshold_topk
 from .op6_substring import op6_count_min_windows
 from .op7_pii import op7_semi_markov
 from .op8_language import op8_rank_order
@@ -15,9 +16,10 @@ QUERIES = {
     "op2_dartminhash": op2_dartminhash,
     "op3_jump_shards": op3_jump_shards,
     "op4_context_tree": op4_context_tree,
+    "op5_threshold_topk": op5_threshold_topk,
     "op6_count_min_windows": op6_count_min_windows,
     "op7_semi_markov": op7_semi_markov,
     "op8_rank_order": op8_rank_order,
     "op9_shortest_pack_first": op9_shortest_pack_first,
 }
-ORACLE_SQL: dict[str, str] = {"op6_count_min_windows": op6_substring.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_threshold_topk": op5_threshold.ORACLE, "op6_count_min_windows": op6_substring.ORACLE}
