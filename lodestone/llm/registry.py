@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import op5_threshold, op6_substring
 from .op1_adaptive_scan import op1_adaptive_scan
+from .op10_sentencepiece import op10_shared_prefix
 from .op2_dartminhash import op2_dartminhash
 from .op3_sharding import op3_jump_shards
 from .op4_ctw import op4_context_tree
@@ -15,6 +16,7 @@ from .op9_packing import op9_shortest_pack_first
 
 QUERIES = {
     "op1_adaptive_scan": op1_adaptive_scan,
+    "op10_shared_prefix": op10_shared_prefix,
     "op2_dartminhash": op2_dartminhash,
     "op3_jump_shards": op3_jump_shards,
     "op4_context_tree": op4_context_tree,
