@@ -6,7 +6,7 @@ coordinate; the earliest dart of each coordinate is the signature, so coordinate
 weighted Jaccard similarity. Only the darts below a rank limit, about k ln k + 2 k for a document, are thrown.
 
 Bands of coordinates propose pairs. Equal word sequences are merged first. In each bucket every member is compared
-with the bucket's least member; what that leaves in different components of one bucket is compared in full, so no
+with the bucket's most central member; what that leaves in different components of one bucket is compared in full, so no
 proposed pair that could join two components is skipped. Every proposed pair is checked by its exact similarity.
 """
 
@@ -191,9 +191,14 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shin
     copies = signed.select("doc_id", "h1", "h2").join(least, ["h1", "h2"]).select("doc_id", "rep")
     reps = signed.join(least, ["h1", "h2"]).filter("doc_id = rep").dropDuplicates(["rep"])
     members = reps.select("rep", F.explode("bands").alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    shared = cut(members.join(hubs, "bucket"))  # of buckets with more than one text
-    star = cut(shared.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = cut(members.join(sizes, "bucket"))  # of buckets with more than one text
+    # the hub of a bucket is its most central member: of texts that come from one source, the source is in most buckets
+    central = shared.groupBy("rep").agg(F.sum("n").alias("central")).withColumnRenamed("rep", "of")
+    weighed = shared.join(central, F.col("rep") == F.col("of")).select("bucket", F.struct("central", (-F.col("rep")).alias("id")).alias("m"))
+    hubs = weighed.groupBy("bucket").agg((-F.max("m")["id"]).alias("hub"))
+    met = shared.join(hubs, "bucket").filter("rep <> hub")
+    star = cut(met.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct())
     links = cut(_verified(docs, star, similarity, shingle).select("a", "b"))
     roots = cut(connected_components(links))
     # what is left: pairs of one bucket in different components
