@@ -5,17 +5,18 @@ w unit regions, and hashed darts arrive in a region at unit rate. A dart carries
 coordinate; the earliest dart of each coordinate is the signature, so coordinates agree with probability equal to the
 weighted Jaccard similarity. Only the darts below a rank limit, about k ln k + 2 k for a document, are thrown.
 
-Bands of coordinates propose pairs. Equal word sequences are merged first. In each bucket every member is compared
-with the bucket's most central member; what that leaves in different components of one bucket is compared in full, so no
-proposed pair that could join two components is skipped. Every proposed pair is checked by its exact similarity.
+Bands of coordinates propose pairs. Equal word sequences are merged first. In each bucket every member is compared with
+the bucket's most central member, then with drawn members of other components. What is left in different components
+of one bucket goes through an exact prefix join over rare regions, so no link that could join two components is lost
+and no group is expanded into all its pairs. Every proposed pair is checked by its exact similarity.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import cut, mix64, read, utf8_slices, word_hashes
+from .common import cut, mix64, read, rewritten, utf8_slices, word_hashes
 from .components import connected_components
 from .op6_substring import run_hashes
 
@@ -26,6 +27,8 @@ BANDS, BAND_ROWS = 36, 7
 FEW_REGIONS = 64
 #: Bits of the filter of documents that occur in a proposed pair; it holds 8 MB whatever the corpus.
 FILTER_BITS = 26
+#: Rounds in which each member of a bucket meets one drawn member of another component.
+TURNS = 2
 
 _COPY, _DART, _BAND = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -134,11 +137,10 @@ def signature_table(docs: DataFrame, bands: int, rows: int, shingle: int = SHING
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, h1 long, h2 long, bands array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Those of pairs (a, b) whose exact similarity is enough. Region keys travel only for documents in a pair."""
+def region_table(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, keys): packed regions of the documents in ids (id) and of few others, which a filter of fixed size lets pass."""
     spark, size = docs.sparkSession, 1 << FILTER_BITS
     slot = F.pmod(F.xxhash64("id"), F.lit(size))
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
     made = ids.select(F.shiftright(slot, 15).alias("part"), (slot.bitwiseAND(F.lit(32767))).alias("bit")).groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
     table = np.zeros((size >> 15, 4096), np.uint8)
     for r in made.collect():  # at most 2^FILTER_BITS bits
@@ -158,19 +160,23 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "keys"])
 
     source = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").withColumn("slot", slot)
-    keys = source.mapInArrow(pack, "id long, keys binary").dropDuplicates(["id"])
+    return source.mapInArrow(pack, "id long, keys binary").dropDuplicates(["id"])
+
+
+def verified(pairs: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose exact similarity is enough, with it."""
 
     def compare(batches):
         import pyarrow as pa
 
         for batch in batches:
             a, b, left, right = (batch.column(c) for c in ("a", "b", "left", "right"))
-            last, keys = None, None
+            last, own = None, None
             out = []
             for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist())):
                 if x != last:
-                    last, keys = x, np.frombuffer(left[i].as_py(), np.uint64)
-                s = jaccard(keys, np.frombuffer(right[i].as_py(), np.uint64))
+                    last, own = x, np.frombuffer(left[i].as_py(), np.uint64)
+                s = jaccard(own, np.frombuffer(right[i].as_py(), np.uint64))
                 if s >= similarity:
                     out.append((x, y, s))
             if out:
@@ -180,6 +186,53 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int
     return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long, similarity double")
 
 
+def _with_roots(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, rep, root) of the buckets that hold more than one component."""
+    placed = shared.join(roots, shared["rep"] == roots["id"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
+    return placed.join(mixed, "bucket", "left_semi")
+
+
+def _drawn_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """Each member of a mixed bucket with one drawn member, if that is of another component: no more pairs than rows."""
+    drawn = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "rep", F.lit(turn)).alias("h"), "rep", "root")).alias("hub"))
+    met = placed.join(drawn.select("bucket", F.col("hub")["rep"].alias("hub"), F.col("hub")["root"].alias("hub_root")), "bucket").filter("root <> hub_root")
+    return met.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+
+
+def _prefix_pairs(placed: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
+    """Every pair of different components that may be similar enough, among the texts of mixed buckets: a prefix join.
+
+    With regions in one order, rare ones first, two sets of n and m regions that share at least
+    o = ceil(similarity / (1 + similarity) * (n + m)) have a region in common among the first n - o + 1 and m - o + 1.
+    Members of a region's largest component are only compared with the others.
+    """
+    roots = placed.select(F.col("rep").alias("id"), "root").distinct()
+
+    def unpack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [np.frombuffer(k, np.int64) for k in part.column("keys").to_pylist()]
+                size = np.array([len(k) for k in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(c).to_numpy(), size)) for c in ("id", "root")] + [pa.array(np.repeat(size, size)), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["id", "root", "n", "region"])
+
+    rows = keys.join(roots, "id").select("id", "root", "keys").mapInArrow(unpack, "id long, root long, n long, region long")
+    often = rows.groupBy("region").agg(F.count(F.lit(1)).alias("f"))
+    ordered = rows.join(often, "region").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("f", "region")))
+    prefix = cut(ordered.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)) + 1).filter("f > 1").select("region", "id", "root", "n", "at"))
+    sizes = prefix.groupBy("region", "root").agg(F.count(F.lit(1)).alias("k"))
+    sizes = sizes.groupBy("region").agg(F.max(F.struct("k", "root"))["root"].alias("major"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    told = prefix.join(sizes.select("region", "major"), "region")
+    x = told.filter("root <> major").select("region", F.col("id").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"), F.col("at").alias("p_at"))
+    least = F.ceil((F.col("n") + F.col("p_n")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
+    near = (F.col("root") != F.col("p_root")) & (F.col("at") <= F.col("n") - least + 1) & (F.col("p_at") <= F.col("p_n") - least + 1)
+    pairs = told.alias("t").join(x.alias("x"), F.col("t.region") == F.col("x.region")).filter(near)
+    return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """(doc_id, class_id) for each row of docs (doc_id, text); class_id: the least doc_id of its group.
 
@@ -193,23 +246,22 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shin
     members = reps.select("rep", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = cut(members.join(sizes, "bucket"))  # of buckets with more than one text
-    # the hub of a bucket is its most central member: of texts that come from one source, the source is in most buckets
+    keys = rewritten(region_table(docs, shared.select(F.col("rep").alias("id")), shingle), "regions")
+    # the first hub of a bucket is its most central member: of texts that come from one source, the source is in most buckets
     central = shared.groupBy("rep").agg(F.sum("n").alias("central")).withColumnRenamed("rep", "of")
     weighed = shared.join(central, F.col("rep") == F.col("of")).select("bucket", F.struct("central", (-F.col("rep")).alias("id")).alias("m"))
     hubs = weighed.groupBy("bucket").agg((-F.max("m")["id"]).alias("hub"))
     met = shared.join(hubs, "bucket").filter("rep <> hub")
-    star = cut(met.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct())
-    links = cut(_verified(docs, star, similarity, shingle).select("a", "b"))
+    star = met.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+    links = cut(verified(star, keys, similarity).select("a", "b"))
     roots = cut(connected_components(links))
-    # what is left: pairs of one bucket in different components
-    placed = shared.join(roots, shared["rep"] == roots["id"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    placed = cut(placed.join(mixed, "bucket", "left_semi"))
-    x, y = placed.alias("x"), placed.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root"))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    rest = cut(rest.distinct().join(star, ["a", "b"], "left_anti"))
-    more = _verified(docs, rest, similarity, shingle).select("a", "b")
-    roots = connected_components(links.union(more))
+    placed = cut(_with_roots(shared, roots))
+    for turn in range(TURNS):
+        links = cut(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(verified(_drawn_pairs(placed, turn), keys, similarity).select("a", "b")))
+        roots = cut(connected_components(links))
+        placed = cut(_with_roots(placed.select("bucket", "rep"), roots))
+    links = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(verified(_prefix_pairs(placed, keys, similarity), keys, similarity).select("a", "b"))
+    roots = connected_components(cut(links))
     found = copies.join(roots, copies["rep"] == roots["id"], "left").select(F.col("doc_id").alias("_id"), F.coalesce("root", "rep").alias("_class")).dropDuplicates(["_id"])
     ids = docs.select("doc_id")
     return ids.join(found, ids["doc_id"] == found["_id"], "left").select("doc_id", F.coalesce("_class", "doc_id").alias("class_id"))
