@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: Rows that are turned into Python objects at a time.
 SLICE_ROWS = 256
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more, which it does when the driver collects
+    garbage. Long iterations call it after each checkpoint."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def rewritten(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder as Parquet and read again. The files stay for as long as the folder does."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -95,27 +103,62 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a bounded number of words."""
+#: The bytes between words, \\x20 and \\x09 to \\x0D, and 64-bit values of all bytes.
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Bytes that are hashed at a time.
+HASH_BYTES = 1 << 20
 
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def prefix_sums(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, inverse): the polynomial of values[i:j] in base modulo 2^64 is (sums[j] - sums[i]) * inverse[i]; base is odd."""
+    n = len(values)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * _powers(base, n), out=sums[1:])
+    return sums, _powers(pow(base, -1, 1 << 64), n + 1)
 
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_POWERS: dict[int, np.ndarray] = {}
 
 
-_HASHES = WordHashes()
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64."""
+    kept = _POWERS.get(base)
+    if kept is None or len(kept) < n:
+        steps = np.full(max(n, HASH_BYTES + 2), np.uint64(base))
+        steps[0] = 1
+        kept = np.cumprod(steps)
+        if n <= HASH_BYTES + 2:
+            _POWERS[base] = kept
+    return kept[:n]
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return _HASHES.of(words)
+def hash_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): 64-bit hashes of the words of all texts; those of text i are hashes[first[i] : first[i + 1]].
+
+    Words are what bytes.split() yields. No word becomes an object; long texts are hashed piece by piece.
+    """
+    joined = b" ".join([t or b"" for t in texts])
+    begin = np.cumsum([0, *[len(t or b"") + 1 for t in texts]])
+    hashes, starts, at = [], [], 0
+    while at < len(joined):
+        end = min(len(joined), at + HASH_BYTES)
+        if end < len(joined):  # not within a word
+            last = max(joined.rfind(c, at, end) for c in _BLANKS)
+            if last <= at:
+                last = min((x for x in (joined.find(c, end) for c in _BLANKS) if x >= 0), default=len(joined) - 1)
+            end = last + 1
+        code = np.frombuffer(joined, np.uint8, end - at, at)
+        space = SPACE[code]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
+        a, b = edge[::2], edge[1::2]
+        sums, inverse = prefix_sums(VALUES[code], 0xD1342543DE82EF95)
+        hashes.append(mix64((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
+        starts.append(a + at)
+        at = end
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), begin)
+
+
+_BLANKS = [bytes([i]) for i in np.flatnonzero(SPACE)]

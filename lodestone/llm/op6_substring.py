@@ -1,12 +1,16 @@
 """Exact substring deduplication behind a count-min prefilter.
 
 A window is W consecutive words of one document. Every word is hashed; each window has an anchor, the least hash of
-the runs of A words within it, so equal windows have equal anchors while few runs are anchors.
-
-Pass 1: each partition counts its anchors in a count-min sketch; the partitions' sketches are merged by range of
-slots. As an anchor occurs at least as often as any window around it, the sketch overestimates window counts.
-Pass 2: windows whose estimate is at least 2 are grouped exactly, by 128-bit hash, with the least doc_id of each.
-No window that occurs twice is lost; an estimate too high only costs time.
+the runs of A words within it, so equal windows have equal anchors while few runs are anchors. Neighbouring windows
+with one anchor make a stretch.
+
+Pass 1: each partition counts its stretches' anchors in a count-min sketch; the partitions' sketches are merged by
+range of slots. As an anchor is met in at least as many documents as any window around it, the sketch overestimates
+window counts.
+Pass 2: stretches whose estimate is at least 2 are grouped exactly, by the 128-bit hash of all their words, with the
+least doc_id of each: a whole stretch that an earlier document has too is repeated.
+Pass 3: where an anchor's stretches differ, their windows are grouped exactly one by one.
+No window that occurs in two documents is lost; an estimate too high only costs time.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, mix64, read, utf8_slices, word_hashes
+from .common import cut, hash_words, mix64, prefix_sums, read, utf8_slices
 
 WINDOW = 50
 ANCHOR = 25
@@ -27,6 +31,8 @@ ROWS = 2
 MIN_BITS, MAX_BITS = 16, 27
 #: Ranges of slots in which the partitions' sketches are merged.
 RANGES = 64
+#: Bits of the filter of anchors whose stretches differ.
+ANCHOR_BITS = 26
 
 
 def run_hashes(words: np.ndarray, n: int, base: int) -> np.ndarray:
@@ -68,14 +74,44 @@ def slots(a: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix64(a + np.uint64(0x632BE59BD9B4E019 * (i + 1) % (1 << 64))) >> np.uint64(64 - bits)).astype(np.int64) for i in range(ROWS)]
 
 
-def sketch(docs: DataFrame, bits: int, window: int, anchor: int) -> DataFrame:
-    """Merged count-min sketch of the anchors' occurrences, as one row (row, part, bits) for each range of slots, the
-    bits of slots with a count of 2 or more.
+class Stretches:
+    """The stretches of a slice of texts: document (place in the slice), first window, number of windows, anchor."""
+
+    def __init__(self, texts: list[bytes | None], window: int, anchor: int):
+        self.words, self.first = hash_words(texts)
+        self.window = window
+        a = anchors(self.words, window, anchor)
+        of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.first))
+        n = len(a)
+        inside = of[:n] == of[window - 1 :] if n else np.zeros(0, bool)  # not across two texts
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | (a[1:] != a[:-1]) | (of[1:n] != of[: n - 1])
+        self.start = np.flatnonzero(begins)
+        ends = np.flatnonzero(inside & np.append(begins[1:] | ~inside[1:], True)) if n else self.start
+        self.size = ends - self.start + 1
+        self.anchor, self.of = a[self.start], of[self.start]
+
+    def keep(self, which: np.ndarray) -> None:
+        self.start, self.size, self.anchor, self.of = self.start[which], self.size[which], self.anchor[which], self.of[which]
+
+    def place(self) -> np.ndarray:
+        """Number of the first window within its text."""
+        return self.start - self.first[self.of]
+
+    def keys(self) -> list[np.ndarray]:
+        """128 bits of hash of all words of each stretch."""
+        out = []
+        for words, base in ((self.words, 0xD6E8FEB86659FD93), (mix64(self.words), 0xA0761D6478BD642F)):
+            sums, inverse = prefix_sums(words, base)
+            end = self.start + self.size + self.window - 1
+            out.append(mix64((sums[end] - sums[self.start]) * inverse[self.start] + self.size.astype(np.uint64)).view(np.int64))
+        return out
 
-    Within a document, a run of windows with one anchor counts once: an anchor that is met once in all the corpus
-    holds windows that cannot lie in two documents.
-    """
-    ranges = min(RANGES, 1 << bits)
+
+def sketch(docs: DataFrame, bits: int, window: int, anchor: int) -> DataFrame:
+    """Merged count-min sketch of the anchors of stretches, as one row (row, part, bits) for each range of slots, the bits of
+    slots with a count of 2 or more."""
+    ranges = min(RANGES, (1 << bits) >> 3)  # whole bytes
     wide = (1 << bits) // ranges
 
     def count(batches):
@@ -103,15 +139,11 @@ def sketch(docs: DataFrame, bits: int, window: int, anchor: int) -> DataFrame:
 
         for batch in batches:
             for _, texts in utf8_slices(batch):
-                for text in texts:
-                    words = (text or b"").split()
-                    if len(words) < window:
-                        continue
-                    own = np.unique(anchors(word_hashes(words), window, anchor))
-                    for row, s in enumerate(slots(own, bits)):
-                        seen[row].append(s)
-                    held += len(own)
-                if held > 2_000_000:
+                own = Stretches(texts, window, anchor).anchor
+                for row, s in enumerate(slots(own, bits)):
+                    seen[row].append(s)
+                held += len(own)
+                if held > 4_000_000:
                     yield from flush()
                     held = 0
         yield from flush()
@@ -124,81 +156,102 @@ def sketch(docs: DataFrame, bits: int, window: int, anchor: int) -> DataFrame:
                 total[s] = np.minimum(total[s] + np.frombuffer(n, np.uint8), 2)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([np.packbits(total >= 2).tobytes()], pa.binary())], names=["row", "part", "bits"])
 
-    parts = docs.select("text").mapInArrow(count, "row int, part int, slots binary, counts binary")
+    parts = docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(count, "row int, part int, slots binary, counts binary")
     return parts.groupBy("row", "part").applyInArrow(merge, "row int, part int, bits binary")
 
 
-def repeated_windows(docs: DataFrame, sketch_bits: int | None = None, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, start, h1, h2) of every window whose estimated count is 2 or more; h1, h2: its 128-bit hash."""
+def sketch_bits_for(docs: DataFrame, window: int, anchor: int) -> int:
+    """Enough bits for about eight slots a stretch, from the size of the texts."""
+    characters = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    expected = max(1, characters // 6 * 2 // (window - anchor + 1))
+    return min(MAX_BITS, max(MIN_BITS, int(expected * 8).bit_length()))
+
+
+def repeated(docs: DataFrame, sketch_bits: int | None = None, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, start, size): windows start .. start + size - 1 of doc_id, each of which an earlier document has too."""
     spark = docs.sparkSession
-    if sketch_bits is None:
-        words = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-        expected = max(1, words // 6 * 2 // (window - anchor + 1))  # anchors: two of each window - anchor + 2 runs
-        sketch_bits = min(MAX_BITS, max(MIN_BITS, int(expected * 8).bit_length()))
-    bits, ranges = sketch_bits, min(RANGES, 1 << sketch_bits)
-    table = np.zeros((ROWS, ranges, max(1, (1 << bits) // ranges // 8)), np.uint8)
+    docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bits = sketch_bits or sketch_bits_for(docs, window, anchor)
+    ranges = min(RANGES, (1 << bits) >> 3)  # whole bytes
+    table = np.zeros((ROWS, ranges, (1 << bits) // ranges // 8), np.uint8)
     for r in sketch(docs, bits, window, anchor).collect():  # at most ROWS * 2^MAX_BITS bits
         table[r["row"], r["part"]] = np.frombuffer(r["bits"], np.uint8)
     often = spark.sparkContext.broadcast(table.reshape(ROWS, -1))
 
+    def candidates(texts) -> Stretches:
+        found, bitmap = Stretches(texts, window, anchor), often.value
+        keep = np.ones(len(found.anchor), bool)
+        for row, s in enumerate(slots(found.anchor, bits)):
+            keep &= (bitmap[row][s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
+        found.keep(keep)
+        return found
+
     def find(batches):
-        bitmap = often.value
         for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            for at, texts in utf8_slices(batch):
+                found = candidates(texts)
+                if len(found.start):
+                    k1, k2 = found.keys()
+                    columns = (ids[at + found.of], found.place().astype(np.int32), found.size.astype(np.int32), found.anchor.view(np.int64), k1, k2)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "size", "anchor", "k1", "k2"])
+
+    stretches = docs.mapInArrow(find, "doc_id long, start int, size int, anchor long, k1 long, k2 long")
+    whole = cut(stretches.groupBy("anchor", "k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+    copied = whole.filter("first < last").select("k1", "k2", "first")
+    by_stretch = stretches.join(copied, ["k1", "k2"]).filter("doc_id > first").select("doc_id", "start", "size")
+    several = whole.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.shiftrightunsigned("anchor", 64 - ANCHOR_BITS).alias("slot"))
+    parts = several.select(F.shiftright("slot", 15).alias("part"), F.col("slot").bitwiseAND(F.lit(32767)).alias("bit")).groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
+    table = np.zeros(((1 << ANCHOR_BITS) >> 15, 4096), np.uint8)
+    for r in parts.collect():  # at most 2^ANCHOR_BITS bits
+        table[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    differ = spark.sparkContext.broadcast(table.reshape(-1))
+
+    def expand(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
             for at, texts in utf8_slices(batch):
-                ids = batch.column("doc_id").slice(at, len(texts)).to_pylist()
-                out: list[tuple] = []
-                for doc_id, text in zip(ids, texts):
-                    words = (text or b"").split()
-                    if doc_id is None or len(words) < window:
-                        continue
-                    hashes = word_hashes(words)
-                    a = anchors(hashes, window, anchor)
-                    keep = np.ones(len(a), bool)
-                    for row, s in enumerate(slots(a, bits)):
-                        keep &= (bitmap[row][s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
-                    if keep.any():
-                        starts = np.flatnonzero(keep)
-                        h1 = run_hashes(hashes, window, 0xD6E8FEB86659FD93)[starts]
-                        h2 = run_hashes(mix64(hashes), window, 0xA0761D6478BD642F)[starts]
-                        out.append((np.full(len(starts), doc_id, np.int64), starts.astype(np.int32), h1.view(np.int64), h2.view(np.int64)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["doc_id", "start", "h1", "h2"])
-
-    return docs.select("doc_id", "text").mapInArrow(find, "doc_id long, start int, h1 long, h2 long")
-
-
-def removed_intervals(docs: DataFrame, sketch_bits: int | None = None, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, removed): packed starts (little-endian int32, ascending) of the windows that also start in a document
-    with a smaller doc_id; one row for each document that has such a window."""
-    found = repeated_windows(docs, sketch_bits, window, anchor)
-    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first")
-    later = found.join(first, ["h1", "h2"]).filter("doc_id > first").select("doc_id", "start")
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("removed"))  # no longer than the document
+                found = candidates(texts)
+                s = (found.anchor >> np.uint64(64 - ANCHOR_BITS)).astype(np.int64)
+                found.keep((differ.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1)
+                if len(found.start):
+                    starts = np.repeat(found.start - np.cumsum(found.size) + found.size, found.size) + np.arange(found.size.sum())
+                    of = np.repeat(found.of, found.size)
+                    h1 = run_hashes(found.words, window, 0xD6E8FEB86659FD93)[starts].view(np.int64)
+                    h2 = run_hashes(mix64(found.words), window, 0xA0761D6478BD642F)[starts].view(np.int64)
+                    columns = (ids[at + of], (starts - found.first[of]).astype(np.int32), h1, h2)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "h1", "h2"])
+
+    windows = docs.mapInArrow(expand, "doc_id long, start int, h1 long, h2 long")
+    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first")
+    by_window = windows.join(first, ["h1", "h2"]).filter("doc_id > first").select("doc_id", "start", F.lit(1).alias("size"))
+    return by_stretch.union(by_window)
 
 
 def without_repeats(docs: DataFrame, emit, schema: str, sketch_bits: int | None = None, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """emit(row of docs, its words, mask of removed words) -> output tuple, for each row of docs (doc_id, text, ...)."""
-    removed = removed_intervals(docs, sketch_bits, window, anchor)
-    names = [c.split()[0] for c in schema.split(", ")]
+    """emit(other columns of the row, text, words, mask of removed words or None) -> output tuple, for each row of docs (doc_id, text, ...)."""
+    found = repeated(docs, sketch_bits, window, anchor)
+    removed = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("_removed")).withColumnRenamed("doc_id", "_id")  # no longer than the document
+    names, types = [c.split()[0] for c in schema.split(", ")], [_ARROW[c.split()[1]] for c in schema.split(", ")]
 
     def apply(batches):
-        types = [_ARROW[c.split()[1]] for c in schema.split(", ")]
         for batch in batches:
             for at, texts in utf8_slices(batch):
                 part = batch.slice(at, len(texts))
                 rest = [part.column(c).to_pylist() for c in part.schema.names if c not in ("text", "_removed")]
                 rows = []
-                for text, starts, *row in zip(texts, part.column("_removed").to_pylist(), *rest):
-                    words = (text or b"").split()
-                    mask = np.zeros(len(words) + 1, np.int32)
-                    if starts:
-                        s = np.asarray(starts)
-                        np.add.at(mask, s, 1)
-                        np.add.at(mask, s + window, -1)
-                    rows.append(emit(row, text, words, np.cumsum(mask[:-1]) > 0))
+                for text, stretches, *row in zip(texts, part.column("_removed").to_pylist(), *rest):
+                    words, gone = (text or b"").split(), None
+                    if stretches:
+                        mask = np.zeros(len(words) + 1, np.int32)
+                        start, size = (np.array([s[c] for s in stretches]) for c in ("start", "size"))
+                        np.add.at(mask, start, 1)
+                        np.add.at(mask, start + size + window - 1, -1)
+                        gone = (np.cumsum(mask[:-1]) > 0).tolist()
+                    rows.append(emit(row, text, words, gone))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    joined = docs.join(removed.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed")), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    joined = docs.join(removed, F.col("doc_id") == F.col("_id"), "left").drop("_id")
     return joined.mapInArrow(apply, schema)
 
 
@@ -214,22 +267,22 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def emit(row, text, words, gone):
         doc_id, lang, source, n_chars = row
-        if not gone.any():
+        if gone is None:
             return doc_id, None if text is None else text.decode(), lang, source, n_chars
-        kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode()
+        kept = b" ".join([w for w, g in zip(words, gone) if not g]).decode()
         return doc_id, kept, lang, source, len(kept)
 
-    return without_repeats(docs.select("doc_id", "text", "lang", "source", "n_chars"), emit, "doc_id long, text string, lang string, source string, n_chars long", window=window)
+    return without_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")), emit, "doc_id long, text string, lang string, source string, n_chars long", window=window)
 
 
 def op6_count_min_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256. Null text: no words."""
 
     def emit(row, text, words, gone):
-        kept = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
+        kept = [w for w, g in zip(words, gone) if not g] if gone else words
         return row[0], len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
-    return without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), emit, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return without_repeats(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), emit, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 #: DuckDB SQL for op6_count_min_windows: every window of every document, grouped as text.
