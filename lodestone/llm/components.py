@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, free_shuffles
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -24,6 +24,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
         moved = e.join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         e = cut(moved.union(least.select("c", "m")).distinct())
+        del both, least, moved
+        free_shuffles(e.sparkSession)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "id").union(e.select("v", "v").distinct())

@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import cut, mix64, read, rewritten, utf8_slices, word_hashes
+from .common import cut, free_shuffles, hash_words, mix64, read, rewritten, utf8_slices
 from .components import connected_components
 from .op6_substring import run_hashes
 
@@ -27,20 +27,20 @@ BANDS, BAND_ROWS = 36, 7
 FEW_REGIONS = 64
 #: Bits of the filter of documents that occur in a proposed pair; it holds 8 MB whatever the corpus.
 FILTER_BITS = 26
-#: Rounds in which each member of a bucket meets one drawn member of another component.
-TURNS = 2
+#: Drawn members of other components that each member of a bucket meets.
+DRAWS = 3
 
 _COPY, _DART, _BAND = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def regions(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted keys of a document's unit regions: one for each shingle and number of its occurrence.
+def regions(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted keys of a document's unit regions, from its word hashes: one for each shingle and number of its occurrence.
 
     A text of fewer words is one shingle; a text of none has no region.
     """
-    if not words:
+    if not len(words):
         return np.zeros(0, np.uint64)
-    h = np.sort(run_hashes(word_hashes(words), min(shingle, len(words)), 0x9E3779B97F4A7C15))
+    h = np.sort(run_hashes(words, min(shingle, len(words)), 0x9E3779B97F4A7C15))
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
     at = np.arange(len(h))
@@ -83,7 +83,7 @@ def signatures(documents: list[np.ndarray], k: int) -> np.ndarray:
             row, limit = np.repeat(np.array(large), sizes), np.repeat(darts / sizes, sizes)
             rank, number = np.zeros(len(keys)), 0
             while len(keys):
-                wait, x = _darts(keys, np.uint64(number))
+                wait, x = _darts(keys, np.array([number], np.uint64))
                 rank = rank + wait
                 on = rank < limit
                 keys, row, limit, rank = keys[on], row[on], limit[on], rank[on]
@@ -120,13 +120,13 @@ def signature_table(docs: DataFrame, bands: int, rows: int, shingle: int = SHING
         for batch in batches:
             for at, texts in utf8_slices(batch):
                 ids, sets, whole = [], [], []
-                for doc_id, text in zip(batch.column("doc_id").slice(at, len(texts)).to_pylist(), texts):
-                    words = (text or b"").split()
-                    if doc_id is None or not words:
+                words, first = hash_words(texts)
+                for i, doc_id in enumerate(batch.column("doc_id").slice(at, len(texts)).to_pylist()):
+                    h = words[first[i] : first[i + 1]]
+                    if doc_id is None or not len(h):
                         continue
-                    h = word_hashes(words)
                     ids.append(doc_id)
-                    sets.append(regions(words, shingle))
+                    sets.append(regions(h, shingle))
                     whole.append((run_hashes(h, len(h), 0xD6E8FEB86659FD93)[0], run_hashes(mix64(h), len(h), 0xA0761D6478BD642F)[0]))
                 if ids:
                     keys = band_keys(signatures(sets, bands * rows), bands, rows)
@@ -155,7 +155,9 @@ def region_table(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
                 s = batch.column("slot").slice(at, len(texts)).to_numpy()
                 there = np.flatnonzero((wanted.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1).tolist()
                 ids = batch.column("id").slice(at, len(texts)).to_pylist()
-                rows = [(ids[i], regions(texts[i].split(), shingle).tobytes()) for i in there if texts[i]]
+                words, first = hash_words([texts[i] for i in there])
+                rows = [(ids[i], regions(words[first[j] : first[j + 1]], shingle).tobytes()) for j, i in enumerate(there)]
+                rows = [r for r in rows if r[1]]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "keys"])
 
@@ -193,11 +195,12 @@ def _with_roots(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(mixed, "bucket", "left_semi")
 
 
-def _drawn_pairs(placed: DataFrame, turn: int) -> DataFrame:
-    """Each member of a mixed bucket with one drawn member, if that is of another component: no more pairs than rows."""
-    drawn = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "rep", F.lit(turn)).alias("h"), "rep", "root")).alias("hub"))
-    met = placed.join(drawn.select("bucket", F.col("hub")["rep"].alias("hub"), F.col("hub")["root"].alias("hub_root")), "bucket").filter("root <> hub_root")
-    return met.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+def _drawn_pairs(placed: DataFrame, draws: int) -> DataFrame:
+    """Each member of a mixed bucket with `draws` drawn members, if they are of another component: no more pairs than rows times draws."""
+    pick = lambda i: F.min(F.struct(F.xxhash64("bucket", "rep", F.lit(i)).alias("h"), "rep", "root"))
+    drawn = placed.groupBy("bucket").agg(F.array(*[pick(i) for i in range(draws)]).alias("hubs"))
+    met = placed.join(drawn, "bucket").select("rep", "root", F.explode("hubs").alias("hub")).filter(F.col("root") != F.col("hub")["root"])
+    return met.select(F.least("rep", F.col("hub")["rep"]).alias("a"), F.greatest("rep", F.col("hub")["rep"]).alias("b")).distinct()
 
 
 def _prefix_pairs(placed: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
@@ -254,12 +257,13 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shin
     met = shared.join(hubs, "bucket").filter("rep <> hub")
     star = met.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     links = cut(verified(star, keys, similarity).select("a", "b"))
+    free_shuffles(docs.sparkSession)
     roots = cut(connected_components(links))
     placed = cut(_with_roots(shared, roots))
-    for turn in range(TURNS):
-        links = cut(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(verified(_drawn_pairs(placed, turn), keys, similarity).select("a", "b")))
-        roots = cut(connected_components(links))
-        placed = cut(_with_roots(placed.select("bucket", "rep"), roots))
+    links = cut(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(verified(_drawn_pairs(placed, DRAWS), keys, similarity).select("a", "b")))
+    roots = cut(connected_components(links))
+    placed = cut(_with_roots(placed.select("bucket", "rep"), roots))
+    free_shuffles(docs.sparkSession)
     links = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(verified(_prefix_pairs(placed, keys, similarity), keys, similarity).select("a", "b"))
     roots = connected_components(cut(links))
     found = copies.join(roots, copies["rep"] == roots["id"], "left").select(F.col("doc_id").alias("_id"), F.coalesce("root", "rep").alias("_class")).dropDuplicates(["_id"])
