@@ -280,3 +280,17 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
 def op2_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, class_id, duplicate (another document of its group stays)."""
     return near_duplicate_classes(read(spark, sf_dir, "documents")).withColumn("duplicate", F.coalesce(F.col("doc_id") != F.col("class_id"), F.lit(False)))
+
+
+#: DuckDB SQL for op2_dartminhash: every pair of documents that share a shingle, then everything that links reach.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM d) GROUP BY ALL),
+n AS (SELECT doc_id, sum(c) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS m FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE m >= 0.8 * (x.n + y.n - m)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
+SELECT id AS doc_id, min(root) AS class_id, min(root) <> id AS duplicate FROM r GROUP BY id
+"""

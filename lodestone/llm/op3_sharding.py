@@ -69,3 +69,23 @@ def op3_jump_shards(spark: SparkSession, sf_dir: str, n_shards: int = 8) -> Data
     )
     slim = assign_shards(assign_shards(slim, "doc_id", n_shards), "doc_id", n_shards + 1, "grown_shard")
     return gapless(slim, "shard", ["doc_id", "text_crc32"], "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+#: DuckDB SQL for op3_jump_shards; the crc table comes from its polynomial.
+ORACLE = """
+WITH RECURSIVE tab AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i::UBIGINT], range(8)::UBIGINT[]),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END) AS v FROM range(256) r(i))),
+texts AS (SELECT coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM (SELECT DISTINCT text FROM documents)),
+bytes AS (SELECT text, list_transform(regexp_extract_all(h, '..'), lambda p: ((instr('0123456789ABCDEF', p[1]) - 1) * 16 + instr('0123456789ABCDEF', p[2]) - 1)::UBIGINT) AS b FROM texts),
+crcs AS (SELECT text, xor(list_reduce(list_concat([4294967295::UBIGINT], b), lambda c, x: xor(c // 256, t[(1 + xor(c % 256, x))::BIGINT])), 4294967295::UBIGINT)::BIGINT AS crc FROM bytes, tab),
+jump AS (
+  SELECT DISTINCT coalesce(doc_id, 0) AS key, n, coalesce(doc_id, 0)::UBIGINT::UHUGEINT AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM documents, (VALUES (8), (9)) s(n)
+  UNION ALL
+  SELECT key, n, k1, j, floor((j + 1) * (2147483648.0::DOUBLE / ((k1 // 8589934592::UHUGEINT) + 1)::DOUBLE))::BIGINT
+  FROM (SELECT *, (k * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT AS k1 FROM jump WHERE j < n) s),
+shards AS (SELECT key, n, b::INTEGER AS shard FROM jump WHERE j >= n),
+rows AS (SELECT d.doc_id, octet_length(encode(coalesce(d.text, ''))) + 1 AS size, crc AS text_crc32, 'key' AS law, a.shard, g.shard AS grown_shard
+  FROM documents d JOIN crcs ON crcs.text = coalesce(d.text, '') JOIN shards a ON a.key = coalesce(d.doc_id, 0) AND a.n = 8 JOIN shards g ON g.key = coalesce(d.doc_id, 0) AND g.n = 9)
+SELECT doc_id, size::BIGINT AS size, text_crc32, law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32) - 1 AS slot, grown_shard FROM rows
+"""

@@ -165,3 +165,25 @@ def op8_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = fit_profiles(docs.filter(~held_out(5)))
     rows = docs.select("doc_id", held_out(5).alias("held_out"), "text")
     return identify(rows, profiles, ["doc_id", "held_out"])
+
+
+#: DuckDB SQL for op8_rank_order; the crc table comes from its polynomial.
+ORACLE = r"""
+WITH tab AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i::UBIGINT], range(8)::UBIGINT[]),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END) AS v FROM range(256) r(i))),
+h AS (SELECT doc_id, lang, text, xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(regexp_extract_all(coalesce(doc_id::VARCHAR, ''), '.'), lambda c: ascii(c)::UBIGINT)),
+  lambda c, x: xor(c // 256, t[(1 + xor(c % 256, x))::BIGINT])), 4294967295::UBIGINT) % 5 = 0 AS held_out FROM documents, tab),
+w AS (SELECT doc_id, ' ' || unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')) || ' ' AS w FROM h),
+c AS (SELECT doc_id, w, length(w) AS k, count(*) AS n FROM w GROUP BY ALL),
+g AS (SELECT doc_id, g, sum(n) AS n FROM (
+  SELECT doc_id, unnest(list_transform(range(2, k), lambda i: w[i])) AS g, n FROM c
+  UNION ALL SELECT doc_id, unnest(list_transform(range(1, k), lambda i: w[i:i + 1])), n FROM c
+  UNION ALL SELECT doc_id, unnest(list_transform(range(1, k - 1), lambda i: w[i:i + 2])), n FROM c) GROUP BY ALL),
+own AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(g), g) AS r FROM g QUALIFY r <= 400),
+learnt AS (SELECT lang, g, sum(n) AS n FROM g JOIN h USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL),
+prof AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, length(g), g) AS r FROM learnt QUALIFY r <= 400),
+far AS (SELECT doc_id, l.lang, sum(coalesce(abs(own.r - prof.r), 400)) AS d, count(*) AS k FROM own CROSS JOIN (SELECT DISTINCT lang FROM prof) l LEFT JOIN prof ON prof.lang = l.lang AND prof.g = own.g GROUP BY ALL),
+best AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d, lang) = 1)
+SELECT h.doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1 - d / (400 * k), 0)::DOUBLE AS score FROM h LEFT JOIN best USING (doc_id)
+"""

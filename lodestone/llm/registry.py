@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op5_threshold, op6_substring
+from . import op2_dartminhash as op2, op3_sharding as op3, op5_threshold as op5, op6_substring as op6, op8_language as op8
 from .op1_adaptive_scan import op1_adaptive_scan
 from .op10_sentencepiece import op10_shared_prefix
 from .op2_dartminhash import op2_dartminhash
@@ -26,4 +26,10 @@ QUERIES = {
     "op8_rank_order": op8_rank_order,
     "op9_shortest_pack_first": op9_shortest_pack_first,
 }
-ORACLE_SQL: dict[str, str] = {"op5_threshold_topk": op5_threshold.ORACLE, "op6_count_min_windows": op6_substring.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op2_dartminhash": op2.ORACLE,
+    "op3_jump_shards": op3.ORACLE,
+    "op5_threshold_topk": op5.ORACLE,
+    "op6_count_min_windows": op6.ORACLE,
+    "op8_rank_order": op8.ORACLE,
+}
