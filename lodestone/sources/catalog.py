@@ -53,6 +53,14 @@ class Catalog:
             found.add(table, spark.read.parquet(f"{folder}/{table}.parquet"), *(KEYS if keys is None else keys).get(table, ([], [])))
         return found
 
+    @classmethod
+    def of_folder(cls, spark: SparkSession, folder: str, keys=None, name: str = "database") -> "Catalog":
+        """All tables <folder>/*.parquet, found through Hadoop's file system, so wherever Spark can read."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        names = sorted(f.getPath().getName().removesuffix(".parquet") for f in files if f.getPath().getName().endswith(".parquet"))
+        return cls.of_parquet(spark, folder, names, keys, name)
+
     def add(self, name: str, df: DataFrame, primary_key=(), foreign_keys=()) -> None:
         """Adds a table; what a DDL file declared before is kept, and equal foreign keys are kept once."""
         declared = self.tables.get(name, TableDef(name))

@@ -96,3 +96,27 @@ def test_stream_equals_table(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sum(seen) == events.count()
+
+
+def test_judge_all(spark):
+    from lodestone.operators.judge import judge_all
+    from lodestone.operators.report import error_counts
+    from lodestone.sources.adapters import open_adapter
+
+    def open_database(db_id):
+        return open_adapter(spark, "sqlite", folder=SF if db_id == "shop" else "/nowhere", tables=["nation", "region"])
+
+    cases = [
+        {"id": 1, "db_id": "shop", "gt_sql": "SELECT n_name FROM nation", "pred_sql": "SELECT n_name AS x FROM nation ORDER BY 1"},
+        {"id": 2, "db_id": "shop", "gt_sql": "SELECT n_name FROM nation", "pred_sql": "SELECT n_name FROM nation WHERE n_nationkey > 3"},
+        {"id": 3, "db_id": "gone", "gt_sql": "SELECT 1", "pred_sql": "SELECT 2"},
+    ]
+    verdicts = judge_all(spark, cases, open_database, 2)
+    assert {r["id"]: r["error_type"] for r in verdicts.collect()} == {1: "semantic_match", 2: "row_count_error", 3: "db_connection_error"}
+    assert error_counts(verdicts).count() == 3
+    late = judge_all(spark, cases[:1], open_database, 1, timeout=0.0)
+    assert late.first()["error_type"] == "timeout_error"
+
+
+def test_folder_catalog(spark):
+    assert {"nation", "orders", "events"} <= set(Catalog.of_folder(spark, SF).frames)
