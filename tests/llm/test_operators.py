@@ -434,3 +434,16 @@ def test_long_texts_are_hashed_in_parts(monkeypatch):
     words = text.split()
     assert first.tolist() == [0, len(words), len(words) + 1]
     assert hashes[-1] == hashes[3] and len(set(hashes.tolist())) == len(set(words))
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_query_equals_oracle(spark, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = registry.QUERIES[name](spark, SF).toPandas(), duck.sql(registry.ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda df: sorted(map(str, df[sorted(df.columns)].values.tolist()))
+    assert rows(got) == rows(want)
