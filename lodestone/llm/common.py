@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 #: Rows that are turned into Python objects at a time.
 SLICE_ROWS = 256
 SLICE_BYTES = 1_000_000
+#: Ranges of the first order column in which gapless() counts.
+MOST_RANGES = 256
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +41,11 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def collect_garbage_rarely() -> None:
+    """For Python workers that remember many words: walking those again and again would take a fifth of their time."""
+    gc.set_threshold(1_000_000, 20, 100)
+
+
 def rewritten(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder as Parquet and read again. The files stay for as long as the folder does."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -81,7 +88,7 @@ def gapless(df: DataFrame, group: str, order: list[str], out: str, n_ranges: int
     No group is numbered in one task: rows are cut into ranges of the first order column, ranks are
     counted within (range, group), and the counts of the ranges before are added. df is read twice.
     """
-    n = n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = n_ranges or min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     at = splits(df, order[0], n)
     df = df.withColumn("_range", range_of(F.col(order[0]), at))
     counts = df.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))

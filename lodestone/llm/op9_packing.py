@@ -15,7 +15,7 @@ from array import array
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, gapless, read, utf8_slices
+from .common import collect_garbage_rarely, cut, gapless, read, utf8_slices
 
 SEQUENCE = 4096
 END_ID = 2
@@ -68,7 +68,8 @@ def text_ids(text: bytes | None, tokenizer_file: str) -> bytes:
     if tokenizer_file not in _IDS:
         _IDS[tokenizer_file] = WordIds(tokenizer_file)
     words, text = _IDS[tokenizer_file], text or b""
-    if b"<|" in text:  # perhaps a special token, which only counts in lower case
+    if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
+        # perhaps a special token, which only counts in lower case, or combining marks, which compose before letters change case
         ids = words.encode(text)
     else:  # the tokenizer puts all in lower case; ASCII first makes no difference
         ids = b"".join(map(words.__getitem__, text.lower().split()))
@@ -90,6 +91,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str | None = None, sequence: i
     def tokenize(batches):
         import pyarrow as pa
 
+        collect_garbage_rarely()
         file = tokenizer_file or default_tokenizer()
         for batch in batches:
             for at, texts in utf8_slices(batch):

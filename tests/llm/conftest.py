@@ -23,7 +23,7 @@ def edge_rows():
         (7, make_text(rng, 30) + " " + passage + " " + make_text(rng, 30), "de"), (8, make_text(rng, 40) + "\n" + passage, "de"),
         (9, make_text(rng, 30_000, 5000), "en"), (10, "12345 !!! 67.8", "en"), (11, "É à la ñ ß 你好 世界", "fr"), (12, "mail a.b@c.de, or +1 (988) 555-2485, host 10.0.0.1, card 4111 1111 1111 1111 end", "en"),
         (12, "mail a.b@c.de, or +1 (988) 555-2485, host 10.0.0.1, card 4111 1111 1111 1111 end", "en"), (13, "ΔΕ  x y " * 30, None), (None, "no id here", "en"), (14, "two words", "en"), (15, "two words", "en"),
-        (16, "x" * 5000, "en"), (17, "<|endoftext|> <|ENDOFTEXT|> ▁ mark", "en"),
+        (16, "x" * 5000, "en"), (17, "<|endoftext|> <|ENDOFTEXT|> ▁ mark", "en"), (18, "J\u030c E\u0301 H\u0331 marks", "en"),
     ]
     rows += [(100 + i, make_text(rng, rng.randrange(1, 150)), rng.choice(["en", "de"])) for i in range(60)]
     return [(i, t, lang, f"s{i}", len(t) if t is not None else None) for i, t, lang in rows]
