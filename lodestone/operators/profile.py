@@ -20,6 +20,8 @@ EXAMPLES = 3
 MISMATCH_LEAST, MISMATCH_RATIO = 5, 0.8
 NULL_HEAVY = 50.0
 LOW_CARDINALITY, TOP_VALUES = 30, 15
+#: Longer values are counted by their digest.
+DIGEST_LENGTH = 32
 
 ISSUE = "table_name string, column_name string, type string, severity string, description string, sql_fix string, affected_ops array<string>, examples array<string>"
 
@@ -99,15 +101,20 @@ def column_stats(df: DataFrame, table: str, types: dict[str, str] | None = None,
     one = df.agg(*sums)
     stats = one.select(F.explode(F.array(*[of(i, c) for i, c in enumerate(columns)])).alias("s")).select(F.lit(table).alias("table_name"), "s.*")
     if not approximate:
-        distinct = value_counts(df, columns).groupBy("column_name").agg(F.count(F.lit(1)).alias("_d"))
+        distinct = value_counts(df, columns, digest=True).groupBy("column_name").agg(F.count(F.lit(1)).alias("_d"))
         stats = stats.join(F.broadcast(distinct), "column_name", "left").withColumn("distinct_count", F.coalesce("_d", F.lit(0).cast("long"))).drop("_d")  # a row for each column
     return stats.orderBy("ordinal").select("table_name", "column_name", "row_count", "null_count", "null_percent", "distinct_count", "empty_count", "whitespace_count", "filled_count", "numeric_looking_count", "min_value", "max_value", "avg_value")
 
 
-def value_counts(df: DataFrame, columns: list[Profiled] | list[str]) -> DataFrame:
-    """(column_name, value, n) for each distinct non-null value of the columns, in canonical text: one grouping for all of them."""
+def value_counts(df: DataFrame, columns: list[Profiled] | list[str], digest: bool = False) -> DataFrame:
+    """(column_name, value, n) for each distinct non-null value of the columns, in canonical text: one grouping for all of them.
+
+    With digest, values of more than DIGEST_LENGTH characters stand as their MD5, so that long texts are not shuffled.
+    """
     names = [c if isinstance(c, str) else c.name for c in columns]
-    pairs = [F.struct(F.lit(n).alias("column_name"), canonical(ticked(n), df.schema[n].dataType).alias("value")) for n in names]
+    text = lambda n: canonical(ticked(n), df.schema[n].dataType)
+    short = lambda v: F.when(F.length(v) > DIGEST_LENGTH, F.md5(v)).otherwise(v) if digest else v
+    pairs = [F.struct(F.lit(n).alias("column_name"), short(text(n)).alias("value")) for n in names]
     long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("value IS NOT NULL")
     return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -115,8 +122,12 @@ def value_counts(df: DataFrame, columns: list[Profiled] | list[str]) -> DataFram
 def top_values(df: DataFrame, table: str, columns: list[str], most_distinct: int = LOW_CARDINALITY, top: int = TOP_VALUES) -> DataFrame:
     """(table_name, column_name, value, value_count, percent, position) of columns with few distinct values; ties go to the smaller value.
 
-    percent is of all rows. Columns beyond most_distinct give no row.
+    percent is of all rows. Columns beyond most_distinct give no row; those that a sketch finds far beyond are not grouped at all.
     """
+    sketch = df.agg(*[F.approx_count_distinct(ticked(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first() if columns else None
+    columns = [c for i, c in enumerate(columns) if sketch[f"d{i}"] <= 4 * most_distinct]
+    if not columns:
+        return df.sparkSession.createDataFrame([], "table_name string, column_name string, value string, value_count long, percent double, position int")
     counts = value_counts(df, columns)
     few = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") <= most_distinct).select("column_name")
     total = df.agg(F.count(F.lit(1)).alias("total"))
