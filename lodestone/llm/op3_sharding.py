@@ -54,6 +54,11 @@ def assign_shards(df: DataFrame, key: str, n_shards: int, out: str = "shard") ->
     return df.withColumn(out, jump_hash(F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")), n_shards))
 
 
+def write_shards(df: DataFrame, key: str, n_shards: int, path: str) -> None:
+    """Writes df as Parquet with one folder shard=<number> for each shard; every task adds its own files, so nothing is shuffled."""
+    assign_shards(df, key, n_shards).write.partitionBy("shard").parquet(path)
+
+
 def op3_jump_shards(spark: SparkSession, sf_dir: str, n_shards: int = 8) -> DataFrame:
     """All documents in shards 0 to n_shards - 1 under the law `key`.
 

@@ -18,7 +18,7 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import read, utf8_slices
 
@@ -326,10 +326,6 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
     return sorted([*base, *more], key=lambda s: (KINDS.index(s[0]), s[1])) if more else base
 
 
-def joined(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-
-
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     """text with each span replaced by its kind in brackets; spans that overlap are replaced together, as the first."""
     out, at = [], 0
@@ -340,6 +336,34 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
+SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType())])
+
+
+def find_personal_data(docs: DataFrame, keep: list[str], field: Field) -> DataFrame:
+    """The columns keep of docs (which has a column text) with personal_data: its spans by kind, then start, in code points, end
+    exclusive; base: whether a base pattern found it. Null text: as empty, no spans."""
+    weights = docs.sparkSession.sparkContext.broadcast(field.weights)
+    docs = docs.select(*dict.fromkeys([*keep, "text"]))
+
+    def find(batches):
+        import pyarrow as pa
+
+        model = Field(weights.value)
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
+        for batch in batches:
+            found = []
+            for _, texts in utf8_slices(batch):
+                for raw in texts:
+                    text = (raw or b"").decode()
+                    base = base_spans(text)
+                    own = set(base)
+                    found.append([{"kind": k, "start": x, "end": y, "base": (k, x, y) in own} for k, x, y in added_spans(text, base, model)])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, kind)], names=[*keep, "personal_data"])
+
+    fields = [docs.schema[c] for c in keep]
+    return docs.mapInArrow(find, T.StructType([*fields, T.StructField("personal_data", T.ArrayType(SPAN))]))
+
+
 def redact_documents(docs: DataFrame) -> DataFrame:
     """documents (doc_id, text, lang, source, n_chars) with personal data replaced by its kind. Null texts stay null."""
     docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
@@ -367,23 +391,10 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 def op7_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added). Null text: empty."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    field = spark.sparkContext.broadcast(fit_field(docs).weights)
-
-    def find(batches):
-        import pyarrow as pa
-
-        model = Field(field.value)
-        for batch in batches:
-            rows = []
-            for _, texts in utf8_slices(batch):
-                for raw in texts:
-                    text = (raw or b"").decode()
-                    base = base_spans(text)
-                    counts = [sum(s[0] == k for s in base) for k in KINDS]
-                    rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(added_spans(text, base, model))))
-            columns = [pa.array(c, pa.int64() if i < 4 else pa.string()) for i, c in enumerate(zip(*rows))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(find, f"doc_id {id_type}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    found = find_personal_data(docs, ["doc_id"], fit_field(docs))
+    spans = F.col("personal_data")
+    base = F.filter(spans, lambda x: x["base"])
+    text = lambda some: F.array_join(F.transform(some, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    of = lambda kind: F.filter(base, lambda x: x["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(spans).alias("spans"))

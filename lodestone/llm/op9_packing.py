@@ -157,6 +157,36 @@ def pack_documents(docs: DataFrame, tokenizer_file: str | None = None, sequence:
     return pack(pieces, ["doc_id", "start", "ids_crc32"], sequence).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def sequences(docs: DataFrame, placed: DataFrame, tokenizer_file: str | None = None, sequence: int = SEQUENCE, pad_id: int = 0) -> DataFrame:
+    """(sequence_id, ids): the ids of each sequence, filled up with pad_id. placed: what pack_documents gave for docs, whose
+    doc_id must be unique here. Texts meet the places of their pieces, then pieces meet in their sequence."""
+    import pyarrow as pa
+
+    places = placed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("places")).withColumnRenamed("doc_id", "_id")  # no longer than the document
+
+    def fill(batches):
+        collect_garbage_rarely()
+        file = tokenizer_file or default_tokenizer()
+        for batch in batches:
+            for at, texts in utf8_slices(batch):
+                rows = []
+                for text, own in zip(texts, batch.column("places").slice(at, len(texts)).to_pylist()):
+                    packed = text_ids(text, file)
+                    rows += [(p["sequence_id"], p["offset"], packed[4 * p["start"] : 4 * (p["start"] + p["length"])]) for p in own]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["sequence_id", "offset", "packed"])
+
+    def join(batches):
+        for batch in batches:
+            rows = [b"".join(p["packed"] for p in sorted(own, key=lambda p: p["offset"])) for own in batch.column("parts").to_pylist()]
+            ids = [array("I", r.ljust(4 * sequence, b"\0") if pad_id == 0 else r + array("I", [pad_id] * (sequence - len(r) // 4)).tobytes()).tolist() for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), pa.array(ids, pa.list_(pa.int32()))], names=["sequence_id", "ids"])
+
+    met = docs.select("doc_id", "text").join(places, F.col("doc_id") == F.col("_id")).select("text", "places")
+    parts = met.mapInArrow(fill, "sequence_id long, offset long, packed binary").groupBy("sequence_id").agg(F.collect_list(F.struct("offset", "packed")).alias("parts"))  # one sequence
+    return parts.mapInArrow(join, "sequence_id long, ids array<int>")
+
+
 def op9_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     return pack_documents(read(spark, sf_dir, "documents"))

@@ -256,6 +256,10 @@ def test_op5_large_integers_are_exact():
 # 7: personal data
 
 
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
 def reference_spans(t):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
@@ -283,10 +287,10 @@ def test_op7_base_columns(spark):
     texts = documents(spark, SF_LARGER)
     for r in registry.QUERIES["op7_semi_markov"](spark, SF_LARGER).collect():
         spans = reference_spans(texts[r["doc_id"]])
-        assert r["base_sha256"] == hashlib.sha256(op7.joined(spans).encode()).hexdigest()
+        assert r["base_sha256"] == hashlib.sha256(joined(spans).encode()).hexdigest()
         assert [r[f"n_{k}"] for k in op7.KINDS] == [sum(s[0] == k for s in spans) for k in op7.KINDS]
         everything = r["spans"].split(",") if r["spans"] else []
-        assert set(op7.joined(spans).split(",")) - {""} <= set(everything)
+        assert set(joined(spans).split(",")) - {""} <= set(everything)
 
 
 def test_op7_field_learns_other_spellings():
@@ -447,3 +451,28 @@ def test_query_equals_oracle(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     rows = lambda df: sorted(map(str, df[sorted(df.columns)].values.tolist()))
     assert rows(got) == rows(want)
+
+
+def test_op9_sequences_hold_the_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    placed = op9.pack_documents(docs, sequence=512).cache()
+    whole = {r["sequence_id"]: r["ids"] for r in op9.sequences(docs, placed, sequence=512, pad_id=0).collect()}
+    assert sorted(whole) == list(range(len(whole))) and all(len(x) == 512 for x in whole.values())
+    texts = documents(spark)
+    parts = defaultdict(list)
+    for r in placed.orderBy("doc_id", "start").collect():
+        parts[r["doc_id"]] += whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
+    assert all(parts[i] == tokenizer.encode(t, add_special_tokens=False).ids + [2] for i, t in texts.items())
+
+
+def test_op3_writes_a_folder_for_each_shard(spark, tmp_path):
+    from lodestone.llm.op3_sharding import write_shards
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    write_shards(docs, "doc_id", 4, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == docs.count() and {r["shard"] for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
