@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi pass.
 
-A text is cut into marked words (blanks, then other characters), which no piece crosses. The distinct marked words of a
-slice that are not remembered are sorted, which walks their trie depth first: each word keeps the forward states of
-the prefix that it shares with the word before, and only the rest is computed.
+A text is cut into marked words (blanks, then other characters), which no piece crosses, and these where no piece holds
+the two characters side by side. The distinct parts of a slice that are not remembered are sorted, which walks their
+trie depth first: each one keeps the forward states of the prefix that it shares with the one before, and only the
+rest is computed.
 
 For a unigram model the forward state is the best score of a prefix. For a merge (BPE) model, pieces are the states of
 a lattice in which a step from piece a to piece b is allowed (score 0) if merging the characters of ab ends in exactly
@@ -12,19 +13,25 @@ that prefix, and the result equals the library's.
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
-from functools import lru_cache
+from itertools import compress, repeat
+from operator import not_
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read, utf8_slices
+from .common import read, utf8_slices, worker_for
 
 MARK = "▁"
 #: Marked words of more bytes are not remembered.
 LONG_WORD = 64
 UNK_PENALTY = 10.0
+#: Pairs of pieces that are remembered.
+MOST_PAIRS = 400_000
+#: In front of a word: no blank was there. No UTF-8 text holds this byte.
+NO_MARK = b"\xff"
 
 
 def default_model() -> str:
@@ -64,18 +71,18 @@ class Pieces:
                 self.text.append(p.piece.replace(MARK, " ").encode())
                 if p.type in (1, 4):
                     self.ids[p.piece], self.scores[p.piece] = i, p.score
-        self.longest = max(map(len, self.ids))
         self.unk_score = min(self.scores.values()) - UNK_PENALTY
-        joined = "".join(self.ids)
-        apart = "".join(c for c in "\n\t\r" if c not in joined)  # in no piece, so nothing merges across
+        self.tails = {p[i:]: False for p in self.ids for i in range(len(p))} | dict.fromkeys(self.ids, True)  # ends of pieces, and whether each is a piece
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}  # characters that a piece holds side by side
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces cross words")
-        inside = f"[^ {apart}]" if apart else "[^ ]"
-        self.words = re.compile((f" *{inside}+| +" + (f"|[{apart}]" if apart else "")).encode())
+        self.lines = self.fallback and not any("\n" in p for p in self.ids)  # then nothing merges across a line end
+        self.words = re.compile(b" *[^ \n]+| +|\n" if self.lines else b" *[^ ]+| +")
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.most = most
-        self.follows = lru_cache(1 << 18)(self._follows)
+        self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging: again and again the two neighbours with the best joint piece, leftmost first."""
@@ -88,47 +95,71 @@ class Pieces:
             parts[best : best + 2] = [both]
         return parts
 
-    def _follows(self, a: str, b: str) -> bool:
-        """Whether piece b may come after piece a (nothing, at the start)."""
-        return self.merged(a + b) == ([a, b] if a else [b])
+    def follows(self, a: str, b: str) -> bool:
+        """Whether piece b may come after piece a (nothing, at the start): merging ab ends in a, b. Remembered in pairs."""
+        if len(self.pairs) >= MOST_PAIRS:
+            self.pairs.clear()
+        if not a:
+            got = len(b) == 1 or self.merged(b) == [b]
+        elif a[-1] + b[0] not in self.inside:
+            got = self.follows("", b)
+        else:
+            got = a + b not in self.scores and self.merged(a + b) == [a, b]
+        self.pairs[a, b] = got
+        return got
 
     def encode_words(self, words: list[str]) -> list[list[str]]:
         """Pieces of each of the sorted distinct marked words."""
         out, last = [], ""
-        states: list[tuple[float, str]] = [(0.0, "")]  # for each prefix: its score, and the piece that ends it
+        scores, ends = [0.0], [""]  # forward states: for each prefix its score, and the piece that ends it
+        step = self._steps_by_merges if self.merges else self._steps_by_scores
         for word in words:
-            shared = 0
-            for x, y in zip(last, word):
-                if x != y:
-                    break
-                shared += 1
-            del states[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                states.append(self._best_merge(word, end, states) if self.merges else self._best_score(word, end, states))
+            shared = len(os.path.commonprefix((last, word)))
+            del scores[shared + 1 :], ends[shared + 1 :]
+            step(word, shared, scores, ends)
             pieces, at = [], len(word)
             while at:
-                piece = states[at][1]
-                pieces.append(piece)
-                at -= len(piece)
+                pieces.append(ends[at])
+                at -= len(ends[at])
             out.append(pieces[::-1])
             last = word
         return out
 
-    def _best_merge(self, word: str, end: int, states: list) -> tuple[float, str]:
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if (piece in self.ids or start == end - 1) and self.follows(states[start][1], piece):
-                return 0.0, piece
-        raise AssertionError(f"no piece ends at {end} of {word!r}")
-
-    def _best_score(self, word: str, end: int, states: list) -> tuple[float, str]:
-        best = None
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            score = self.scores.get(piece, self.unk_score if start == end - 1 else None)
-            if score is not None and (best is None or states[start][0] + score > best[0]):
-                best = states[start][0] + score, piece
-        return best
+    def _steps_by_merges(self, word: str, shared: int, scores: list, ends: list) -> None:
+        """The states of the prefixes longer than `shared`: the one piece that may end there; all scores are 0."""
+        tails, pairs = self.tails, self.pairs
+        for end in range(shared + 1, len(word) + 1):
+            start = end - 1
+            piece = word[start]
+            whole = True  # a character without a piece of its own stands as it is
+            while True:
+                if whole:
+                    fits = pairs.get((ends[start], piece))
+                    if fits is None:
+                        fits = self.follows(ends[start], piece)
+                    if fits:
+                        break
+                start -= 1
+                piece = word[start:end] if start >= 0 else ""
+                whole = tails.get(piece)
+                if whole is None:
+                    raise AssertionError(f"no piece ends at {end} of {word!r}")
+            scores.append(0.0)
+            ends.append(piece)
+
+    def _steps_by_scores(self, word: str, shared: int, scores: list, ends: list) -> None:
+        """The same for a unigram model: the best score, and the last piece on the way to it."""
+        for end in range(shared + 1, len(word) + 1):
+            best, last = -float("inf"), ""
+            for start in range(end - 1, -1, -1):
+                piece = word[start:end]
+                if start < end - 1 and piece not in self.tails:
+                    break
+                score = self.scores.get(piece, self.unk_score if start == end - 1 else None)
+                if score is not None and scores[start] + score > best:
+                    best, last = scores[start] + score, piece
+            scores.append(best)
+            ends.append(last)
 
     def packed(self, pieces: list[str]) -> bytes:
         ids = array("i")
@@ -142,31 +173,57 @@ class Pieces:
         return ids.tobytes()
 
     def split(self, text: bytes) -> list[bytes]:
-        """The marked words of a text; a blank stands for the mark."""
+        """The words of a text, each without the blank in front; NO_MARK in front of a word stands for no blank, and a word
+        after several blanks keeps the others."""
         if b"\xe2\x96\x81" in text:  # the mark itself, which the model takes for a blank
             text = text.replace(b"\xe2\x96\x81", b" ")
-        return self.words.findall(b" " + text if self.prefix and text else text)
+        if not text:
+            return []
+        plain = text.replace(b"\n", b" \n " + NO_MARK) if self.lines else text
+        if self.prefix and b"  " not in plain and plain[0] != 32 and plain[-1] != 32:
+            return plain.split(b" ")
+        words = self.words.findall(b" " + text if self.prefix else text)
+        return [w[1:] if w[:1] == b" " else w if w == b"\n" else NO_MARK + w for w in words]
+
+    def marked(self, word: bytes) -> str:
+        """What split() gave, with marks."""
+        if word[:1] == NO_MARK:
+            return word[1:].decode().replace(" ", MARK)
+        return "\n" if word == b"\n" and self.lines else MARK + word.decode().replace(" ", MARK)
+
+    def cut(self, word: str) -> list[str]:
+        """Parts of a marked word that no piece crosses."""
+        if not self.fallback:  # unknown characters in a row are one piece
+            return [word] if word else []
+        parts, start = [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in self.inside:
+                parts.append(word[start:i])
+                start = i
+        return [*parts, word[start:]] if word else []
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Packed ids (32 bits) of each text."""
         split = [self.split(t or b"") for t in texts]
-        new = set().union(*split) - self.known.keys()
-        missing = []
-        for w in new:
-            if w in self.old:
-                self.known[w] = self.old[w]
-            else:
-                missing.append(w)
-        passing = self.known
-        if missing:
-            words = sorted((w.decode().replace(" ", MARK), w) for w in missing)
-            made = dict(zip((w for _, w in words), map(self.packed, self.encode_words([s for s, _ in words]))))
-            self.known.update((w, p) for w, p in made.items() if len(w) <= LONG_WORD)
-            long = {w: p for w, p in made.items() if len(w) > LONG_WORD}
-            passing = _Both(self.known, long) if long else self.known
-        out = [b"".join(map(passing.__getitem__, words)) for words in split]
+        found = [list(map(self.known.get, words, repeat(b""))) for words in split]
+        holes = [list(compress(range(len(got)), map(not_, got))) for got in found]
+        missing = {words[i] for words, places in zip(split, holes) for i in places}
+        made = {w: self.old[w] for w in missing if w in self.old}
+        cut = {w: self.cut(self.marked(w)) for w in missing if w not in made}
+        new = sorted({p for parts in cut.values() for p in parts if p not in self.parts})
+        parts = dict(zip(new, map(self.packed, self.encode_words(new))))
+        for w, own in cut.items():
+            made[w] = b"".join([parts[p] if p in parts else self.parts[p] for p in own])
+        for words, got, places in zip(split, found, holes):
+            for i in places:
+                got[i] = made[words[i]]
+        out = [b"".join(got) for got in found]
         if len(self.known) > self.most:
             self.old, self.known = self.known, {}
+        if len(self.parts) > self.most:
+            self.parts = {}
+        self.known.update((w, p) for w, p in made.items() if len(w) <= LONG_WORD)
+        self.parts.update((w, p) for w, p in parts.items() if len(w) <= LONG_WORD)
         return out
 
     def decode(self, ids) -> bytes:
@@ -175,23 +232,12 @@ class Pieces:
         return text[1:] if self.prefix and text[:1] == b" " else text
 
 
-class _Both:
-    def __init__(self, a: dict, b: dict):
-        self.a, self.b = a, b
-
-    def __getitem__(self, key):
-        return self.a[key] if key in self.a else self.b[key]
-
-
-_PIECES: dict[str, Pieces] = {}
-
-
 def pieces_of(model_file: str | None) -> Pieces:
-    """The model of a file, kept by each Python worker."""
-    file = model_file or default_model()
-    if file not in _PIECES:
-        _PIECES[file] = Pieces(file)
-    return _PIECES[file]
+    """The model of a file, with the words that this Python worker remembers."""
+    kept, file = worker_for("op10"), model_file or default_model()
+    if file not in kept:
+        kept[file] = Pieces(file)
+    return kept[file]
 
 
 def encode_texts(docs: DataFrame, keep: list[str], model_file: str | None = None) -> DataFrame:

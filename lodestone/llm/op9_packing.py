@@ -15,7 +15,7 @@ from array import array
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import collect_garbage_rarely, cut, gapless, read, utf8_slices
+from .common import cut, gapless, read, utf8_slices, worker_for
 
 SEQUENCE = 4096
 END_ID = 2
@@ -60,14 +60,17 @@ class WordIds(dict):
         return got
 
 
-_IDS: dict[str, WordIds] = {}
+def words_for(tokenizer_file: str | None) -> WordIds:
+    """The words that this Python worker remembers."""
+    kept, file = worker_for("op9"), tokenizer_file or default_tokenizer()
+    if file not in kept:
+        kept[file] = WordIds(file)
+    return kept[file]
 
 
-def text_ids(text: bytes | None, tokenizer_file: str) -> bytes:
+def text_ids(text: bytes | None, words: WordIds) -> bytes:
     """Packed ids of a UTF-8 text, then END_ID."""
-    if tokenizer_file not in _IDS:
-        _IDS[tokenizer_file] = WordIds(tokenizer_file)
-    words, text = _IDS[tokenizer_file], text or b""
+    text = text or b""
     if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
         # perhaps a special token, which only counts in lower case, or combining marks, which compose before letters change case
         ids = words.encode(text)
@@ -91,14 +94,13 @@ def token_pieces(docs: DataFrame, tokenizer_file: str | None = None, sequence: i
     def tokenize(batches):
         import pyarrow as pa
 
-        collect_garbage_rarely()
-        file = tokenizer_file or default_tokenizer()
+        words = words_for(tokenizer_file)
         for batch in batches:
             for at, texts in utf8_slices(batch):
                 ids = batch.column("doc_id").slice(at, len(texts)).to_pylist()
                 rows = []
                 for doc_id, text in zip(ids, texts):
-                    packed = text_ids(text, file)
+                    packed = text_ids(text, words)
                     total = len(packed) // 4
                     for start in range(0, total, sequence):
                         part = packed[4 * start : 4 * (start + sequence)]
@@ -165,13 +167,12 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer_file: str | None = N
     places = placed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("places")).withColumnRenamed("doc_id", "_id")  # no longer than the document
 
     def fill(batches):
-        collect_garbage_rarely()
-        file = tokenizer_file or default_tokenizer()
+        words = words_for(tokenizer_file)
         for batch in batches:
             for at, texts in utf8_slices(batch):
                 rows = []
                 for text, own in zip(texts, batch.column("places").slice(at, len(texts)).to_pylist()):
-                    packed = text_ids(text, file)
+                    packed = text_ids(text, words)
                     rows += [(p["sequence_id"], p["offset"], packed[4 * p["start"] : 4 * (p["start"] + p["length"])]) for p in own]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["sequence_id", "offset", "packed"])
