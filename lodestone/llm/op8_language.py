@@ -10,14 +10,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from .common import read, utf8_slices
+from .common import read, utf8_slices, worker_for
 
 #: n-grams in a profile, and at most so many of a document's.
 PROFILE = 400
 #: A fit refuses more labels than this, which bounds what is broadcast (PROFILE rows each).
 MOST_LANGUAGES = 2048
 #: n-grams that a task holds before it adds up equal ones.
-HELD = 4_000_000
+HELD = 1_000_000
 UNKNOWN = "und"
 
 _LETTERS: list[np.ndarray] = []
@@ -44,6 +44,9 @@ def grams(text: bytes | None) -> np.ndarray:
 
 
 def added_up(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and how often each occurs or the sum of its counts."""
+    if counts is None:
+        return np.unique(keys, return_counts=True)
     found, at = np.unique(keys, return_inverse=True)
     return found, np.bincount(at, counts, len(found)).astype(np.int64)
 
@@ -62,6 +65,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     def count(batches):
         import pyarrow as pa
 
+        worker_for("op8")
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def flush():
@@ -139,6 +143,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str],
     def predict(batches):
         import pyarrow as pa
 
+        worker_for("op8")
         for batch in batches:
             got = [table.value.predict(text) for _, texts in utf8_slices(batch) for text in texts]
             columns = [pa.array([x[i] for x in got], t) for i, t in ((0, pa.string()), (1, pa.float64()))]
