@@ -13,12 +13,18 @@ def canonical(column: Column, kind: T.DataType) -> Column:
     booleans in lower case. Null stays null, so it only equals null."""
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         x = column.cast("double") + F.lit(0.0)  # -0.0 becomes 0.0
-        plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,17)").cast("string"), "0+$", ""), "\\.$", "")
-        whole = F.when(F.abs(x) < _WHOLE, x.cast("long").cast("string")).otherwise(F.regexp_replace(F.format_number(x, 0), ",", ""))
         text = x.cast("string")
-        shortest = F.when(text.contains("E"), plain).otherwise(text)
-        odd = F.isnan(x) | (F.abs(x) == float("inf"))
-        return F.when(odd, text).when(x == F.floor(F.when(odd, 0.0).otherwise(x)), whole).otherwise(shortest)
+        stripped = lambda d: F.regexp_replace(F.regexp_replace(d.cast("string"), "0+$", ""), "\\.$", "")
+        tiny, large = x.try_cast("decimal(38,37)"), x.try_cast("decimal(38,17)")
+        return (
+            F.when(F.isnan(x) | (F.abs(x) == float("inf")), text)
+            .when(F.abs(x) >= _WHOLE, F.format_string("%.0f", x))
+            .when(x == F.floor(x), x.try_cast("long").cast("string"))
+            .when(~text.contains("E"), text)
+            .when(F.abs(x) >= 1, stripped(large))
+            .when(tiny != 0, stripped(tiny))
+            .otherwise(text)  # below 1e-37: as it is
+        )
     if isinstance(kind, T.DecimalType):
         text = column.cast("string")
         return F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")).otherwise(text)

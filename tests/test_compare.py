@@ -57,7 +57,7 @@ def test_normalized_pass(spark):
     assert got.equal and got.normalized
 
 
-@pytest.mark.parametrize("value,text", [(3.0, "3"), (-0.0, "0"), (0.1, "0.1"), (1e7, "10000000"), (1.5e-5, "0.000015"), (12345678.25, "12345678.25"), (1e20, "100000000000000000000"), (float("nan"), "NaN"), (None, None)])
+@pytest.mark.parametrize("value,text", [(3.0, "3"), (-0.0, "0"), (0.1, "0.1"), (1e7, "10000000"), (1.5e-5, "0.000015"), (12345678.25, "12345678.25"), (1e20, "100000000000000000000"), (-1e25, "-10000000000000000000000000"), (1e-300, "1.0E-300"), (-2.5e-9, "-0.0000000025"), (float("inf"), "Infinity"), (float("nan"), "NaN"), (None, None)])
 def test_canonical_doubles(spark, value, text):
     df = spark.createDataFrame([(value,)], "v DOUBLE")
     assert df.select(canonical(F.col("v"), T.DoubleType())).first()[0] == text
