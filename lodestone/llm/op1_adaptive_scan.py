@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, read
+from .common import cut, read, worker_for
 from .vectors import best_rows, classes_of, of_usual_length, ranked_results, stacked, valid
 
 K = 5
@@ -202,6 +202,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     fitted = spark.sparkContext.broadcast(Index(np.array([r["vec"] for r in first], np.float64), n_rows, k))
 
     def assign(batches):
+        worker_for("op1")
         for batch in batches:
             if batch.num_rows:
                 lists = fitted.value.lists_of(stacked(batch.column("vec")))
@@ -219,6 +220,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     left = indexed.select("class_id", "vec", "list", unit.alias("unit"), numbers.alias("chunk"))
 
     def probe(batches):
+        worker_for("op1")
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -245,6 +247,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     right = right.withColumn("own_chunk", F.pmod(F.xxhash64("query_class"), F.lit(chunks).cast("long")).cast("int"))
 
     def search(rows, asked):
+        worker_for("op1")
         out: list[list] = [[], [], []]
         if rows.num_rows and asked.num_rows:
             of = asked["query_class"].to_pylist()

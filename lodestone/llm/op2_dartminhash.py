@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import cut, free_shuffles, hash_words, mix64, read, rewritten, utf8_slices
+from .common import cut, free_shuffles, hash_words, mix64, read, rewritten, utf8_slices, worker_for
 from .components import connected_components
 from .op6_substring import run_hashes
 
@@ -117,6 +117,7 @@ def signature_table(docs: DataFrame, bands: int, rows: int, shingle: int = SHING
     def sign(batches):
         import pyarrow as pa
 
+        worker_for("op2")
         for batch in batches:
             for at, texts in utf8_slices(batch):
                 ids, sets, whole = [], [], []
@@ -150,6 +151,7 @@ def region_table(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     def pack(batches):
         import pyarrow as pa
 
+        worker_for("op2")
         for batch in batches:
             for at, texts in utf8_slices(batch):
                 s = batch.column("slot").slice(at, len(texts)).to_numpy()
@@ -171,6 +173,7 @@ def verified(pairs: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
     def compare(batches):
         import pyarrow as pa
 
+        worker_for("op2")
         for batch in batches:
             a, b, left, right = (batch.column(c) for c in ("a", "b", "left", "right"))
             last, own = None, None
@@ -215,6 +218,7 @@ def _prefix_pairs(placed: DataFrame, keys: DataFrame, similarity: float) -> Data
     def unpack(batches):
         import pyarrow as pa
 
+        worker_for("op2")
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, read
+from .common import cut, read, worker_for
 from .vectors import best_rows, classes_of, of_usual_length, ranked_results, stacked, valid
 
 K = 5
@@ -90,6 +90,7 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = K) -> Da
     def search(rows, asked):
         import pyarrow as pa
 
+        worker_for("op5")
         out: list[list] = [[], [], []]
         if rows.num_rows and asked.num_rows:
             of = asked["query_class"].to_numpy()

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, hash_words, mix64, prefix_sums, read, utf8_slices
+from .common import cut, hash_words, mix64, prefix_sums, read, utf8_slices, worker_for
 
 WINDOW = 50
 ANCHOR = 25
@@ -115,6 +115,7 @@ def sketch(docs: DataFrame, bits: int, window: int, anchor: int) -> DataFrame:
     wide = (1 << bits) // ranges
 
     def count(batches):
+        worker_for("op6")
         seen: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
         held = 0
 
@@ -149,6 +150,7 @@ def sketch(docs: DataFrame, bits: int, window: int, anchor: int) -> DataFrame:
         yield from flush()
 
     def merge(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_for("op6")
         total = np.zeros(wide, np.uint8)
         for batch in groups:
             for s, n in zip(batch.column("slots").to_pylist(), batch.column("counts").to_pylist()):
@@ -187,6 +189,7 @@ def repeated(docs: DataFrame, sketch_bits: int | None = None, window: int = WIND
         return found
 
     def find(batches):
+        worker_for("op6")
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for at, texts in utf8_slices(batch):
@@ -208,6 +211,7 @@ def repeated(docs: DataFrame, sketch_bits: int | None = None, window: int = WIND
     differ = spark.sparkContext.broadcast(table.reshape(-1))
 
     def expand(batches):
+        worker_for("op6")
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for at, texts in utf8_slices(batch):
@@ -235,6 +239,7 @@ def without_repeats(docs: DataFrame, emit, schema: str, sketch_bits: int | None
     names, types = [c.split()[0] for c in schema.split(", ")], [_ARROW[c.split()[1]] for c in schema.split(", ")]
 
     def apply(batches):
+        worker_for("op6")
         for batch in batches:
             for at, texts in utf8_slices(batch):
                 part = batch.slice(at, len(texts))

@@ -20,7 +20,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import read, utf8_slices
+from .common import read, utf8_slices, worker_for
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
@@ -289,6 +289,7 @@ def fit_field(docs: DataFrame, most: int = TRAINING_ISLANDS) -> Field:
     def sample(batches):
         import pyarrow as pa
 
+        worker_for("op7")
         kept: dict[str, str] = {}
         for batch in batches:
             for _, texts in utf8_slices(batch):
@@ -348,6 +349,7 @@ def find_personal_data(docs: DataFrame, keep: list[str], field: Field) -> DataFr
     def find(batches):
         import pyarrow as pa
 
+        worker_for("op7")
         model = Field(weights.value)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
         for batch in batches:
@@ -372,6 +374,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     def clean(batches):
         import pyarrow as pa
 
+        worker_for("op7")
         model = Field(field.value)
         for batch in batches:
             texts, sizes = [], batch.column("n_chars").to_pylist()
