@@ -32,6 +32,9 @@ UNK_PENALTY = 10.0
 MOST_PAIRS = 400_000
 #: In front of a word: no blank was there. No UTF-8 text holds this byte.
 NO_MARK = b"\xff"
+NOTHING: dict = {}
+#: Marks and letters, or one other character.
+RUNS = re.compile(f"{MARK}*[^\\W\\d_]+|[\\W\\d_]")
 
 
 def default_model() -> str:
@@ -43,7 +46,7 @@ def default_model() -> str:
 class Pieces:
     """A model's pieces, and what encoding and decoding need of them."""
 
-    def __init__(self, model_file: str, most: int = 300_000):
+    def __init__(self, model_file: str, most: int = 600_000):
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -72,7 +75,12 @@ class Pieces:
                 if p.type in (1, 4):
                     self.ids[p.piece], self.scores[p.piece] = i, p.score
         self.unk_score = min(self.scores.values()) - UNK_PENALTY
-        self.tails = {p[i:]: False for p in self.ids for i in range(len(p))} | dict.fromkeys(self.ids, True)  # ends of pieces, and whether each is a piece
+        self.ends: dict = {}  # the pieces read backwards as a trie; None leads to the piece that ends there
+        for p in self.ids:
+            node = self.ends
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[None] = p
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}  # characters that a piece holds side by side
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces cross words")
@@ -127,37 +135,37 @@ class Pieces:
 
     def _steps_by_merges(self, word: str, shared: int, scores: list, ends: list) -> None:
         """The states of the prefixes longer than `shared`: the one piece that may end there; all scores are 0."""
-        tails, pairs = self.tails, self.pairs
+        trie, pairs = self.ends, self.pairs
         for end in range(shared + 1, len(word) + 1):
             start = end - 1
-            piece = word[start]
-            whole = True  # a character without a piece of its own stands as it is
+            node = trie.get(word[start], NOTHING)
+            piece = node.get(None, word[start])  # a character without a piece of its own stands as it is
             while True:
-                if whole:
+                if piece is not None:
                     fits = pairs.get((ends[start], piece))
                     if fits is None:
                         fits = self.follows(ends[start], piece)
                     if fits:
                         break
                 start -= 1
-                piece = word[start:end] if start >= 0 else ""
-                whole = tails.get(piece)
-                if whole is None:
+                node = node.get(word[start]) if start >= 0 else None
+                if node is None:
                     raise AssertionError(f"no piece ends at {end} of {word!r}")
+                piece = node.get(None)
             scores.append(0.0)
             ends.append(piece)
 
     def _steps_by_scores(self, word: str, shared: int, scores: list, ends: list) -> None:
         """The same for a unigram model: the best score, and the last piece on the way to it."""
         for end in range(shared + 1, len(word) + 1):
-            best, last = -float("inf"), ""
-            for start in range(end - 1, -1, -1):
-                piece = word[start:end]
-                if start < end - 1 and piece not in self.tails:
-                    break
-                score = self.scores.get(piece, self.unk_score if start == end - 1 else None)
-                if score is not None and scores[start] + score > best:
-                    best, last = scores[start] + score, piece
+            start = end - 1
+            node = self.ends.get(word[start], NOTHING)
+            best, last = scores[start] + self.scores.get(word[start], self.unk_score), word[start]
+            while start and (node := node.get(word[start - 1])) is not None:
+                start -= 1
+                piece = node.get(None)
+                if piece is not None and scores[start] + self.scores[piece] > best:
+                    best, last = scores[start] + self.scores[piece], piece
             scores.append(best)
             ends.append(last)
 
@@ -192,15 +200,19 @@ class Pieces:
         return "\n" if word == b"\n" and self.lines else MARK + word.decode().replace(" ", MARK)
 
     def cut(self, word: str) -> list[str]:
-        """Parts of a marked word that no piece crosses."""
+        """Parts of a marked word that no piece crosses: at ends of runs of letters, where no piece holds both characters."""
         if not self.fallback:  # unknown characters in a row are one piece
             return [word] if word else []
-        parts, start = [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in self.inside:
-                parts.append(word[start:i])
-                start = i
-        return [*parts, word[start:]] if word else []
+        runs = RUNS.findall(word)
+        if len(runs) < 2:
+            return runs
+        parts = runs[:1]
+        for run in runs[1:]:
+            if parts[-1][-1] + run[0] in self.inside:
+                parts[-1] += run
+            else:
+                parts.append(run)
+        return parts
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Packed ids (32 bits) of each text."""
