@@ -45,28 +45,33 @@ def free_shuffles(spark: SparkSession) -> None:
 _KEPT: dict[str, dict] = {}
 
 
+def give_back_memory() -> None:
+    """Lets free memory of this process go back to the system, now and when arrays of 1 MB and more are freed."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # such arrays get memory of their own
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def worker_for(operator: str) -> dict:
     """Makes a Python worker ready for an operator's tasks; returns what it keeps for them between tasks.
 
     What other operators kept is dropped and free memory goes back to the system, as a pipeline's stages share the workers.
     Garbage is collected rarely: walking millions of remembered words again and again would take a fifth of the time.
     """
-    import ctypes
-
-    import pyarrow as pa
-
     gc.set_threshold(1_000_000, 20, 100)
     if operator not in _KEPT:
         _KEPT.clear()
         _POWERS.clear()
         gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # arrays of 1 MB and more get memory of their own, which goes back when they go
-        libc.malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    give_back_memory()
     return _KEPT.setdefault(operator, {})
 
 
