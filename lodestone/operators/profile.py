@@ -1,7 +1,8 @@
 """Column statistics and quality rules of tables.
 
-One aggregation per table yields all scalar statistics of all its columns; distinct counts and top values come from
-one grouping over unpivoted columns; each foreign key takes one anti-join. Nothing is read more than twice.
+One aggregation per table yields all scalar statistics of all its columns; distinct counts read each column once more,
+alone; top values come from one grouping over the unpivoted columns that have few values; each foreign key takes one
+anti-join.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def column_stats(df: DataFrame, table: str, types: dict[str, str] | None = None,
     """One row per column: row_count, null_count, null_percent, distinct_count, empty_count, whitespace_count, filled_count,
     numeric_looking_count, min_value, max_value, avg_value (the last three for numbers only).
 
-    One pass for the sums, one grouping for exact distinct counts (none if approximate). An empty table gives rows of
+    One pass for the sums, and each column once more for exact distinct counts (not if approximate). An empty table gives rows of
     zeros; arrays, maps, structs and binary columns are left out.
     """
     columns = _columns(df, types)
@@ -101,20 +102,40 @@ def column_stats(df: DataFrame, table: str, types: dict[str, str] | None = None,
     one = df.agg(*sums)
     stats = one.select(F.explode(F.array(*[of(i, c) for i, c in enumerate(columns)])).alias("s")).select(F.lit(table).alias("table_name"), "s.*")
     if not approximate:
-        distinct = value_counts(df, columns, digest=True).groupBy("column_name").agg(F.count(F.lit(1)).alias("_d"))
+        distinct = distinct_counts(df, columns)
         stats = stats.join(F.broadcast(distinct), "column_name", "left").withColumn("distinct_count", F.coalesce("_d", F.lit(0).cast("long"))).drop("_d")  # a row for each column
     return stats.orderBy("ordinal").select("table_name", "column_name", "row_count", "null_count", "null_percent", "distinct_count", "empty_count", "whitespace_count", "filled_count", "numeric_looking_count", "min_value", "max_value", "avg_value")
 
 
-def value_counts(df: DataFrame, columns: list[Profiled] | list[str], digest: bool = False) -> DataFrame:
-    """(column_name, value, n) for each distinct non-null value of the columns, in canonical text: one grouping for all of them.
+def _reads_only(df: DataFrame) -> bool:
+    """Whether a frame is no more than columns and filters of one source."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.children().size() == 1 and node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    return node.children().isEmpty()
 
-    With digest, values of more than DIGEST_LENGTH characters stand as their MD5, so that long texts are not shuffled.
+
+def distinct_counts(df: DataFrame, columns: list[Profiled]) -> DataFrame:
+    """(column_name, _d): the exact number of distinct non-null values. Long texts are shuffled as their MD5.
+
+    From a file each column is read alone and grouped by its own type; what is costly to compute again is computed once,
+    with one row for each column of a row.
     """
+    def key(c: Profiled) -> Column:
+        x = ticked(c.name)
+        return F.when(F.length(x) > DIGEST_LENGTH, F.md5(x.cast("binary"))).otherwise(x) if isinstance(df.schema[c.name].dataType, T.StringType) else x
+
+    if _reads_only(df):
+        parts = [df.select(key(c).alias("v")).filter("v IS NOT NULL").distinct().agg(F.count(F.lit(1)).alias("_d")).select(F.lit(c.name).alias("column_name"), "_d") for c in columns]
+        return reduce(DataFrame.unionAll, parts)
+    one = df.agg(*[F.count_distinct(key(c)).alias(f"d{i}") for i, c in enumerate(columns)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c.name).alias("column_name"), F.col(f"d{i}").alias("_d")) for i, c in enumerate(columns)])).alias("p")).select("p.*")
+
+
+def value_counts(df: DataFrame, columns: list[Profiled] | list[str]) -> DataFrame:
+    """(column_name, value, n) for each distinct non-null value of the columns, in canonical text: one grouping for all of them."""
     names = [c if isinstance(c, str) else c.name for c in columns]
-    text = lambda n: canonical(ticked(n), df.schema[n].dataType)
-    short = lambda v: F.when(F.length(v) > DIGEST_LENGTH, F.md5(v)).otherwise(v) if digest else v
-    pairs = [F.struct(F.lit(n).alias("column_name"), short(text(n)).alias("value")) for n in names]
+    pairs = [F.struct(F.lit(n).alias("column_name"), canonical(ticked(n), df.schema[n].dataType).alias("value")) for n in names]
     long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("value IS NOT NULL")
     return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 

@@ -54,11 +54,19 @@ def test_filters_and_columns_reach_the_scan(spark, capsys):
     assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_quantity:double>" in plan
 
 
-def test_profile_reads_a_table_once_for_its_sums(spark, capsys):
+def test_profile_reads_a_table_once_and_each_column_alone(spark, capsys):
     from lodestone.operators.profile import column_stats
 
     df = spark.read.parquet(f"{SF}/lineitem.parquet")
     column_stats(df, "lineitem", approximate=True).explain()
     assert capsys.readouterr().out.count("FileScan") == 1
-    column_stats(df, "lineitem").explain()
-    assert capsys.readouterr().out.count("FileScan") == 2
+    column_stats(df, "lineitem").explain("formatted")
+    schemas = [line for line in capsys.readouterr().out.splitlines() if "ReadSchema" in line]
+    assert len(schemas) == 1 + len(df.columns) and sum("," not in s for s in schemas) == len(df.columns)
+
+
+def test_distinct_counts_of_a_computed_table(spark):
+    from lodestone.operators.profile import column_stats
+
+    df = spark.range(100).selectExpr("id % 7 AS a", "repeat(cast(id % 5 AS STRING), 50) AS b").groupBy("a", "b").count()
+    assert [r["distinct_count"] for r in column_stats(df, "t").collect()] == [7, 5, 2]
