@@ -56,7 +56,9 @@ def factor_of(base: int, n: int) -> np.uint64:
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
-    """The least of each n consecutive values."""
+    """The least of each n consecutive values; none, if there are fewer than n."""
+    if len(x) < n:
+        return x[:0]
     width = 1
     while width * 2 <= n:
         x = np.minimum(x[: len(x) - width], x[width:])
@@ -85,7 +87,8 @@ class Stretches:
         n = len(a)
         inside = of[:n] == of[window - 1 :] if n else np.zeros(0, bool)  # not across two texts
         begins = inside.copy()
-        begins[1:] &= ~inside[:-1] | (a[1:] != a[:-1]) | (of[1:n] != of[: n - 1])
+        if n:  # else of[: n - 1] is not empty
+            begins[1:] &= ~inside[:-1] | (a[1:] != a[:-1]) | (of[1:n] != of[: n - 1])
         self.start = np.flatnonzero(begins)
         ends = np.flatnonzero(inside & np.append(begins[1:] | ~inside[1:], True)) if n else self.start
         self.size = ends - self.start + 1

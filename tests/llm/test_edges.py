@@ -117,6 +117,14 @@ def test_op6_small_sketch_loses_nothing(spark, edge_dir):
     assert windows(8) == windows(20) != set()
 
 
+def test_op6_slices_of_a_single_short_text():
+    from lodestone.llm.op6_substring import ANCHOR, WINDOW, Stretches
+
+    for n in range(61):
+        found = Stretches([" ".join(f"w{i}" for i in range(n)).encode()], WINDOW, ANCHOR)
+        assert found.size.sum() == max(0, n - WINDOW + 1), n
+
+
 def test_op8_marks_texts_without_letters(spark, edge_dir):
     rows = {r["doc_id"]: r for r in registry.QUERIES["op8_rank_order"](spark, edge_dir).collect()}
     assert all(rows[i]["lang_pred"] == "und" and rows[i]["score"] == 0 for i in (3, 4, 5, 10))
