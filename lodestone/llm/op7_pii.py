@@ -89,16 +89,24 @@ _PHONE_SHAPE = re.compile(r"\+?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]{1,2}[0-9]{3
 
 
 def islands(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the stretches around triggers, cut at token ends; apart from each other. Linear in the text."""
+    """(start, end) of the stretches around triggers, cut at token ends; apart from each other. Every trigger has its own
+    AROUND words on both sides. Linear in the text."""
     found: list[tuple[int, int]] = []
+    word_end = -1  # of the last trigger's word
     for m in _TRIGGER.finditer(text):
-        if found and m.start() < found[-1][1] - 1:
+        if m.end() < word_end:  # the words to the right are those of a trigger before
             continue
         start, end = m.start(), m.end()
-        for _ in range(AROUND):  # words to the left and to the right
-            start = max(text.rfind(" ", max(0, start - 60), max(0, start - 1)) + 1, start - 60, 0)
+        for i in range(AROUND):  # words to the right
             space = text.find(" ", end + 1, end + 60)
             end = space if space >= 0 else min(len(text), end + 60)
+            if i == 0:
+                word_end = space
+        if found and start < found[-1][1]:
+            found[-1] = (found[-1][0], max(end, found[-1][1]))
+            continue
+        for _ in range(AROUND):  # and to the left
+            start = max(text.rfind(" ", max(0, start - 60), max(0, start - 1)) + 1, start - 60, 0)
         if found and start <= found[-1][1]:
             found[-1] = (found[-1][0], max(end, found[-1][1]))
         else:

@@ -308,6 +308,14 @@ def test_op7_field_learns_other_spellings():
     assert found == [("email", "ann.lee (at) post.example.org")]
 
 
+def test_op7_every_trigger_has_its_words_to_the_right():
+    for text, address in (("room 12 to ann.lee (at) post.example.org", "ann.lee (at) post.example.org"), ("12 john (at) mail (dot) com and more words", "john (at) mail (dot) com"), ("a 7 b c d 8 e f g h i", "8 e f g h")):
+        at = text.index(address)
+        assert any(a <= at and at + len(address) <= b for a, b in op7.islands(text)), text
+    long = "1 x" * 100_000
+    assert op7.islands(long) == [(0, len(long))]
+
+
 def test_op7_decode_is_the_best_segmentation():
     rng = np.random.default_rng(4)
     field = op7.Field(rng.normal(0, 1, (len(op7.KINDS), len(op7.FEATURES))))
