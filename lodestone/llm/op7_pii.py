@@ -18,14 +18,15 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from .common import read, utf8_slices, worker_for
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
-#: The fit reads so many islands at most, those with the least hashes.
+#: The fit reads so many islands at most, those with the least hashes, and for each kind at most so many that have it.
 TRAINING_ISLANDS = 240
+TRAINING_OF_KIND = 30
 #: Tokens around a trigger that belong to its island, and characters of an island of the training sample.
 AROUND, ISLAND_CHARS = 4, 600
 
@@ -291,28 +292,41 @@ def rewritten(text: str, spans: list[tuple[str, int, int]], rng: random.Random)
     return out + text[at:], moved
 
 
-def fit_field(docs: DataFrame, most: int = TRAINING_ISLANDS) -> Field:
-    """A field fitted on the `most` islands of docs (text) with the least hashes among all of them."""
+def sample_islands(docs: DataFrame, most: int = TRAINING_ISLANDS, most_of_kind: int = TRAINING_OF_KIND) -> list[str]:
+    """The `most` islands of docs (text) with the least hashes among all distinct ones, and for each kind the `most_of_kind`
+    with the least hashes among those with a base span of that kind. Neither copies nor partitions change them."""
+    bound = {"": most, **dict.fromkeys(KINDS, most_of_kind)}
 
     def sample(batches):
         import pyarrow as pa
 
         worker_for("op7")
-        kept: dict[str, str] = {}
+        kept: dict[str, dict[str, str]] = {kind: {} for kind in bound}
         for batch in batches:
             for _, texts in utf8_slices(batch):
                 for raw in texts:
                     text = (raw or b"").decode()
                     for a, b in islands(text):
                         s = text[a : min(b, a + ISLAND_CHARS)]
-                        kept[hashlib.md5(s.encode()).hexdigest()] = s
-                if len(kept) > 20 * most:
-                    kept = dict(sorted(kept.items())[:most])
-        kept = dict(sorted(kept.items())[:most])
-        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.string())], names=["h", "island"])
-
-    found = docs.select("text").mapInArrow(sample, "h string, island string").orderBy("h", "island").limit(4 * most).collect()
-    texts = list(dict.fromkeys(r["island"] for r in found))[:most]
+                        h = hashlib.md5(s.encode()).hexdigest()
+                        for kind in {"", *(k for k, _, _ in base_spans(s))}:
+                            kept[kind][h] = s
+                for kind, own in kept.items():
+                    if len(own) > 20 * bound[kind]:
+                        kept[kind] = dict(sorted(own.items())[: bound[kind]])
+        rows = [(kind, h, s) for kind, own in kept.items() for h, s in sorted(own.items())[: bound[kind]]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "h", "island"])
+
+    found = docs.select("text").mapInArrow(sample, "kind string, h string, island string")
+    distinct = found.groupBy("kind", "h").agg(F.min("island").alias("island"))  # copies first, then the bound
+    least = distinct.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("h"))).filter(F.col("place") <= max(bound.values()))
+    rows = sorted((r["kind"], r["place"], r["island"]) for r in least.collect())
+    return list(dict.fromkeys(s for kind, place, s in rows if place <= bound[kind]))
+
+
+def fit_field(docs: DataFrame, most: int = TRAINING_ISLANDS) -> Field:
+    """A field fitted on the sample_islands() of docs (text)."""
+    texts = sample_islands(docs, most)
     rng, examples = random.Random(7), []
     for s in texts:
         spans = base_spans(s)

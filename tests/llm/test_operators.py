@@ -316,6 +316,18 @@ def test_op7_every_trigger_has_its_words_to_the_right():
     assert op7.islands(long) == [(0, len(long))]
 
 
+def test_op7_sample_knows_no_copies_or_partitions(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(op7, "fit", lambda examples: seen.append({t for t, _ in examples}) or op7.Field())
+    rows = [(f"note {i} of the day",) for i in range(120)]
+    docs = spark.createDataFrame(rows + [("host 10.0.0.1 up",), ("card 4111 1111 1111 1111 here",)], "text STRING")
+    copies = docs.union(docs).union(docs).union(docs).union(docs).union(docs).union(docs).union(docs)
+    for d in (docs.coalesce(1), copies.repartition(8)):
+        op7.fit_field(d, 20)
+    assert seen[0] == seen[1] and len(seen[0] & {t for t, in rows}) >= 18
+    assert {"host 10.0.0.1 up", "card 4111 1111 1111 1111 here"} <= seen[0]
+
+
 def test_op7_decode_is_the_best_segmentation():
     rng = np.random.default_rng(4)
     field = op7.Field(rng.normal(0, 1, (len(op7.KINDS), len(op7.FEATURES))))
