@@ -7,8 +7,8 @@ weighting mixes the estimates of all depths with the weights that the counts giv
 sum over its decisions.
 
 Counts of all (DEPTH + 1)-grams of the training texts are added up by Spark; a node at any depth is a sum over them.
-What the executors get is bounded: at most MOST_GRAMS n-grams of each length, those that occur most, of which the
-rest of a node's counts counts as one child more.
+Every node counts. Up to MOST_GRAMS grams, the executors get the whole tree; beyond, they get the probabilities of the
+grams that occur most, and what texts hold of others is joined with the tree, which stays in the shared folder.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from .common import give_back_memory, read, utf8_slices, worker_for
 from .op8_language import held_out
 
 DEPTH = 5
-#: n-grams of each length in a model: with nodes and table, up to about 450 MB in a worker; 100 MB for the test tables.
+#: Grams whose probabilities (and, if these are all, whose nodes) the executors hold: with nodes and table, up to about 450 MB in a worker; 100 MB for the test tables.
 MOST_GRAMS = 1 << 21
 #: Words whose counts the executors hold; rows of other words are joined with their counts.
 MOST_WORDS = 1 << 18
@@ -123,46 +123,84 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - math.log(math.pi)
 
 
+def weighted_levels(grams: list[tuple[np.ndarray, np.ndarray]], bit: int, lowest: int = 0) -> list[dict]:
+    """A bit's nodes at each depth from `lowest`, sorted: counts, estimates, weighted probabilities, weights and the places of
+    their parents. grams: for each depth from `lowest`, sorted (depth + 1)-grams and their counts."""
+    levels = []
+    for keys, n in grams:
+        node = (keys >> np.uint64(8) << np.uint64(8)) | (np.uint64(1 << bit) | ((keys & np.uint64(255)) >> np.uint64(8 - bit)))
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
+        one = (keys >> np.uint64(7 - bit)) & np.uint64(1) == 1
+        total, ones = (np.add.reduceat(x, first) if len(first) else np.zeros(0, np.int64) for x in (n, np.where(one, n, 0)))
+        levels.append({"key": node[first], "first": first, "one": one, "n1": ones, "n0": total - ones})
+    for i in range(len(levels) - 1, -1, -1):  # weights, from the leaves
+        v = levels[i]
+        v["kt"] = log_kt(v["n0"], v["n1"])
+        if i == len(levels) - 1:
+            v["weight"], v["log_p"] = np.ones(len(v["key"])), v["kt"]
+            continue
+        c = levels[i + 1]
+        suffix = c["key"] & np.uint64((1 << (8 * (lowest + i + 1))) - 1)  # the oldest byte goes
+        at = np.searchsorted(v["key"], suffix) if len(v["key"]) else np.zeros(0, np.int64)
+        c["parent"] = at
+        below = np.bincount(at, c["log_p"], len(v["key"]))
+        rest0 = v["n0"] - np.bincount(at, c["n0"], len(v["key"]))
+        rest1 = v["n1"] - np.bincount(at, c["n1"], len(v["key"]))
+        below = below + np.where(rest0 + rest1 > 0, log_kt(np.maximum(rest0, 0), np.maximum(rest1, 0)), 0)
+        v["log_p"] = np.logaddexp(v["kt"], below) - math.log(2)
+        v["weight"] = np.exp(v["kt"] - math.log(2) - v["log_p"])
+    return levels
+
+
+def mixtures(v: dict, a0: np.ndarray, b0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Predictions of a level's nodes, and what their children mix from; a0, b0: the same of their parents."""
+    p1 = (v["n1"] + 0.5) / (v["n0"] + v["n1"] + 1.0)
+    stop = np.clip(a0 + b0 * p1, 1e-9, 1 - 1e-9)
+    return stop.astype(np.float32), a0 + b0 * v["weight"] * p1, b0 * (1 - v["weight"])
+
+
+class Top:
+    """The nodes of depths 0 and 1 of all bits: at most 255 and 2^16. From the nodes of depth 1, sorted: counts, and the sum of
+    the logarithms of the weighted probabilities of their children."""
+
+    def __init__(self, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray):
+        root = np.unique(keys & np.uint64(255))
+        parent = np.searchsorted(root, keys & np.uint64(255))
+        levels = [{"n0": np.bincount(parent, n0, len(root)), "n1": np.bincount(parent, n1, len(root))}, {"n0": n0, "n1": n1}]
+        for v in levels[::-1]:
+            kt = log_kt(v["n0"], v["n1"])
+            log_p = np.logaddexp(kt, below) - math.log(2)
+            v["weight"] = np.exp(kt - math.log(2) - log_p)
+            below = np.bincount(parent, log_p, len(root)) if v is levels[1] else None
+        stop0, a, b = mixtures(levels[0], np.zeros(len(root)), np.ones(len(root)))
+        stop1, self.a, self.b = mixtures(levels[1], a[parent], b[parent])
+        self.keys, self.nodes = keys, [(root, stop0), (keys, stop1)]
+
+
 class Model:
-    """Predictions of the weighted trees. grams: for each depth from 0, sorted (depth + 1)-grams and their counts."""
+    """Predictions of the weighted trees. grams: for each depth from 0, sorted (depth + 1)-grams and their counts; with a top,
+    for each depth from 2, those of some contexts of two bytes."""
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
-        self.depth = len(grams) - 1
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], top: Top | None = None):
+        lowest = 2 if top else 0
+        self.depth = lowest + len(grams) - 1
         #: For each bit and depth the nodes, sorted, and their predictions.
         self.nodes: list[list[tuple[np.ndarray, np.ndarray]]] = []
         known = np.zeros(len(grams[-1][0]))  # log10 of the probability of each gram of the greatest length
         for bit in range(8):
-            levels = []
-            for keys, n in grams:
-                node = (keys >> np.uint64(8) << np.uint64(8)) | (np.uint64(1 << bit) | ((keys & np.uint64(255)) >> np.uint64(8 - bit)))
-                first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
-                one = (keys >> np.uint64(7 - bit)) & np.uint64(1) == 1
-                total, ones = (np.add.reduceat(x, first) if len(first) else np.zeros(0, np.int64) for x in (n, np.where(one, n, 0)))
-                levels.append({"key": node[first], "first": first, "one": one, "n1": ones, "n0": total - ones})
-            for d in range(self.depth, -1, -1):  # weights, from the leaves
-                v = levels[d]
-                v["kt"] = log_kt(v["n0"], v["n1"])
-                if d == self.depth:
-                    v["weight"], v["log_p"] = np.ones(len(v["key"])), v["kt"]
-                    continue
-                c = levels[d + 1]
-                suffix = c["key"] & np.uint64((1 << (8 * (d + 1))) - 1)  # the oldest byte goes
-                at = np.searchsorted(v["key"], suffix) if len(v["key"]) else np.zeros(0, np.int64)
-                c["parent"] = at
-                below = np.bincount(at, c["log_p"], len(v["key"]))
-                rest0 = v["n0"] - np.bincount(at, c["n0"], len(v["key"]))
-                rest1 = v["n1"] - np.bincount(at, c["n1"], len(v["key"]))
-                below = below + np.where(rest0 + rest1 > 0, log_kt(np.maximum(rest0, 0), np.maximum(rest1, 0)), 0)
-                v["log_p"] = np.logaddexp(v["kt"], below) - math.log(2)
-                v["weight"] = np.exp(v["kt"] - math.log(2) - v["log_p"])
+            levels = weighted_levels(grams, bit, lowest)
             a, b = None, None
-            self.nodes.append([])
+            self.nodes.append(list(top.nodes) if top else [])
             for d, v in enumerate(levels):  # mixtures, from the root
-                p1 = (v["n1"] + 0.5) / (v["n0"] + v["n1"] + 1.0)
-                a0, b0 = (np.zeros(len(p1)), np.ones(len(p1))) if d == 0 else (a[v["parent"]], b[v["parent"]])
-                stop = np.clip(a0 + b0 * p1, 1e-9, 1 - 1e-9)
-                a, b = a0 + b0 * v["weight"] * p1, b0 * (1 - v["weight"])
-                self.nodes[bit].append((v["key"], stop.astype(np.float32)))
+                if d:
+                    a0, b0 = a[v["parent"]], b[v["parent"]]
+                elif top:
+                    at = np.searchsorted(top.keys, v["key"] & np.uint64(65535))
+                    a0, b0 = top.a[at], top.b[at]
+                else:
+                    a0, b0 = np.zeros(len(v["key"])), np.ones(len(v["key"]))
+                stop, a, b = mixtures(v, a0, b0)
+                self.nodes[bit].append((v["key"], stop))
                 del v["weight"], v["kt"], v["log_p"], v["n0"], v["n1"]
             v = levels[-1]
             if len(known):
@@ -234,14 +272,18 @@ class Model:
             total += np.log10(np.where(one, p, 1 - p))
         return total
 
-    def score(self, streams: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each stream."""
+    def score(self, streams: list[bytes], missed: list | None = None) -> np.ndarray:
+        """log10 of the probability of each stream. missed gets (streams, grams) that the model leaves open; they add nothing."""
         out = np.zeros(len(streams))
         waiting, size = [], 0
 
         def flush():
             keys = np.concatenate([k for _, k in waiting])
             value = self.log10(keys)
+            open_ = np.isnan(value)
+            if missed is not None and open_.any():
+                missed.append((np.repeat([i for i, _ in waiting], [len(k) for _, k in waiting])[open_], keys[open_]))
+                value[open_] = 0
             starts = np.cumsum([0, *[len(k) for _, k in waiting[:-1]]])
             np.add.at(out, [i for i, _ in waiting], np.add.reduceat(value, starts))
             waiting.clear()
@@ -257,24 +299,127 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, depth: int = DEPTH, most: int = MOST_GRAMS) -> Model:
-    """The model of all texts of docs (text). Without any row every decision has probability one half."""
+class Frequent(Model):
+    """Known probabilities of some grams, from all nodes; others are left open."""
+
+    def __init__(self, grams: np.ndarray, known: np.ndarray, depth: int):
+        self.grams, self.known, self.depth = grams, known.astype(np.float32), depth
+
+    def by_nodes(self, keys: np.ndarray) -> np.ndarray:
+        return np.full(len(keys), np.nan)
+
+
+def levels_of(keys: np.ndarray, n: np.ndarray, depth: int, lowest: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each depth from `lowest`, sorted (depth + 1)-grams and their counts, from distinct ones of the greatest length."""
+    order = np.argsort(keys)
+    return [*(_summed([keys & np.uint64((1 << (8 * (d + 1))) - 1)], [n]) for d in range(lowest, depth)), (keys[order], n[order])]
+
+
+def as_keys(table, column: str = "gram") -> np.ndarray:
+    return table[column].to_numpy().view(np.uint64) if len(table) else np.zeros(0, np.uint64)  # an absent group has no columns
+
+
+def as_counts(table) -> np.ndarray:
+    return table["n"].to_numpy() if len(table) else np.zeros(0, np.int64)
+
+
+class Spread:
+    """The whole tree of any number of grams. They stay in the shared folder, and are met by the two bytes of context next to
+    the byte, dealt to units of about HELD / 4 grams: a task holds one unit's subtrees, from depth 2; only the top is
+    broadcast. counts: (gram, n), of n_grams rows."""
+
+    def __init__(self, counts: DataFrame, depth: int, n_grams: int):
+        import pyarrow as pa
+
+        def sums(table):
+            worker_for("op4")
+            found = []
+            grams = levels_of(as_keys(table), as_counts(table), depth, 2)
+            for bit in range(8):
+                v = weighted_levels(grams, bit, 2)[0]
+                node, at = np.unique(v["key"] & np.uint64(65535), return_inverse=True)
+                found.append((node.view(np.int64), *(np.bincount(at, v[c], len(node)) for c in ("n0", "n1", "log_p"))))
+            return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], names=["node", "n0", "n1", "below"])
+
+        self.depth, self.units = depth, n_grams // (HELD // 4) + 4
+        self.counts = self._met(counts)
+        parts = self.counts.groupBy("unit").applyInArrow(sums, "node long, n0 double, n1 double, below double")
+        top = parts.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).toArrow()  # at most 2^16 rows
+        keys = top["node"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        self.top = counts.sparkSession.sparkContext.broadcast(Top(keys[order], *(top[c].to_numpy()[order] for c in ("n0", "n1", "below"))))
+
+    def _met(self, grams: DataFrame) -> DataFrame:
+        return grams.withColumn("unit", F.pmod(F.xxhash64(F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(65535))), F.lit(self.units)))
+
+    def log10(self, grams: DataFrame) -> DataFrame:
+        """(gram, key, log10) of distinct grams (gram); key: the gram as it stands among the words of score_documents()."""
+        import pyarrow as pa
+
+        depth, top = self.depth, self.top
+
+        def predict(learnt, wanted):
+            worker_for("op4")
+            keys = as_keys(wanted, "wanted")
+            if len(keys):
+                model = Model(levels_of(as_keys(learnt), as_counts(learnt), depth, 2), top.value)
+                value = np.concatenate([model.by_nodes(keys[at : at + HELD]) for at in range(0, len(keys), HELD)])
+            else:
+                value = np.zeros(0)
+            return pa.table([pa.array(keys.view(np.int64)), pa.array(gram_words(keys), pa.binary()), pa.array(value)], names=["gram", "key", "log10"])
+
+        met = self._met(grams.select("gram")).select(F.col("gram").alias("wanted"), F.col("unit").alias("unit")).groupBy("unit")  # columns of its own
+        return self.counts.groupBy("unit").cogroup(met).applyInArrow(predict, "gram long, key binary, log10 double")
+
+
+def gram_words(keys: np.ndarray) -> list[bytes]:
+    """Names of grams that no word has, for no word holds a blank."""
+    return [b" g" + x.to_bytes(8, "big") for x in keys.tolist()]
+
+
+def missed_grams(docs: DataFrame, model) -> DataFrame:
+    """Distinct grams (gram) of the streams of docs (text) that the model (a broadcast one) leaves open."""
+
+    def find(batches):
+        import pyarrow as pa
+
+        worker_for("op4")
+        trees, waiting, size = model.value.built(), [], 0
+
+        def flush():
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(waiting)).view(np.int64))], names=["gram"])
+
+        for batch in batches:
+            for _, texts in utf8_slices(batch):
+                missed: list = []
+                trees.score([stream(words_of(t)) for t in texts], missed)
+                waiting += [np.unique(keys) for _, keys in missed]
+                size += sum(len(keys) for _, keys in missed)
+                if size > 3 * HELD:
+                    yield from flush()
+                    waiting, size = [], 0
+        if waiting:
+            yield from flush()
+
+    return docs.select("text").mapInArrow(find, "gram long").distinct()
+
+
+def fit(docs: DataFrame, depth: int = DEPTH, most: int | None = None) -> tuple[Model, Spread | None]:
+    """The model of all texts of docs (text). Without any row every decision has probability one half.
+
+    With more than `most` grams, the tree that has the rest too, and of the model only the most frequent grams' probabilities in it.
+    """
     from .common import cut
 
+    most = most or MOST_GRAMS
     counts = cut(gram_counts(docs, depth))
-    grams = []
-    for d in range(depth + 1):
-        own = counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n")) if d < depth else counts
-        table = most_frequent(own, most).select("gram", "n").toArrow()  # at most `most` rows
-        keys, n = table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy()
-        order = np.argsort(keys)
-        grams.append((keys[order], n[order]))
-    if depth and len(grams[-1][0]):  # a gram whose suffix is left out would have no parent
-        for d in range(1, depth + 1):
-            keys, n = grams[d]
-            kept = np.isin(keys & np.uint64((1 << (8 * d)) - 1), grams[d - 1][0])
-            grams[d] = keys[kept], n[kept]
-    return Model(grams)
+    n_grams = counts.count()
+    if depth < 2 or n_grams <= most:  # 2^16 grams below depth 2
+        table = counts.select("gram", "n").toArrow()
+        return Model(levels_of(as_keys(table), as_counts(table), depth)), None
+    tree = Spread(counts, depth, n_grams)
+    table = tree.log10(most_frequent(counts, most)).select("gram", "log10").toArrow()  # at most `most` rows
+    return Frequent(as_keys(table), table["log10"].to_numpy(), depth), tree
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -315,7 +460,9 @@ def score_documents(docs: DataFrame, train: DataFrame, depth: int = DEPTH) -> Da
 
     spark = docs.sparkSession
     give_back_memory()
-    model = spark.sparkContext.broadcast(fit(train, depth))
+    trees, tree = fit(train, depth)
+    model = spark.sparkContext.broadcast(trees)
+    del trees
     give_back_memory()
     words = cut(word_counts(train))
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -346,38 +493,49 @@ def score_documents(docs: DataFrame, train: DataFrame, depth: int = DEPTH) -> Da
             for at, texts in utf8_slices(batch):
                 split = [words_of(t) for t in texts]
                 streams = [stream(w) for w in split]
-                scores = trees.score(streams)
+                missed: list = []
+                scores = trees.score(streams, missed)
+                of, grams = (np.concatenate(x) for x in zip(*missed)) if missed else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+                edges = np.searchsorted(of, np.arange(len(texts) + 1)).tolist()
                 rows: list[tuple] = []
                 ids = batch.column("doc_id").slice(at, len(texts)).to_pylist()
                 held = batch.column("held_out").slice(at, len(texts)).to_pylist()
-                for doc_id, out, own, s, bits in zip(ids, held, split, streams, scores.tolist()):
+                for i, (doc_id, out, own, s, bits) in enumerate(zip(ids, held, split, streams, scores.tolist())):
                     logs = list(map(known.get, own))
                     tail = Counter(w for w, x in zip(own, logs) if x is None)
                     n_known, base = len(own) - tail.total() + (ends > 0), math.fsum(x for x in logs if x is not None) + end_log
                     if whole:
                         base += unseen_log * tail.total()
                     # the row of the document itself matches no word, for no word holds a blank
-                    rows.append((uid, b" %d" % uid, None, doc_id, out, len(own) + 1, n_known, base, bits, -bits / math.log10(2) / len(s)))
+                    rows.append((uid, b" %d" % uid, None, doc_id, out, len(own) + 1, n_known, base, bits, len(s)))
                     if not whole:
                         rows.extend((uid, w, n, None, None, None, None, None, None, None) for w, n in tail.items())
+                    if edges[i] < edges[i + 1]:
+                        some, times = np.unique(grams[edges[i] : edges[i + 1]], return_counts=True)
+                        rows.extend((uid, w, n, None, None, None, None, None, None, None) for w, n in zip(gram_words(some), times.tolist()))
                     uid += 1
                 if rows:
-                    kinds = (pa.int64(), pa.binary(), pa.int64(), batch.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["uid", "word", "times", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
+                    kinds = (pa.int64(), pa.binary(), pa.int64(), batch.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["uid", "word", "times", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "size"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "held_out", "text").mapInArrow(score, f"uid long, word binary, times long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
-    if not whole:
-        rare = words.filter(F.col("n") < least).select(F.col("word").alias("_word"), F.col("n").alias("_n"))
+    rows = docs.select("doc_id", "held_out", "text").mapInArrow(score, f"uid long, word binary, times long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, size long")
+    if not whole or tree:
+        rare = words.filter(F.col("n") < least).select(F.col("word").alias("_word"), F.col("n").alias("_n"), F.lit(None).cast("double").alias("_log"))
+        if tree:
+            grams = tree.log10(missed_grams(docs, model))
+            rare = rare.union(grams.select("key", F.lit(None).cast("long"), "log10"))
         joined = rows.join(rare, F.col("word") == F.col("_word"), "left")
-        log = F.log10((F.coalesce("_n", F.lit(0)) + F.lit(SMOOTHING)) / F.lit(below))
-        first = [F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "score", "bits_per_byte")]
+        log = F.when(F.col("_log").isNull(), F.log10((F.coalesce("_n", F.lit(0)) + F.lit(SMOOTHING)) / F.lit(below)))
+        first = [F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "size")]
         rows = joined.groupBy("uid").agg(
             *first,
             (F.max("n_known") + F.coalesce(F.sum(F.when(F.col("_n") > 0, F.col("times"))), F.lit(0))).alias("n_known"),
             (F.max("base_score") + F.coalesce(F.sum(F.col("times") * log), F.lit(0.0))).alias("base_score"),
+            (F.max("score") + F.coalesce(F.sum(F.col("times") * F.col("_log")), F.lit(0.0))).alias("score"),
         )
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
+    bits = -F.col("score") / F.lit(math.log10(2)) / F.col("size")
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
 
 
 def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

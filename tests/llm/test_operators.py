@@ -231,6 +231,23 @@ def test_op4_rare_words_are_joined(spark, monkeypatch):
         assert r["n_known"] == whole[r["doc_id"]]["n_known"] and r["base_score"] == pytest.approx(whole[r["doc_id"]]["base_score"])
 
 
+def test_op4_rare_grams_are_joined(spark, monkeypatch):
+    """With room for few grams only, the rest goes through the join and gives the same."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60").select("doc_id", (F.col("doc_id") % 7 == 0).alias("held_out"), "text")
+    docs = docs.union(spark.createDataFrame([(900, True, "QZX \u00e9\u4e16 #~# zqj")], "doc_id LONG, held_out BOOLEAN, text STRING"))
+    train = docs.filter("NOT held_out").select("text")
+    whole = {r["doc_id"]: r for r in op4.score_documents(docs, train, 4).collect()}
+    monkeypatch.setattr(op4, "MOST_GRAMS", 300)
+    monkeypatch.setattr(op4.fit, "__defaults__", (op4.DEPTH, 300))
+    rows = op4.score_documents(docs, train, 4).collect()
+    assert len(rows) == len(whole)
+    for r in rows:
+        for c in ("n_tokens", "n_known", "base_score", "score", "bits_per_byte"):
+            assert r[c] == pytest.approx(whole[r["doc_id"]][c], rel=1e-6), (r["doc_id"], c)
+
+
 # 5: exact top k
 
 
