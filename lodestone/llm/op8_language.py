@@ -160,10 +160,26 @@ def held_out(mod: int) -> Column:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs without those that no language can be told of: null text or no letter. Profiles come from docs itself."""
-    found = identify(docs, fit_profiles(docs), docs.columns)
+    profiles = fit_profiles(docs)
+    if not profiles:  # no row has a label, so no language is told, but texts with letters stay
+        return with_letters(docs)
+    found = identify(docs, profiles, docs.columns)
     return found.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose text has a letter."""
+
+    def keep(batches):
+        import pyarrow as pa
+
+        worker_for("op8")
+        for batch in batches:
+            yield batch.filter(pa.array([len(grams(text)) > 0 for _, texts in utf8_slices(batch) for text in texts], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op8_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score. Learns from documents that are not held out."""
     docs = read(spark, sf_dir, "documents")

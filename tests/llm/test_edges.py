@@ -132,6 +132,14 @@ def test_op8_marks_texts_without_letters(spark, edge_dir):
     assert rows[0]["held_out"] == (zlib.crc32(b"0") % 5 == 0)
 
 
+def test_language_stage_without_any_label(spark):
+    from lodestone.llm.op8_language import keep_identified
+
+    rows = [(0, "some words", None), (1, None, None), (2, "12 !", None), (3, "你好", None), (4, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")
+    assert sorted(r["doc_id"] for r in keep_identified(docs).collect()) == [0, 3]
+
+
 def test_op9_pieces(spark, edge_dir, edge_rows):
     import public_tokenizers
     from tokenizers import Tokenizer
