@@ -80,7 +80,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 # The field.
-_TOKEN = re.compile(r"[^\W_]+|[^\s]", re.ASCII)
+_TOKEN = re.compile(r"\[\s?(?:at|dot)\s?\]|\(\s?(?:at|dot)\s?\)|[^\W_]+|[^\s]", re.ASCII)  # a bracketed at or dot is one mark
 _TRIGGER = re.compile(r"[0-9@]|[\[(]\s*at\s*[\])]")
 _SEPARATORS = frozenset(" ().-+/ ")
 _EMAIL_SHAPE = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[\[(]\s?at\s?[\])])\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[A-Za-z0-9-]+)+")
@@ -173,9 +173,9 @@ def features(text: str, start: int, end: int) -> list[int]:
 
 def candidates(text: str, span: tuple[int, int], most: int = MAX_TOKENS) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[int]]]]:
     """Tokens of an island, and its candidate segments (first token, end token, features). At most `most` tokens, with
-    a trigger, as few spaces and letters outside as a kind of data can have: the rest would only score as outside."""
+    a trigger, as few spaces and letters outside as a kind of data can have: the rest, longer spellings too, is outside."""
     toks = tokens(text, *span)
-    trigger = [bool(_TRIGGER.search(text, a, b)) or text[a:b] in ("at", "dot") for a, b in toks]
+    trigger = [bool(_TRIGGER.search(text, a, b)) or text[a:b].strip("[]() ") in ("at", "dot") for a, b in toks]
     out = []
     for i in range(len(toks)):
         if not (text[toks[i][0]].isalnum() or text[toks[i][0]] in "+(") or toks[i][0] and text[toks[i][0] - 1].isalnum() and text[toks[i][0] - 1].isascii():

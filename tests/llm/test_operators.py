@@ -325,6 +325,12 @@ def test_op7_field_learns_other_spellings():
     assert found == [("email", "ann.lee (at) post.example.org")]
 
 
+def test_op7_spelled_out_marks_are_one_token():
+    for s in ("jo [dot] doe [at] mail [dot] example [dot] com", "jo.doe (at) mail (dot) example (dot) com", "10[dot]0[dot]0[dot]1"):
+        toks, segments = op7.candidates(s, (0, len(s)))
+        assert (0, len(toks)) in {(i, j) for i, j, _ in segments}, s
+
+
 def test_op7_every_trigger_has_its_words_to_the_right():
     for text, address in (("room 12 to ann.lee (at) post.example.org", "ann.lee (at) post.example.org"), ("12 john (at) mail (dot) com and more words", "john (at) mail (dot) com"), ("a 7 b c d 8 e f g h i", "8 e f g h")):
         at = text.index(address)
