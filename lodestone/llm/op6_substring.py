@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, hash_words, mix64, prefix_sums, read, utf8_slices, worker_for
+from .common import cut, digests, hash_words, join_few, mix64, read, run_hashes, utf8_slices, worker_for
 
 WINDOW = 50
 ANCHOR = 25
@@ -35,26 +35,6 @@ RANGES = 64
 ANCHOR_BITS = 26
 
 
-def run_hashes(words: np.ndarray, n: int, base: int) -> np.ndarray:
-    """A hash of each run of n word hashes: a polynomial in base modulo 2^64, mixed."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(words) - n + 1, np.uint64)
-    done, width, parts = 0, 1, words  # parts: the polynomials of runs of `width` words, by doubling
-    while True:
-        if n & width:
-            out = out * factor_of(base, width) + parts[done : done + len(out)]
-            done += width
-        if done == n:
-            return mix64(out)
-        parts = parts[: len(parts) - width] * factor_of(base, width) + parts[width:]
-        width *= 2
-
-
-def factor_of(base: int, n: int) -> np.uint64:
-    return np.uint64(pow(base, n, 1 << 64))
-
-
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     """The least of each n consecutive values; none, if there are fewer than n."""
     if len(x) < n:
@@ -80,8 +60,8 @@ class Stretches:
     """The stretches of a slice of texts: document (place in the slice), first window, number of windows, anchor."""
 
     def __init__(self, texts: list[bytes | None], window: int, anchor: int):
+        self.texts, self.window = texts, window
         self.words, self.first = hash_words(texts)
-        self.window = window
         a = anchors(self.words, window, anchor)
         of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.first))
         n = len(a)
@@ -101,14 +81,23 @@ class Stretches:
         """Number of the first window within its text."""
         return self.start - self.first[self.of]
 
-    def keys(self) -> list[np.ndarray]:
-        """128 bits of hash of all words of each stretch."""
-        out = []
-        for words, base in ((self.words, 0xD6E8FEB86659FD93), (mix64(self.words), 0xA0761D6478BD642F)):
-            sums, inverse = prefix_sums(words, base)
-            end = self.start + self.size + self.window - 1
-            out.append(mix64((sums[end] - sums[self.start]) * inverse[self.start] + self.size.astype(np.uint64)).view(np.int64))
-        return out
+    def _digests(self, of: np.ndarray, start: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+        own, split, parts = None, [], []
+        for i, a, n in zip(of.tolist(), start.tolist(), n_words.tolist()):  # texts in order
+            if i != own:
+                own, split = i, self.texts[i].split()
+            parts.append(b" ".join(split[a : a + n]))
+        return digests(parts)
+
+    def keys(self) -> np.ndarray:
+        """128-bit digests of all words of each stretch."""
+        return self._digests(self.of, self.place(), self.size + self.window - 1)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The stretches' windows one by one: text, place in it, 128-bit digest of the words."""
+        of = np.repeat(self.of, self.size)
+        place = np.repeat(self.place() - np.cumsum(self.size) + self.size, self.size) + np.arange(self.size.sum())
+        return of, place, self._digests(of, place, np.full(len(of), self.window))
 
 
 def sketch(docs: DataFrame, bits: int, window: int, anchor: int) -> DataFrame:
@@ -173,9 +162,10 @@ def sketch_bits_for(docs: DataFrame, window: int, anchor: int) -> int:
 
 
 def repeated(docs: DataFrame, sketch_bits: int | None = None, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, start, size): windows start .. start + size - 1 of doc_id, each of which an earlier document has too."""
+    """(doc_id, text_hash, start, size): windows start .. start + size - 1 of the text of doc_id with this xxhash64, each of
+    which a document with a smaller doc_id has too."""
     spark = docs.sparkSession
-    docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     bits = sketch_bits or sketch_bits_for(docs, window, anchor)
     ranges = min(RANGES, (1 << bits) >> 3)  # whole bytes
     table = np.zeros((ROWS, ranges, (1 << bits) // ranges // 8), np.uint8)
@@ -194,18 +184,18 @@ def repeated(docs: DataFrame, sketch_bits: int | None = None, window: int = WIND
     def find(batches):
         worker_for("op6")
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids, hashes = batch.column("doc_id").to_numpy(), batch.column("text_hash").to_numpy()
             for at, texts in utf8_slices(batch):
                 found = candidates(texts)
                 if len(found.start):
-                    k1, k2 = found.keys()
-                    columns = (ids[at + found.of], found.place().astype(np.int32), found.size.astype(np.int32), found.anchor.view(np.int64), k1, k2)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "size", "anchor", "k1", "k2"])
-
-    stretches = docs.mapInArrow(find, "doc_id long, start int, size int, anchor long, k1 long, k2 long")
-    whole = cut(stretches.groupBy("anchor", "k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
-    copied = whole.filter("first < last").select("k1", "k2", "first")
-    by_stretch = stretches.join(copied, ["k1", "k2"]).filter("doc_id > first").select("doc_id", "start", "size")
+                    k1, k2 = found.keys().T
+                    columns = (ids[at + found.of], hashes[at + found.of], found.place().astype(np.int32), found.size.astype(np.int32), found.anchor.view(np.int64), k1, k2)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "text_hash", "start", "size", "anchor", "k1", "k2"])
+
+    stretches = docs.mapInArrow(find, "doc_id long, text_hash long, start int, size int, anchor long, k1 long, k2 long")
+    whole = cut(stretches.groupBy("anchor", "k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")))
+    copied = whole.filter("first < last").select("k1", "k2", "first", "n")
+    by_stretch = join_few(stretches.select("doc_id", "text_hash", "start", "size", "k1", "k2"), copied, ["k1", "k2"], ["doc_id", "start"]).filter("doc_id > first").select("doc_id", "text_hash", "start", "size")
     several = whole.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.shiftrightunsigned("anchor", 64 - ANCHOR_BITS).alias("slot"))
     parts = several.select(F.shiftright("slot", 15).alias("part"), F.col("slot").bitwiseAND(F.lit(32767)).alias("bit")).groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
     table = np.zeros(((1 << ANCHOR_BITS) >> 15, 4096), np.uint8)
@@ -216,29 +206,29 @@ def repeated(docs: DataFrame, sketch_bits: int | None = None, window: int = WIND
     def expand(batches):
         worker_for("op6")
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids, hashes = batch.column("doc_id").to_numpy(), batch.column("text_hash").to_numpy()
             for at, texts in utf8_slices(batch):
                 found = candidates(texts)
                 s = (found.anchor >> np.uint64(64 - ANCHOR_BITS)).astype(np.int64)
                 found.keep((differ.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1)
                 if len(found.start):
-                    starts = np.repeat(found.start - np.cumsum(found.size) + found.size, found.size) + np.arange(found.size.sum())
-                    of = np.repeat(found.of, found.size)
-                    h1 = run_hashes(found.words, window, 0xD6E8FEB86659FD93)[starts].view(np.int64)
-                    h2 = run_hashes(mix64(found.words), window, 0xA0761D6478BD642F)[starts].view(np.int64)
-                    columns = (ids[at + of], (starts - found.first[of]).astype(np.int32), h1, h2)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "h1", "h2"])
-
-    windows = docs.mapInArrow(expand, "doc_id long, start int, h1 long, h2 long")
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first")
-    by_window = windows.join(first, ["h1", "h2"]).filter("doc_id > first").select("doc_id", "start", F.lit(1).alias("size"))
+                    of, place, keys = found.windows()
+                    k1, k2 = keys.T
+                    columns = (ids[at + of], hashes[at + of], place.astype(np.int32), k1, k2)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "text_hash", "start", "k1", "k2"])
+
+    windows = docs.mapInArrow(expand, "doc_id long, text_hash long, start int, k1 long, k2 long")
+    first = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    first = cut(first.filter("first < last").select("k1", "k2", "first", "n"))
+    by_window = join_few(windows, first, ["k1", "k2"], ["doc_id", "start"]).filter("doc_id > first").select("doc_id", "text_hash", "start", F.lit(1).alias("size"))
     return by_stretch.union(by_window)
 
 
 def without_repeats(docs: DataFrame, emit, schema: str, sketch_bits: int | None = None, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """emit(other columns of the row, text, words, mask of removed words or None) -> output tuple, for each row of docs (doc_id, text, ...)."""
     found = repeated(docs, sketch_bits, window, anchor)
-    removed = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("_removed")).withColumnRenamed("doc_id", "_id")  # no longer than the document
+    spans = F.collect_set(F.struct("start", "size")).alias("_removed")  # a set, as rows that repeat a document repeat its spans
+    removed = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(spans)  # no longer than the document
     names, types = [c.split()[0] for c in schema.split(", ")], [_ARROW[c.split()[1]] for c in schema.split(", ")]
 
     def apply(batches):
@@ -259,7 +249,7 @@ def without_repeats(docs: DataFrame, emit, schema: str, sketch_bits: int | None
                     rows.append(emit(row, text, words, gone))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    joined = docs.join(removed, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    joined = docs.join(removed, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left").drop("_id", "_hash")
     return joined.mapInArrow(apply, schema)
 
 
@@ -270,7 +260,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """documents (doc_id, text, lang, source, n_chars) with repeated windows cut out of the text.
 
     Texts that lose no word stay as they are, others get their kept words joined by one space. Null texts stay null,
-    rows without doc_id stay as they are. Rows that repeat a doc_id count as one document.
+    rows without doc_id stay as they are. Rows that repeat a doc_id count as one document, whose texts are cut one by one.
     """
 
     def emit(row, text, words, gone):
@@ -284,7 +274,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op6_count_min_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256. Null text: no words."""
+    """Per row of documents: doc_id, n_words, n_removed, kept_sha256. Null text: no words. Rows that share a doc_id, with equal or
+    different texts, are never repeats of each other; each is judged against smaller doc_ids. Rows without doc_id keep all."""
 
     def emit(row, text, words, gone):
         kept = [w for w, g in zip(words, gone) if not g] if gone else words
@@ -295,14 +286,14 @@ def op6_count_min_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: DuckDB SQL for op6_count_min_windows: every window of every document, grouped as text.
 ORACLE = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
-win AS (SELECT doc_id, i, CASE WHEN i + 49 <= len(w) THEN sha256(array_to_string(list_slice(w, i, i + 49), ' ')) END AS h FROM p),
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT uid, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+win AS (SELECT uid, doc_id, i, CASE WHEN i + 49 <= len(w) THEN sha256(array_to_string(list_slice(w, i, i + 49), ' ')) END AS h FROM p),
 first AS (SELECT h, min(doc_id) AS m FROM win WHERE h IS NOT NULL GROUP BY h),
-hit AS (SELECT win.doc_id, win.i, (m IS NOT NULL AND m < win.doc_id)::INT AS b FROM win LEFT JOIN first ON win.h = first.h),
-cov AS (SELECT doc_id, i, max(b) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM hit),
-k AS (SELECT cov.doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed,
-      coalesce(string_agg(d.w[i], ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM cov JOIN d USING (doc_id) GROUP BY cov.doc_id)
+hit AS (SELECT uid, win.i, coalesce(m < win.doc_id, false)::INT AS b FROM win LEFT JOIN first ON win.h = first.h),
+cov AS (SELECT uid, i, max(b) OVER (PARTITION BY uid ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM hit),
+k AS (SELECT uid, count(*) AS n_words, sum(gone)::BIGINT AS n_removed,
+      coalesce(string_agg(d.w[i], ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM cov JOIN d USING (uid) GROUP BY uid)
 SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM d LEFT JOIN k USING (doc_id)
+FROM d LEFT JOIN k USING (uid)
 """

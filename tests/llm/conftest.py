@@ -50,3 +50,31 @@ def empty_dir(spark, tmp_path_factory):
     spark.createDataFrame([], DOCUMENTS).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "vec_id LONG, embedding ARRAY<FLOAT>, label INT").write.parquet(f"{folder}/embeddings.parquet")
     return folder
+
+
+def thue_morse(n):
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
+@pytest.fixture(scope="session")
+def twin_rows():
+    """Rows that share a doc_id, with equal and different texts; and texts that differ where sums of products modulo 2^64 do not."""
+    rng = random.Random(9)
+    passage, base = make_text(rng, 60), make_text(rng, 150)
+    near = " ".join(["other", *base.split()[1:]])
+    letters = ["".join("ab"[x ^ flip] for x in thue_morse(1024)) for flip in (0, 1)]
+    words = [" ".join("ab"[x ^ flip] for x in thue_morse(1024)) for flip in (0, 1)]
+    sides = make_text(rng, 30), make_text(rng, 30)
+    rows = [
+        (1, passage), (2, make_text(rng, 10) + " " + passage), (2, make_text(rng, 200)), (2, passage + " " + make_text(rng, 90)), (2, "short"), (2, None),
+        (3, base), (3, base), (3, near), (4, near), (4, make_text(rng, 100)), (5, f"{sides[0]} {letters[0]} {sides[1]}"), (6, f"{sides[0]} {letters[1]} {sides[1]}"),
+        (7, words[0]), (8, words[1]), (None, passage), (None, passage), (9, passage + " " + make_text(rng, 80)), (9, passage + " " + make_text(rng, 80)),
+    ]
+    return [(i, t, "en", "s", None if t is None else len(t)) for i, t in rows]
+
+
+@pytest.fixture(scope="session")
+def twin_dir(spark, twin_rows, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("twins"))
+    spark.createDataFrame(twin_rows, DOCUMENTS).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    return folder

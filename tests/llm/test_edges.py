@@ -188,3 +188,76 @@ def test_pipeline_stages_take_effect(spark, edge_dir, edge_rows):
     assert cut[7]["text"] == whole[7] and len(cut[8]["text"].split()) == 40 and cut[8]["n_chars"] == len(cut[8]["text"])
     for name in ("language", "near_dedup", "substring_dedup", "personal_data"):
         assert set(seen[name][0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars"}
+
+
+def oracle_rows(folder, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return sorted(map(str, duck.sql(registry.ORACLE_SQL[name]).fetchall()))
+
+
+def test_op6_rows_that_share_a_doc_id(spark, twin_dir):
+    rows = registry.QUERIES["op6_count_min_windows"](spark, twin_dir).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(str(tuple(r)) for r in rows) == oracle_rows(twin_dir, "op6_count_min_windows")
+    removed = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in rows}
+    assert removed[6, 61] == removed[5, 61] == 0 and removed[2, 70] == 60 and removed[9, 140] == 60
+
+
+def test_op2_rows_that_share_a_doc_id(spark, twin_dir, twin_rows):
+    from .test_operators import similarity_classes
+
+    got = Counter((r["doc_id"], r["class_id"]) for r in registry.QUERIES["op2_dartminhash"](spark, twin_dir).collect())
+    known = [(i, t) for i, t, *_ in twin_rows if i is not None]
+    root = similarity_classes(dict(enumerate(t for _, t in known)))
+    least = {}
+    for at, (i, t) in enumerate(known):
+        least[root[at]] = min(i, least.get(root[at], i))
+    want = Counter((i, least[root[at]] if (t or "").split() else i) for at, (i, t) in enumerate(known))
+    want[None, None] = 2
+    assert got == want and {(2, 1), (2, 2), (4, 3), (4, 4), (6, 5)} <= set(got)
+
+
+def test_near_dedup_leaves_one_row_of_a_group(spark, twin_dir):
+    from lodestone.llm.op2_dartminhash import drop_near_duplicates
+
+    kept = drop_near_duplicates(spark.read.parquet(f"{twin_dir}/documents.parquet")).collect()
+    ids = Counter(r["doc_id"] for r in kept)
+    assert ids[3] == ids[4] == ids[1] == 1 and ids[None] == 2
+
+
+@pytest.mark.parametrize("name", ["op3_jump_shards", "op4_context_tree", "op7_semi_markov", "op8_rank_order", "op10_shared_prefix"])
+def test_a_row_for_each_row_that_shares_a_doc_id(spark, twin_dir, twin_rows, name):
+    assert Counter(r["doc_id"] for r in registry.QUERIES[name](spark, twin_dir).collect()) == Counter(r[0] for r in twin_rows)
+
+
+def test_pipeline_on_rows_that_share_a_doc_id(spark, twin_dir):
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, twin_dir).collect()} >= {1, 2, 3, 4, 5, None}
+
+
+def test_gapless_with_one_value_in_most_rows(spark):
+    from lodestone.llm.common import gapless, range_of, splits
+
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, (i * 7919) % 1009, i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a LONG, b LONG, g INT")
+    ranges = df.groupBy(range_of(["a", "b"], *splits(df, ["a", "b"], 12))).count().collect()
+    assert max(r["count"] for r in ranges) < 700
+    by = defaultdict(list)
+    for r in gapless(df, "g", ["a", "b"], "at", 12).collect():
+        by[r["g"]].append((r["at"], (r["a"] is not None, r["a"] or 0, r["b"])))
+    for found in by.values():
+        found.sort()
+        assert [x for x, _ in found] == list(range(len(found))) and [k for _, k in found] == sorted(k for _, k in found)
+
+
+def test_join_few_spreads_a_frequent_value(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "FAIR_ROWS", 10)
+    rows = spark.createDataFrame([(1 if i % 2 else i, i) for i in range(2000)], "k LONG, v LONG")
+    few = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")).filter("k <> 4")
+    got = sorted(tuple(r) for r in common.join_few(rows, few, ["k"], ["v"]).select("k", "v", "top").collect())
+    assert got == sorted((1 if i % 2 else i, i, 1999 if i % 2 else i) for i in range(2000) if i != 4)

@@ -121,14 +121,50 @@ def test_op2_group_of_near_copies(spark):
 
 
 def test_op2_signatures_estimate_weighted_jaccard():
+    """Real weights, small and large, against the similarity itself."""
     rng = np.random.default_rng(0)
     pool = common.mix64(np.arange(1, 5001, dtype=np.uint64))
-    for n, shared in ((400, 300), (30, 20), (3, 2), (2000, 1200)):
-        a, b = pool[:n], np.concatenate([pool[:shared], pool[4000 : 4000 + n - shared]])
-        k = 1024
-        s = op2.signatures([np.sort(a), np.sort(b)], k)
-        assert abs((s[0] == s[1]).mean() - shared / (2 * n - shared)) < 4 / k**0.5
-    assert rng is not None
+    for n, shared, scale in ((400, 300, 0), (30, 20, 0), (3, 2, 0), (2000, 1200, 0), (300, 200, 1), (300, 200, 0.1), (40, 30, 500), (3, 3, 3000)):
+        sets = []
+        for keys in (pool[:n], np.concatenate([pool[:shared], pool[4000 : 4000 + n - shared]])):
+            weights = rng.exponential(scale, n) + 1e-3 if scale else np.ones(n)
+            order = np.argsort(keys)
+            sets.append((keys[order], weights[order]))
+        k = 2048
+        s = op2.signatures(sets, k)
+        want = op2.jaccard(*sets)
+        assert abs((s[0] == s[1]).mean() - want) < 4 * (want * (1 - want) / k) ** 0.5 + 1e-3, (n, scale)
+        assert all((x == y).all() for x, y in zip(op2.unpacked(op2.packed(sets[0])), sets[0]))
+
+
+def test_op2_few_darts_for_heavy_weights(monkeypatch):
+    """The darts tried grow with the elements, not with the total weight."""
+    tried = []
+    real = op2._darts
+    monkeypatch.setattr(op2, "_darts", lambda keys, number: tried.append(np.broadcast(keys, number).size) or real(keys, number))
+    keys = np.sort(common.mix64(np.arange(1, 101, dtype=np.uint64)))
+    for scale in (1.0, 1e6):
+        tried.append(0)
+        op2.signatures([(keys, np.full(100, scale))], 252)
+    first = tried.index(0, 1)
+    assert sum(tried[first:]) < 6 * sum(tried[:first])
+
+
+def test_op2_prefix_pairs_lose_none(spark):
+    """Every pair that is similar enough, of texts with different roots, among sets of different sizes and weights."""
+    rng = np.random.default_rng(5)
+    sets = {}
+    for i in range(120):
+        family = rng.integers(0, 6)
+        size = int(rng.integers(30, 60))
+        keys = np.unique(np.concatenate([np.arange(size, dtype=np.uint64) + np.uint64(family * 1000), rng.integers(10_000, 20_000, int(rng.integers(0, 9))).astype(np.uint64)]))
+        sets[i] = (keys, rng.integers(1, 3, len(keys)).astype(float) if family % 2 else np.ones(len(keys)))
+    keys = spark.createDataFrame([(i, bytearray(op2.packed(s))) for i, s in sets.items()], "id LONG, keys BINARY")
+    placed = spark.createDataFrame([(0, i, i if i % 3 else 0) for i in sets], "bucket LONG, rep LONG, root LONG")
+    got = {(r["a"], r["b"]) for r in op2._prefix_pairs(placed, keys, 0.8).collect()}
+    root = {i: i if i % 3 else 0 for i in sets}
+    want = {(a, b) for a in sets for b in sets if a < b and root[a] != root[b] and op2.jaccard(sets[a], sets[b]) >= 0.8}
+    assert want and want <= got
 
 
 def test_components(spark):
@@ -475,7 +511,6 @@ def test_words_are_hashed_alike_wherever_they_stand(texts):
 
 def test_long_texts_are_hashed_in_parts(monkeypatch):
     monkeypatch.setattr(common, "HASH_BYTES", 64)
-    monkeypatch.setattr(common, "_POWERS", {})
     text = (" ".join(f"word{i % 7}" for i in range(300)) + " " + "x" * 500 + " end").encode()
     hashes, first = common.hash_words([text, b"word3"])
     words = text.split()
@@ -519,3 +554,19 @@ def test_op3_writes_a_folder_for_each_shard(spark, tmp_path):
     write_shards(docs, "doc_id", 4, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and {r["shard"] for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_hashes_tell_thue_morse_words_apart():
+    """Words and runs that sums of products modulo 2^64 confuse, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = (bytes(97 + (x ^ flip) for x in bits) for flip in (0, 1))
+    assert len(set(common.hash_words([one + b" " + two, one[:200] + b" " + two[:200]])[0].tolist())) == 4
+    pair = common.mix64(np.array([1, 2], np.uint64))
+    assert common.run_hashes(pair[bits], 1024, 1)[0] != common.run_hashes(pair[1 - np.array(bits)], 1024, 1)[0]
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 25, 50])
+def test_run_hashes_depend_on_the_run_alone(n):
+    x = common.mix64(np.arange(200, dtype=np.uint64) % np.uint64(60))
+    h = common.run_hashes(x, n, 7)
+    assert len(h) == 200 - n + 1 and (h[:60] == h[60:120]).all() and len(set(h.tolist())) == 60
