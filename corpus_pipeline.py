@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import read, rewritten
+from lodestone.llm.common import read, remove, rewritten
 from lodestone.llm.op2_dartminhash import drop_near_duplicates
 from lodestone.llm.op6_substring import dedup_substrings
 from lodestone.llm.op7_pii import redact_documents
@@ -56,7 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = rewritten(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            remove(spark, before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
