@@ -12,11 +12,13 @@ a bound on its k-th distance to start from.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut, read, worker_for
-from .vectors import best_rows, classes_of, of_usual_length, ranked_results, stacked, valid
+from .vectors import best_rows, classes_of, lengths, ranked_results, stacked, valid
 
 K = 5
 QUERY_EVERY = 50
@@ -24,7 +26,7 @@ QUERY_EVERY = 50
 TRAINING, TRAINING_QUERIES = 16_384, 512
 LEAST_LISTS, MOST_LISTS = 4, 1024
 PROBE_RECALL = 0.98
-#: Rows in a unit of lists, and queries that meet one at a time on average.
+#: Rows in a unit of lists, and queries that meet one at a time on average; a unit's rows are copied only where more do.
 UNIT, CHUNK = 8192, 8192
 #: Dimensions in a column block; the test's confidence (in the published notation, epsilon 0).
 STEP, EPSILON = 16, 2.1
@@ -186,10 +188,18 @@ def units_of(sizes: dict[int, int], rows: int = UNIT) -> dict[int, tuple[int, in
     return out
 
 
+def chunks_of(asking: dict[int, int], units: dict[int, tuple[int, int]], queries: int = CHUNK) -> dict[int, int]:
+    """For each list that queries probe (asking: how many) into how many chunks of queries those of its unit are cut."""
+    together: dict[int, int] = {}
+    for x, n in asking.items():
+        together[units[x][0]] = together.get(units[x][0], 0) + n
+    return {x: -(-together[units[x][0]] // queries) for x in units if units[x][0] in together}
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): for queries (query_id, vec) the k nearest found among vectors (vec_id, vec), by
     largest cosine; ties to the smaller vec_id. A row is no candidate of a query with its own id. Equal vectors are
-    searched once."""
+    searched once. All vectors are of one length."""
     import pyarrow as pa
 
     spark = vectors.sparkSession
@@ -212,12 +222,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     indexed = cut(classes.select("class_id", "vec").mapInArrow(assign, f"class_id long, vec {vec_type}, list int"))
     sizes = {r["list"]: r["count"] for r in indexed.groupBy("list").count().collect()}  # at most MOST_LISTS rows
     units = units_of(sizes)
-    n_queries = asked.select("query_class").distinct().count()
-    chunks = max(1, -(-n_queries // CHUNK))
-    starts, parts = (F.create_map(*[F.lit(v) for x, u in units.items() for v in (x, u[i])]) for i in (0, 1))
-    unit = starts[F.col("list")] + F.pmod(F.xxhash64("class_id"), parts[F.col("list")].cast("long")).cast("int")
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    left = indexed.select("class_id", "vec", "list", unit.alias("unit"), numbers.alias("chunk"))
 
     def probe(batches):
         worker_for("op1")
@@ -243,8 +247,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column("class_id").take(t), part.column("vec").take(t), pa.array(lists, pa.list_(pa.int32())), pa.array(bounds[place]), pa.array(unit, pa.int32())], names=["query_class", "query", "lists", "bound", "unit_met"])
 
     wanted = classes.join(asked.select(F.col("query_class").alias("class_id")).distinct(), "class_id", "left_semi").select("class_id", "vec")
-    right = wanted.mapInArrow(probe, f"query_class long, query {vec_type}, lists array<int>, bound double, unit_met int")
-    right = right.withColumn("own_chunk", F.pmod(F.xxhash64("query_class"), F.lit(chunks).cast("long")).cast("int"))
+    right = cut(wanted.mapInArrow(probe, f"query_class long, query {vec_type}, lists array<int>, bound double, unit_met int"))
+    asking = right.select("unit_met", F.explode("lists").alias("list")).groupBy("unit_met", "list").count().groupBy("list").agg(F.max("count").alias("n")).collect()  # at most MOST_LISTS rows
+    chunks = chunks_of({r["list"]: r["n"] for r in asking}, units)
+    if not chunks:
+        return ranked_results(spark.createDataFrame([], "query_class long, class_id long, score double"), classes, asked, k)
+    table = lambda values: F.create_map(*[F.lit(v) for pair in values.items() for v in pair])
+    starts, parts = (table({x: u[i] for x, u in units.items()}) for i in (0, 1))
+    unit = starts[F.col("list")] + F.pmod(F.xxhash64("class_id"), parts[F.col("list")].cast("long")).cast("int")
+    met = indexed.filter(F.col("list").isin(list(chunks)))  # rows of lists that no query probes go nowhere
+    left = met.select("class_id", "vec", "list", unit.alias("unit"), F.explode(F.sequence(F.lit(0), table(chunks)[F.col("list")] - 1)).alias("chunk"))
+    right = right.withColumn("own_chunk", F.pmod(F.xxhash64("query_class"), table(chunks)[F.col("lists")[0]].cast("long")).cast("int"))
 
     def search(rows, asked):
         worker_for("op1")
@@ -266,9 +279,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest found of every embedding whose vec_id is divisible by 50.
 
-    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors of another
-    length than most have, nor rows without vec_id.
+    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without vec_id.
+    Vectors of several lengths are compared within each length, by an index of its own.
     """
     rows = read(spark, sf_dir, "embeddings").filter("vec_id IS NOT NULL").filter(valid(F.col("embedding")) & F.exists("embedding", lambda x: x != 0))
-    rows = of_usual_length(rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vec")), "vec")
-    return nearest(rows, rows.filter(F.col("vec_id") % QUERY_EVERY == 0).withColumnRenamed("vec_id", "query_id"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vec"))
+    found = []
+    for d in lengths(rows, "vec") or [0]:
+        own = rows.filter(F.size("vec") == d)
+        found.append(nearest(own, own.filter(F.col("vec_id") % QUERY_EVERY == 0).withColumnRenamed("vec_id", "query_id")))
+    return reduce(DataFrame.union, found)

@@ -3,8 +3,8 @@
 A text is the bytes of its words in lower case, a blank behind each, then a line end. Each byte is eight binary
 decisions; each decision has a context tree over the bytes before, of depth DEPTH. A node holds how often its
 decision went either way in the training texts, and predicts by the Krichevsky-Trofimov estimate; context-tree
-weighting mixes the estimates of all depths with the weights that the counts give. The code length of a text is the
-sum over its decisions.
+weighting mixes the estimates of all depths with the weights that the counts give. A context that training has not met
+is an empty subtree, which predicts 1/2. The code length of a text is the sum over its decisions.
 
 Counts of all (DEPTH + 1)-grams of the training texts are added up by Spark; a node at any depth is a sum over them.
 Every node counts. Up to MOST_GRAMS grams, the executors get the whole tree; beyond, they get the probabilities of the
@@ -143,20 +143,18 @@ def weighted_levels(grams: list[tuple[np.ndarray, np.ndarray]], bit: int, lowest
         suffix = c["key"] & np.uint64((1 << (8 * (lowest + i + 1))) - 1)  # the oldest byte goes
         at = np.searchsorted(v["key"], suffix) if len(v["key"]) else np.zeros(0, np.int64)
         c["parent"] = at
-        below = np.bincount(at, c["log_p"], len(v["key"]))
-        rest0 = v["n0"] - np.bincount(at, c["n0"], len(v["key"]))
-        rest1 = v["n1"] - np.bincount(at, c["n1"], len(v["key"]))
-        below = below + np.where(rest0 + rest1 > 0, log_kt(np.maximum(rest0, 0), np.maximum(rest1, 0)), 0)
+        below = np.bincount(at, c["log_p"], len(v["key"]))  # every decision of a node is one of a child's
         v["log_p"] = np.logaddexp(v["kt"], below) - math.log(2)
         v["weight"] = np.exp(v["kt"] - math.log(2) - v["log_p"])
     return levels
 
 
 def mixtures(v: dict, a0: np.ndarray, b0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Predictions of a level's nodes, and what their children mix from; a0, b0: the same of their parents."""
+    """Predictions of a level's nodes for contexts that go on with no node below (an empty subtree predicts 1/2; leaves have none,
+    their weight is 1), and what their children mix from; a0, b0: the same of their parents."""
     p1 = (v["n1"] + 0.5) / (v["n0"] + v["n1"] + 1.0)
-    stop = np.clip(a0 + b0 * p1, 1e-9, 1 - 1e-9)
-    return stop.astype(np.float32), a0 + b0 * v["weight"] * p1, b0 * (1 - v["weight"])
+    a, b = a0 + b0 * v["weight"] * p1, b0 * (1 - v["weight"])
+    return np.clip(a + b / 2, 1e-9, 1 - 1e-9).astype(np.float32), a, b
 
 
 class Top:
@@ -253,7 +251,7 @@ class Model:
         return out
 
     def by_nodes(self, keys: np.ndarray) -> np.ndarray:
-        """The same, decision by decision, each from the deepest node that training has met."""
+        """The same, decision by decision, each from the deepest node that training has met, with 1/2 for the empty subtree below."""
         total = np.zeros(len(keys))
         for bit in range(8):
             node = (keys >> np.uint64(8) << np.uint64(8)) | (np.uint64(1 << bit) | ((keys & np.uint64(255)) >> np.uint64(8 - bit)))

@@ -1,13 +1,17 @@
 """Personal data by a semi-Markov conditional random field (Sarawagi and Cohen, 2004) over base patterns.
 
 Base spans come from fixed patterns. The field looks at islands of tokens around digits, `@` and their spelled-out
-forms. Candidate segments are runs of at most MAX_TOKENS tokens; whole-span features (shape, number of digits, check
-sum, separators, neighbours) give each (segment, kind) a score, tokens outside have score 0, and dynamic programming
-over segment ends chooses boundaries and kinds together. Spans it finds beside the base ones are added.
+forms. Candidate segments are runs of at most MAX_TOKENS tokens that some kind of data may be: an address has an at
+and a dot, an ip four parts of at most 255, a card 16 to 19 digits that pass the check sum, a phone 7 to 15 digits.
+Other labels have no weight, so no segment gets one. Whole-span features (shape, number of digits, separators,
+neighbours) give each (segment, kind) a score, tokens outside have score 0, and dynamic programming over segment ends
+chooses boundaries and kinds together. Spans it finds beside the base ones are added.
 
 The weights are fitted here, by the likelihood's gradient (forward and backward sums over segmentations), on a bounded
-sample of islands: their base spans are the labels, and for each island a rewritten copy is learnt as well, in which
-its spans are written in another way (spaces around marks, spelled-out marks, no plus sign, other separators).
+sample of islands: their base spans are the labels, and for each island two more copies are learnt: a rewritten one,
+in which its spans are written in another way (spaces around marks, spelled-out marks, no plus sign, other
+separators), and a broken one, in which they are spoilt (a part of 256 and more, a wrong check digit, too few digits,
+no domain) and so are no data any more.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from .common import read, utf8_slices, worker_for
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 16
+MAX_TOKENS = 40
 #: The fit reads so many islands at most, those with the least hashes, and for each kind at most so many that have it.
 TRAINING_ISLANDS = 240
 TRAINING_OF_KIND = 30
@@ -82,9 +86,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # The field.
 _TOKEN = re.compile(r"\[\s?(?:at|dot)\s?\]|\(\s?(?:at|dot)\s?\)|[^\W_]+|[^\s]", re.ASCII)  # a bracketed at or dot is one mark
 _TRIGGER = re.compile(r"[0-9@]|[\[(]\s*at\s*[\])]")
-_SEPARATORS = frozenset(" ().-+/ ")
-_EMAIL_SHAPE = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[\[(]\s?at\s?[\])])\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[A-Za-z0-9-]+)+")
-_IP_SHAPE = re.compile(r"[0-9]{1,3}(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[0-9]{1,3}){3}")
+_SEPARATORS = frozenset(" ().-+/\u00a0")
+_DOT, _AT_SIGN = r"(?:\.|[\[(]\s?dot\s?[\])])", r"(?:@|[\[(]\s?at\s?[\])])"
+_DOT_MARK, _AT_MARK = re.compile(_DOT), re.compile(_AT_SIGN)
+_BETWEEN = rf"(?:{_DOT}|\s{_DOT}\s)"  # a dot with a space behind only ends a sentence
+_EMAIL_SHAPE = re.compile(rf"[A-Za-z0-9_%+-]+(?:{_BETWEEN}[A-Za-z0-9_%+-]+)*\s?{_AT_SIGN}\s?[A-Za-z0-9-]+(?:{_BETWEEN}[A-Za-z0-9-]+)+")
+_ON_RIGHT, _ON_LEFT = re.compile(rf"{_BETWEEN}[A-Za-z0-9-]"), re.compile(rf"[A-Za-z0-9_%+-]{_BETWEEN}$")
+_IP_SHAPE = re.compile(rf"[0-9]{{1,3}}(?:{_BETWEEN}[0-9]{{1,3}}){{3}}")
 _GROUPS_OF_4 = re.compile(r"[0-9]{4}([ .-]{1,3}[0-9]{4}){3}")
 _PHONE_SHAPE = re.compile(r"\+?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]{1,2}[0-9]{3,4}[ .-]{1,2}[0-9]{3,4}")
 
@@ -121,8 +129,8 @@ def tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 FEATURES = (
     "any", "shape email", "shape ip", "shape phone", "groups of four", "digits 7-9", "digits 10-11", "digits 12-15", "digits 16-19",
-    "check sum", "only digits and separators", "letters and digits only", "plus in front", "parts at most 255",
-    "glued left", "glued right", "odd first mark", "odd last mark", "spaces over 3", "word before or after", "long digits in one run",
+    "only digits and separators", "letters and digits only", "plus in front",
+    "glued left", "glued right", "odd first mark", "odd last mark", "spaces over 3", "long digits in one run", "goes on right", "goes on left",
 )
 _AT = {name: i for i, name in enumerate(FEATURES)}
 
@@ -137,16 +145,12 @@ def features(text: str, start: int, end: int) -> list[int]:
         on.append("shape email")
     elif _IP_SHAPE.fullmatch(s):
         on.append("shape ip")
-        if all(int(p) <= 255 for p in re.findall("[0-9]+", s)):
-            on.append("parts at most 255")
     elif _GROUPS_OF_4.fullmatch(s):
         on.append("groups of four")
     elif _PHONE_SHAPE.fullmatch(s):
         on.append("shape phone")
     if n >= 7:
         on.append("digits 7-9" if n < 10 else "digits 10-11" if n < 12 else "digits 12-15" if n < 16 else "digits 16-19" if n < 20 else "any")
-        if 16 <= n <= 19 and luhn(number):
-            on.append("check sum")
     if all(c in _SEPARATORS or "0" <= c <= "9" for c in s):
         on.append("only digits and separators")
     elif s.isalnum():
@@ -164,29 +168,62 @@ def features(text: str, start: int, end: int) -> list[int]:
         on.append("odd last mark")
     if s.count(" ") > 3:
         on.append("spaces over 3")
-    if re.match(r"[A-Za-z]+\s", s) or re.search(r"\s[A-Za-z]+$", s):
-        on.append("word before or after")
     if n == len(s) and n > 4:
         on.append("long digits in one run")
+    if _ON_RIGHT.match(text, end):
+        on.append("goes on right")
+    if _ON_LEFT.search(text, max(0, start - 9), start):
+        on.append("goes on left")
     return list(dict.fromkeys(_AT[x] for x in on))
 
 
-def candidates(text: str, span: tuple[int, int], most: int = MAX_TOKENS) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[int]]]]:
-    """Tokens of an island, and its candidate segments (first token, end token, features). At most `most` tokens, with
-    a trigger, as few spaces and letters outside as a kind of data can have: the rest, longer spellings too, is outside."""
+def kinds_of(s: str, numeric: bool, email: bool) -> list[int]:
+    """Numbers of the kinds that a segment may be; numeric: of digits and separators only, email: with one at mark."""
+    if email:
+        return [KINDS.index("email")] if _EMAIL_SHAPE.fullmatch(s) else []
+    if not numeric:
+        return []
+    number, out = digits(s), []
+    n = len(number)
+    if 4 <= n <= 12 and _IP_SHAPE.fullmatch(s) and all(int(p) <= 255 for p in re.findall("[0-9]+", s)):
+        out.append(KINDS.index("ip"))
+    if 16 <= n <= 19 and luhn(number) and all(c in _SEPARATORS or "0" <= c <= "9" for c in s):
+        out.append(KINDS.index("card"))
+    if 7 <= n <= 15 and all(c in _SEPARATORS or "0" <= c <= "9" for c in s):
+        out.append(KINDS.index("phone"))
+    return out
+
+
+Segment = tuple[int, int, list[int], list[int]]
+
+
+def candidates(text: str, span: tuple[int, int], most: int = MAX_TOKENS) -> tuple[list[tuple[int, int]], list[Segment]]:
+    """Tokens of an island, and its candidate segments (first token, end token, features, kinds): runs of at most `most` tokens
+    that some kind allows."""
     toks = tokens(text, *span)
-    trigger = [bool(_TRIGGER.search(text, a, b)) or text[a:b].strip("[]() ") in ("at", "dot") for a, b in toks]
+    at_mark, word, numeric, local = [], [], [], []
+    for a, b in toks:
+        t = text[a:b]
+        at, dot = bool(_AT_MARK.fullmatch(t)), bool(_DOT_MARK.fullmatch(t))
+        at_mark.append(at)
+        word.append(t.isalnum())
+        numeric.append(dot or t in _SEPARATORS or t.isascii() and t.isdigit())
+        local.append(at or dot or t in "_%+-" or t.isascii() and t.isalnum())
     out = []
     for i in range(len(toks)):
-        if not (text[toks[i][0]].isalnum() or text[toks[i][0]] in "+(") or toks[i][0] and text[toks[i][0] - 1].isalnum() and text[toks[i][0] - 1].isascii():
+        first = text[toks[i][0]]
+        if not (first.isalnum() or first in "+(") or toks[i][0] and text[toks[i][0] - 1].isalnum() and text[toks[i][0] - 1].isascii():
             continue
-        seen = 0
+        number, address, ats = True, True, 0
         for j in range(i, min(len(toks), i + most)):
-            if j > i and toks[j][0] - toks[j - 1][1] > 2:
+            gap = toks[j][0] - toks[j - 1][1] if j > i else 0
+            number &= numeric[j]
+            address &= local[j] and not (gap and word[j] and word[j - 1])
+            ats += at_mark[j]
+            if gap > 2 or ats > 1 or not (number or address):
                 break
-            seen += trigger[j]
-            if seen and text[toks[j][1] - 1].isalnum() and (j > i or toks[j][1] - toks[j][0] >= 7):
-                out.append((i, j + 1, features(text, toks[i][0], toks[j][1])))
+            if (number or ats) and text[toks[j][1] - 1].isalnum() and (kinds := kinds_of(text[toks[i][0] : toks[j][1]], number, address and ats == 1)):
+                out.append((i, j + 1, features(text, toks[i][0], toks[j][1]), kinds))
     return toks, out
 
 
@@ -200,11 +237,10 @@ class Field:
         """The best segmentation's spans."""
         toks, segments = candidates(text, span)
         by_end: dict[int, list] = {}
-        for i, j, on in segments:
-            scores = self.weights[:, on].sum(axis=1)
-            k = int(np.argmax(scores))
-            if scores[k] > 0:  # else outside is as good
-                by_end.setdefault(j, []).append((i, float(scores[k]), k))
+        for i, j, on, kinds in segments:
+            score, k = max((float(self.weights[k, on].sum()), -k) for k in kinds)
+            if score > 0:  # else outside is as good
+                by_end.setdefault(j, []).append((i, score, -k))
         best, back = [0.0] * (len(toks) + 1), [None] * (len(toks) + 1)
         for j in range(1, len(toks) + 1):
             best[j] = best[j - 1]
@@ -230,22 +266,26 @@ def fit(examples: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 60
         if not segments:
             continue
         f = np.zeros((len(segments), len(FEATURES)))
-        for r, (_, _, on) in enumerate(segments):
+        barred = np.full((len(segments), len(KINDS)), -np.inf)
+        for r, (_, _, on, kinds) in enumerate(segments):
             f[r, on] = 1
-        place = {(toks[i][0], toks[j - 1][1]): r for r, (i, j, _) in enumerate(segments)}
+            barred[r, kinds] = 0
+        place = {(toks[i][0], toks[j - 1][1]): r for r, (i, j, _, _) in enumerate(segments)}
         gold = np.zeros((len(segments), len(KINDS)))
-        for kind, a, b in spans:
-            if (a, b) in place:
-                gold[place[a, b], KINDS.index(kind)] = 1
-        data.append((len(toks), [(i, j) for i, j, _ in segments], f, gold.T @ f))
+        end = 0
+        for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):  # spans that overlap the one before cannot both be labels
+            if a >= end and (r := place.get((a, b))) is not None and barred[r, KINDS.index(kind)] == 0:
+                gold[r, KINDS.index(kind)] = 1
+                end = b
+        data.append((len(toks), [(i, j) for i, j, _, _ in segments], f, barred, gold.T @ f))
     field = Field()
     if not data:
         return field
     speed = np.full_like(field.weights, 1e-8)
     for _ in range(rounds):
         gradient = -decay * len(data) * field.weights
-        for n, ends, f, gold in data:
-            score = f @ field.weights.T
+        for n, ends, f, barred, gold in data:
+            score = f @ field.weights.T + barred
             total = np.logaddexp.reduce(score, axis=1).tolist()
             forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
             by_end: dict[int, list[int]] = {}
@@ -269,27 +309,55 @@ def fit(examples: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 60
     return field
 
 
-def rewritten(text: str, spans: list[tuple[str, int, int]], rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with its spans written in another way, and where they are."""
+#: Ways to write the marks of an address, and of an ip.
+AT_FORMS = (" @ ", " (at) ", "[at]", " [at] ", "(at)")
+DOT_FORMS = (".", ".", " (dot) ", "[dot]", " [dot] ", "(dot)")
+
+
+def replaced(text: str, spans: list[tuple[str, int, int]], write) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with each span written as write(kind, span) says, and where they are; of spans that overlap, the first."""
     out, moved, at = "", [], 0
     for kind, a, b in sorted(spans, key=lambda s: s[1]):
-        if a < at:
-            continue
-        s = text[a:b]
+        if a >= at:
+            s = write(kind, text[a:b])
+            out += text[at:a]
+            moved.append((kind, len(out), len(out) + len(s)))
+            out += s
+            at = b
+    return out + text[at:], moved
+
+
+def rewritten(text: str, spans: list[tuple[str, int, int]], rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with its spans written in another way, and where they are."""
+
+    def write(kind: str, s: str) -> str:
         if kind == "email":
-            s = rng.choice([s.replace("@", " @ "), s.replace("@", " (at) "), s.replace("@", "[at]"), s.replace("@", " [at] ").replace(".", " [dot] ")])
-        elif kind == "phone":
-            s = rng.choice([s.lstrip("+"), s.replace(" ", "-").replace("(", "").replace(")", ""), s.replace(" ", ".").replace("(", "").replace(")", "").replace("-", "."), s])
-        elif kind == "card":
+            return s.replace("@", rng.choice(AT_FORMS)).replace(".", rng.choice(DOT_FORMS))
+        if kind == "phone":
+            bare = s.replace("(", "").replace(")", "")
+            return rng.choice([s.lstrip("+"), bare.replace(" ", "-"), bare.replace(" ", ".").replace("-", "."), bare.lstrip("+"), s])
+        if kind == "card":
             d = digits(s)
-            s = rng.choice([" ", "-", ".", "  "]).join(d[i : i + 4] for i in range(0, len(d), 4))
-        else:
-            s = rng.choice([s.replace(".", " . "), s.replace(".", "[dot]"), s])
-        out += text[at:a]
-        moved.append((kind, len(out), len(out) + len(s)))
-        out += s
-        at = b
-    return out + text[at:], moved
+            return rng.choice([" ", "-", ".", "  "]).join(d[i : i + 4] for i in range(0, len(d), 4))
+        return s.replace(".", rng.choice([" . ", *DOT_FORMS]))
+
+    return replaced(text, spans, write)
+
+
+def broken(text: str, spans: list[tuple[str, int, int]], rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with its spans spoilt, and the base spans that it has then."""
+
+    def write(kind: str, s: str) -> str:
+        if kind == "email":
+            return s[: s.index("@") + 1] if rng.random() < 0.5 else s.replace("@", " ")
+        if kind == "phone":
+            return digits(s)[:6]
+        if kind == "card":
+            return s[:-1] + str((int(s[-1]) + rng.randrange(1, 9)) % 10)
+        return s[: s.rindex(".") + 1] + str(rng.randrange(256, 1000))
+
+    out, _ = replaced(text, spans, write)
+    return out, base_spans(out)
 
 
 def sample_islands(docs: DataFrame, most: int = TRAINING_ISLANDS, most_of_kind: int = TRAINING_OF_KIND) -> list[str]:
@@ -332,7 +400,7 @@ def fit_field(docs: DataFrame, most: int = TRAINING_ISLANDS) -> Field:
         spans = base_spans(s)
         examples.append((s, spans))
         if spans:
-            examples.append(rewritten(s, spans, rng))
+            examples += [rewritten(s, spans, rng), broken(s, spans, rng)]
     return fit(examples)
 
 

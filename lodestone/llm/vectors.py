@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Lengths of vectors that one table may mix.
+MOST_LENGTHS = 64
+
 
 def valid(vector: Column) -> Column:
     """Whether an array is there, not empty, and has neither null nor non-finite components."""
@@ -12,10 +15,13 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True))
 
 
-def of_usual_length(df: DataFrame, vector: str) -> DataFrame:
-    """The rows whose vector has the most frequent length, ties to the smaller; others cannot be compared with most rows."""
-    top = df.groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return df.filter(F.size(vector) == (top["d"] if top else 0))
+def lengths(df: DataFrame, vector: str) -> list[int]:
+    """The lengths of df's vectors; only vectors of one length are compared. More than MOST_LENGTHS are an error: such a table
+    does not hold the vectors of a few models."""
+    found = sorted(r["d"] for r in df.select(F.size(vector).alias("d")).distinct().limit(MOST_LENGTHS + 1).collect())
+    if len(found) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    return found
 
 
 def classes_of(df: DataFrame, most: int) -> DataFrame:
