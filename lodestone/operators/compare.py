@@ -47,7 +47,7 @@ def column_signatures(df: DataFrame) -> list[tuple[str, int, int]]:
     hashes = []
     for i, c in enumerate(df.columns):
         h = F.xxhash64(F.coalesce(normalized(F.col(c)), F.lit("\0null")))
-        hashes += [F.sum(F.shiftright(h, 20)).alias(f"a{i}"), F.sum(F.xxhash64(h).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"b{i}")]
+        hashes += [F.sum(x.cast("decimal(20,0)")).alias(f"{k}{i}") for k, x in (("a", h), ("b", F.xxhash64(h)))]  # 30 digits for 10^10 rows
     row = df.agg(*hashes).first()
     return [(c, row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(df.columns)]
 
