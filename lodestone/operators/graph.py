@@ -6,7 +6,7 @@ import re
 from collections import deque
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..sources.catalog import Catalog
 
@@ -42,17 +42,24 @@ def shortest_path(catalog: Catalog, start: str, end: str) -> list[str] | None:
     return None
 
 
-def shortest_path_sql(spark: SparkSession, edges: DataFrame, start: str, end: str, most: int = 12) -> DataFrame:
-    """(path, steps) of the shortest path as a recursive query over an edges table; no row if there is none."""
-    edges.createOrReplaceTempView("_edges")
-    a, b = start.replace("'", "\\'"), end.replace("'", "\\'")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, path, steps) AS (
-          SELECT CAST('{a}' AS STRING), CAST('{a}' AS STRING), 0
-          UNION ALL
-          SELECT e.to_table, w.path || '>' || e.to_table, w.steps + 1 FROM walk w JOIN _edges e ON e.from_table = w.node
-          WHERE w.steps < {most} AND instr('>' || w.path || '>', '>' || e.to_table || '>') = 0)
-        SELECT path, steps FROM walk WHERE node = '{b}' ORDER BY steps, path LIMIT 1""")
+def shortest_path_of(edges: DataFrame, start: str, end: str) -> DataFrame:
+    """(path, steps) of the shortest path over edges (from_table, to_table), of several the first by its text; no row if there is none.
+
+    The edges are as many as a schema's foreign keys, so they are searched here, breadth first, each table once.
+    """
+    neighbours: dict[str, set[str]] = {}
+    for r in edges.select("from_table", "to_table").distinct().collect():  # at most two rows for each foreign key
+        neighbours.setdefault(r["from_table"], set()).add(r["to_table"])
+    paths, steps, seen = {start: start}, 0, {start}
+    while end not in paths and paths:
+        further: dict[str, str] = {}
+        for path, t in sorted((p, t) for t, p in paths.items()):
+            for n in neighbours.get(t, set()) - seen:
+                further.setdefault(n, f"{path}>{n}")
+        paths, steps = further, steps + 1
+        seen |= set(paths)
+    rows = [(paths[end], steps)] if end in paths else []
+    return edges.sparkSession.createDataFrame(rows, "path string, steps int")
 
 
 @dataclass(frozen=True)

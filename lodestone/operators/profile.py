@@ -173,10 +173,25 @@ def orphans(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFrame:
 
 
 def whitespace_examples(df: DataFrame, columns: list[str], most: int = EXAMPLES) -> DataFrame:
-    """(column_name, examples): the `most` least values with blanks at an end."""
+    """(column_name, examples): the `most` least values with blanks at an end. Each partition passes on no more than its own `most`."""
     pairs = [F.struct(F.lit(n).alias("column_name"), ticked(n).cast("string").alias("value")) for n in columns]
-    long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter(F.col("value") != F.trim("value")).distinct()
-    first = long.withColumn("r", F.row_number().over(Window.partitionBy("column_name").orderBy("value"))).filter(F.col("r") <= most)
+    long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter(F.col("value") != F.trim("value"))
+
+    def least(batches):
+        import pyarrow as pa
+
+        kept: dict[str, list[str]] = {}
+        for batch in batches:
+            found: dict[str, set[str]] = {}
+            for name, value in zip(batch.column("column_name").to_pylist(), batch.column("value").to_pylist()):
+                found.setdefault(name, set()).add(value)
+            for name, values in found.items():
+                kept[name] = sorted(values.union(kept.get(name, ())), key=str.encode)[:most]
+        rows = [(name, value) for name, values in kept.items() for value in values]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=["column_name", "value"])
+
+    few = long.mapInArrow(least, "column_name string, value string").distinct()
+    first = few.withColumn("r", F.row_number().over(Window.partitionBy("column_name").orderBy("value"))).filter(F.col("r") <= most)
     return first.groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("examples"))
 
 

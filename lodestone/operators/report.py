@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .ranking import placed
+
 #: Categories of wrong answers by error type. Fixed values.
 CATEGORIES = {
     "ambiguous_query": "ambiguous_queries",
@@ -68,11 +70,9 @@ def eval_summary(records: DataFrame) -> DataFrame:
 
 def select_cases(cases: DataFrame, first: int | None = None, last: int | None = None, limit: int | None = None, difficulty: str | None = None, order: str = "id") -> DataFrame:
     """The cases of a difficulty whose 1-based place by `order` lies in first .. last, `limit` of them at most."""
-    from pyspark.sql import Window
-
     if difficulty:
         cases = cases.filter(F.col("difficulty") == difficulty)
     if first is not None or last is not None:
-        cases = cases.withColumn("_place", F.row_number().over(Window.orderBy(order)))
+        cases = placed(cases, order, "_place")
         cases = cases.filter((F.col("_place") >= (first or 1)) & (F.col("_place") <= (last if last is not None else 1 << 30))).drop("_place")
     return cases.orderBy(order).limit(limit) if limit is not None else cases

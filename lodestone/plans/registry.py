@@ -7,11 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import sqltext
-from ..functions.canonical import canonical_frame, normalized
+from ..functions.canonical import canonical_frame
 from ..functions.dialect import Dialect, install_shims, tokenize
-from ..operators import audit as audit_rules
-from ..operators import compare, graph, profile, report, verify
+from ..operators import compare, graph, profile, ranking, report, verify
 from ..sources.catalog import KEYS, TPCH, Catalog
 from ..streaming.windows import windowed_counts
 from . import relational
@@ -163,7 +161,7 @@ def fk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
       WHERE walk.steps < 12 AND instr('>' || walk.path || '>', '>' || e.y || '>') = 0)
     SELECT path, steps FROM walk WHERE node = 'region' ORDER BY steps, path LIMIT 1""")
 def join_path_lineitem_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.shortest_path_sql(spark, graph.fk_edges(catalog(spark, sf_dir)), "lineitem", "region")
+    return graph.shortest_path_of(graph.fk_edges(catalog(spark, sf_dir)), "lineitem", "region")
 
 
 @registered("fk_autocomplete", f"""WITH f(a, b, c, d) AS (VALUES {_FK_VALUES}), s(t) AS (VALUES ('orders'), ('part')), fw AS (SELECT DISTINCT c AS t FROM f WHERE a IN (SELECT t FROM s) AND c NOT IN (SELECT t FROM s)),
@@ -197,13 +195,6 @@ def multiset_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.row_differences(orders.select(*keep), orders.filter("o_totalprice > 50000").select(*keep))
 
 
-@registered("normalized_compare", "SELECT * FROM (VALUES (1, '50', true), (2, '2020-01-01 00:00:00', true), (3, 'a', true), (4, '3', true), (5, 'b', false), (6, NULL, true)) t(id, gold, same)")
-def normalized_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "50%", "50"), (2, "2020-01-01 00:00:00.5 +0000 UTC", "2020-01-01 00:00:00"), (3, " a ", "a"), (4, "3", "3"), (5, "b", "c"), (6, None, None)]
-    df = spark.createDataFrame(rows, "id int, a string, b string")
-    return df.select("id", normalized(F.col("a")).alias("gold"), normalized(F.col("a")).eqNullSafe(normalized(F.col("b"))).alias("same"))
-
-
 @registered("canonical_values", "SELECT o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE CAST(o_totalprice AS VARCHAR) END AS price FROM orders")
 def canonical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -211,30 +202,6 @@ def canonical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return price.select(F.col("k").cast("long").alias("o_orderkey"), "price")
 
 
-@registered("column_mapping", "SELECT * FROM (VALUES (0, 2), (1, 0), (2, 1)) t(gold_column, pred_column)")
-def column_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    gold = canonical_frame(nation.select("n_nationkey", "n_name", "n_regionkey"))
-    pred = canonical_frame(nation.select("n_name", "n_regionkey", "n_nationkey").orderBy("n_name"))
-    return spark.createDataFrame(list(enumerate(compare.map_columns(gold, pred))), "gold_column int, pred_column int")
-
-
-@registered("spj_limit1", "SELECT true AS correct")
-def spj_limit1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
-    pred = part.orderBy(F.desc("p_size"), F.desc("p_partkey")).limit(1)
-    return compare.limit_one_strict(part, [(-F.col("p_size")).alias("k")], pred)
-
-
-_REASONS = [("gold SQL execution error: x", "reference_error"), ("predicted SQL execution error: x", "execution_error"), ("row count mismatch: gold=1, pred=2", "row_count_error"), ("column name mismatch and positional data mismatch", "data_mismatch"), ("column count mismatch", "projection_error"), ("data mismatch", "data_mismatch"), ("bad ORDER", "order_error"), ("bad join", "join_error"), ("bad where", "condition_error"), ("", "unknown_error"), ("else", "other_error")]
-
-
-@registered("classify_errors", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{k}')" for r, k in _REASONS) + ") t(reason, error_type)")
-def classify_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(r,) for r, _ in _REASONS], "reason string")
-    return df.select("reason", compare.classify_error(F.col("reason")).alias("error_type"))
-
-
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as stand-ins for verdicts, enough to roll up."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -262,33 +229,6 @@ def verdict_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(spark, sf_dir).groupBy(report.category().alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_TEXTS = ["SELECT  *\n FROM t;", "select 1", "-- nothing", "SELECT count(a AS f(x) FROM t ORDER BY b LIMIT 1", "SELECT a FROM t LIMIT 10"]
-
-
-@registered("normalize_sql", """SELECT * FROM (VALUES (0, 'select * from t', false, true, false), (1, 'select 1', true, true, false), (2, '-- nothing', true, true, false),
-    (3, 'select count(a as f(x) from t order by b limit 1', false, false, true), (4, 'select a from t limit 10', false, true, false)) t(id, sql, gives_up, balanced, limit_one)""")
-def normalize_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(list(enumerate(_TEXTS)), "id int, t string")
-    t = F.col("t")
-    return df.select("id", sqltext.normalize_sql(t).alias("sql"), sqltext.is_give_up(t).alias("gives_up"), sqltext.parens_balanced(t).alias("balanced"), sqltext.is_limit_one(t).alias("limit_one"))
-
-
-_CASES = [
-    (1, "SELECT a FROM t ORDER BY a ASC LIMIT 1", "SELECT 1", "Which is the highest?", "", "data_mismatch", 1, 1, True, True),
-    (2, "SELECT CURRENT_DATE", "SELECT 1", "now?", "", "data_mismatch", 1, 1, True, True),
-    (3, "SELECT a FROM t ORDER BY b LIMIT 1", "SELECT a FROM t WHERE b = (SELECT MAX(b) FROM t)", "which?", "", "row_count", 1, 3, True, True),
-    (4, "SELECT a FROM t", "SELECT CAST(a AS REAL) FROM t", "what?", "", "data_mismatch", 5, 5, True, True),
-    (5, "SELECT TRIM(a) FROM t", "SELECT a FROM t", "what?", "", "data_mismatch", 5, 5, True, True),
-    (6, "SELECT a FROM t", "SELECT b FROM t", "what?", "", "data_mismatch", 5, 5, True, True),
-]
-
-
-@registered("audit_rules", "SELECT * FROM (VALUES (1, 'sort_direction_error'), (2, 'current_timestamp_dependency'), (3, 'tie_handling'), (4, 'cast_difference'), (5, 'trim_difference'), (6, NULL)) t(id, suspicion_type)")
-def audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = spark.createDataFrame(_CASES, "id int, gt_sql string, pred_sql string, question string, evidence string, error_type string, gt_rows int, pred_rows int, gt_success boolean, pred_success boolean")
-    return audit_rules.audit(cases).select("id", "suspicion_type")
-
-
 @registered("verify_null_ratio", "SELECT count(*) * 2 AS cells, count(*) * 2 - count(d.doc_id) - count(quality) AS null_cells, round((count(*) * 2 - count(d.doc_id) - count(quality)) * 1.0 / (count(*) * 2), 4) AS null_ratio FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def verify_null_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
@@ -300,6 +240,18 @@ def verify_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.duplicate_rows(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_nationkey", "c_mktsegment"))
 
 
+@registered("rank", "SELECT s_suppkey, CAST(rank() OVER (ORDER BY s_acctbal DESC) AS BIGINT) AS place FROM supplier")
+def rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.placed(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_acctbal", "place", descending=True, ties=True).select("s_suppkey", "place")
+
+
+@registered("agg_over_all", "SELECT c_custkey, round(c_acctbal - avg(c_acctbal) OVER (), 4) AS above_mean FROM customer")
+def agg_over_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of all rows beside each: one row is broadcast, where a window would gather the table."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal")
+    return customer.crossJoin(F.broadcast(customer.agg(F.avg("c_acctbal").alias("mean")))).select("c_custkey", F.round(F.col("c_acctbal") - F.col("mean"), 4).alias("above_mean"))
+
+
 # An extra beyond the batch operators.
 
 
@@ -308,4 +260,6 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-__all__ = ["ORACLE_SQL", "QUERIES", "catalog"]
+from . import cases  # noqa: E402, F401  registers its queries
+
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "registered"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CASE = "id INT, db_name STRING, question STRING, gt_sql STRING, pred_sql STRING, thinking STRING, ambiguous STRING, spj_type STRING, difficulty STRING"
 RESULT = "db_id STRING, question STRING, evidence STRING, gold_sql STRING, generated_sql STRING, status STRING, error STRING, time_seconds DOUBLE, llm_calls INT, total_tokens INT, selected_tables ARRAY<STRING>, difficulty STRING"
@@ -23,15 +23,22 @@ def read_result_array(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_case_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object a line; lines that cannot be read are dropped."""
+    """One JSON object a line; lines that cannot be read are left out, malformed_lines() has them."""
     return spark.read.schema(CASE).option("mode", "DROPMALFORMED").json(path)
 
 
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line): what read_case_lines() leaves out; empty lines are none."""
+    parsed = F.from_json("value", f"{CASE}, _line STRING", {"columnNameOfCorruptRecord": "_line"})
+    return spark.read.text(path).filter(F.trim("value") != "").select(parsed["_line"].alias("line")).filter("line IS NOT NULL")
+
+
 def read_judged_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """All judged cases below a folder, one for each id; reports and summaries are left out."""
+    """All judged cases below a folder, one for each id, from the file whose path comes first; reports and summaries are left out."""
     files = spark.read.schema(JUDGED).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return files.filter(~name.rlike("analysis|report|summary") & F.col("id").isNotNull()).dropDuplicates(["id"])
+    path = F.col("_metadata.file_path")
+    cases = files.select(F.struct(*files.columns).alias("case"), path.alias("path")).filter(~F.element_at(F.split("path", "/"), -1).rlike("analysis|report|summary") & F.col("case.id").isNotNull())
+    return cases.groupBy(F.col("case.id").alias("_id")).agg(F.min_by("case", "path").alias("case")).select("case.*")
 
 
 def read_error_cases(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,6 +88,3 @@ def discover_results(root: str) -> list[dict]:
                 found.append({"benchmark": bench.name, "run": m[1], "mode": m[2], "path": run.path})
     return sorted(found, key=lambda r: (r["run"], r["benchmark"]), reverse=True)
 
-
-def ranked_by_order(df: DataFrame, order: str, out: str = "ordinal") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.orderBy(order)))

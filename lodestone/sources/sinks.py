@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.report import category, error_counts, summary
 
@@ -19,6 +19,36 @@ def append_records(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+def unfinished(records: DataFrame, path: str) -> DataFrame:
+    """Those of records (id, ...) whose id is not among the JSON lines at path, for a run that is taken up again."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        done = records.sparkSession.read.schema("id LONG").json(path).filter("id IS NOT NULL").distinct()
+    except AnalysisException:  # nothing is there yet
+        return records
+    return records.join(done, "id", "left_anti")
+
+
+def write_json_array(spark: SparkSession, path: str, target: str) -> None:
+    """The JSON lines at path as one valid JSON array, a record on each line. A run's records are a benchmark's list, so one task writes them."""
+    lines = spark.read.text(path).filter(F.trim("value") != "").coalesce(1)
+
+    def listed(batches):
+        import pyarrow as pa
+
+        last = None
+        yield pa.RecordBatch.from_arrays([pa.array(["["])], names=["value"])
+        for batch in batches:
+            values = batch.column("value").to_pylist()
+            out = [f"{x}," for x in ([last] if last is not None else []) + values[:-1]] if values else []
+            last = values[-1] if values else last
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x in (last, "]") if x is not None])], names=["value"])
+
+    lines.mapInArrow(listed, "value string").write.mode("overwrite").text(target)
+
+
 def write_classified(verdicts: DataFrame, path: str) -> None:
     """JSON lines in one folder for each category."""
     verdicts.withColumn("category", category()).write.mode("overwrite").partitionBy("category").json(path)

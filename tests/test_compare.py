@@ -106,3 +106,11 @@ def test_judge(spark):
     assert judge("SELECT a FROM t", "SELECT a FROM t WHERE b = 1").error_type == "row_count_error"
     assert judge("SELECT a FROM t ORDER BY b LIMIT 1", "SELECT a FROM t WHERE b = 2", spj_type="limit_1_tied_values").error_type == "spj_correct"
     assert judge("SELECT a FROM t", "SELECT cast(a AS INT) FROM t").error_type == "execution_error"
+
+
+def test_millions_of_equal_values(spark):
+    """Signatures of columns add up without overflow, also where one value fills a column."""
+    a = spark.range(5_000_000).select(F.lit("same").alias("a"), (F.col("id") % 1000).alias("b"))
+    got = compare.compare_results(a, a.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    assert got.equal and got.strategy == "column_mapping"
+    assert not compare.compare_results(a, a.select((F.col("b") + F.when(F.col("b") == 7, 1).otherwise(0)).alias("x"), F.col("a").alias("y"))).equal

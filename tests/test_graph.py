@@ -28,8 +28,8 @@ def test_paths(spark):
 def test_path_in_sql_equals_search(spark):
     catalog = Catalog.of_parquet(spark, SF, TPCH)
     edges = graph.fk_edges(catalog)
-    assert graph.shortest_path_sql(spark, edges, "orders", "region").first()["path"].split(">") == graph.shortest_path(catalog, "orders", "region")
-    assert graph.shortest_path_sql(spark, edges, "orders", "nothing").count() == 0
+    assert graph.shortest_path_of(edges, "orders", "region").first()["path"].split(">") == graph.shortest_path(catalog, "orders", "region")
+    assert graph.shortest_path_of(edges, "orders", "nothing").count() == 0
 
 
 def test_linked_tables(spark):

@@ -57,3 +57,21 @@ def test_orphans_leave_out_nulls(spark):
     assert counts.first()["orphan_count"] == 1
     assert orphan_issues(counts).first()["affected_ops"] == ["JOIN"]
     assert profile_table(catalog, "child").issues.count() == 0
+
+
+def test_whitespace_examples_are_the_least(spark):
+    rows = [(f" v{i:04d}", None if i % 2 else "clean") for i in range(1000)] + [(" v0000", " x")]
+    df = spark.createDataFrame(rows, "a STRING, b STRING").repartition(7)
+    got = {r["column_name"]: r["examples"] for r in whitespace_examples(df, ["a", "b"]).collect()}
+    assert got == {"a": [" v0000", " v0001", " v0002"], "b": [" x"]}
+
+
+def test_places_over_a_whole_table(spark):
+    from lodestone.operators.ranking import placed
+
+    rows = [(i, float((i * 37) % 101) if i % 11 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id LONG, v DOUBLE").repartition(5)
+    got = {r["id"]: r["p"] for r in placed(df, "v", "p", descending=True, ties=True).collect()}
+    known = [v for _, v in rows if v is not None]
+    assert all(got[i] == (sum(x > v for x in known) if v is not None else len(known)) + 1 for i, v in rows)
+    assert sorted(r["p"] for r in placed(df, "id", "p").collect()) == list(range(1, 2001))
