@@ -19,7 +19,7 @@ SLICE_BYTES = 500_000
 MOST_RANGES = 256
 LEAST = -(1 << 63)
 #: Rows of one value that join_few() leaves to one task in any case.
-FAIR_ROWS = 10_000
+FAIR_ROWS = 500
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

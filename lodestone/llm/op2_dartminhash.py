@@ -246,15 +246,16 @@ def verified(pairs: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
 def _with_roots(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """(bucket, rep, root) of the buckets that hold more than one component."""
     placed = shared.join(roots, shared["rep"] == roots["id"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    return placed.join(mixed, "bucket", "left_semi")
+    placed = cut(placed)
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("bucket", "n")
+    return join_few(placed, mixed, ["bucket"], ["rep"])
 
 
 def _drawn_pairs(placed: DataFrame, draws: int) -> DataFrame:
     """Each member of a mixed bucket with `draws` drawn members, if they are of another component: no more pairs than rows times draws."""
     pick = lambda i: F.min(F.struct(F.xxhash64("bucket", "rep", F.lit(i)).alias("h"), "rep", "root"))
-    drawn = placed.groupBy("bucket").agg(F.array(*[pick(i) for i in range(draws)]).alias("hubs"))
-    met = placed.join(drawn, "bucket").select("rep", "root", F.explode("hubs").alias("hub")).filter(F.col("root") != F.col("hub")["root"])
+    drawn = placed.groupBy("bucket").agg(F.array(*[pick(i) for i in range(draws)]).alias("hubs"), F.count(F.lit(1)).alias("n"))
+    met = join_few(placed, drawn, ["bucket"], ["rep"]).select("rep", "root", F.explode("hubs").alias("hub")).filter(F.col("root") != F.col("hub")["root"])
     return met.select(F.least("rep", F.col("hub")["rep"]).alias("a"), F.greatest("rep", F.col("hub")["rep"]).alias("b")).distinct()
 
 
@@ -332,15 +333,15 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shin
     same = ["doc_id", "h1", "h2"]  # of copies the least doc_id only, so no group of copies meets in one task
     reps = known.join(nodes.select(F.col("first_id").alias("doc_id"), "h1", "h2", F.col("id").alias("rep")), same).dropDuplicates(same)
     members = reps.select("rep", F.explode("bands").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = cut(members.join(sizes, "bucket"))  # of buckets with more than one text
+    sizes = cut(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shared = cut(join_few(members, sizes.withColumn("size", F.col("n")), ["bucket"], ["rep"]))  # of buckets with more than one text
     proposed = nodes.join(shared.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "first_id", "h1", "h2")
     keys = rewritten(element_table(docs, proposed, shingle), "elements")
     # the first hub of a bucket is its most central member: of texts that come from one source, the source is in most buckets
-    central = shared.groupBy("rep").agg(F.sum("n").alias("central")).withColumnRenamed("rep", "of")
+    central = shared.groupBy("rep").agg(F.sum("size").alias("central")).withColumnRenamed("rep", "of")
     weighed = shared.join(central, F.col("rep") == F.col("of")).select("bucket", F.struct("central", "rep").alias("m"))
-    hubs = weighed.groupBy("bucket").agg(F.max("m")["rep"].alias("hub"))
-    met = shared.join(hubs, "bucket").filter("rep <> hub")
+    hubs = weighed.groupBy("bucket").agg(F.max("m")["rep"].alias("hub"), F.count(F.lit(1)).alias("n"))
+    met = join_few(shared, cut(hubs), ["bucket"], ["rep"]).filter("rep <> hub")
     star = met.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     links = cut(verified(star, keys, similarity).select("a", "b"))
     free_shuffles(docs.sparkSession)
