@@ -22,9 +22,9 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import read, utf8_slices, worker_for
+from .common import cut, read, utf8_slices, worker_for
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 40
@@ -386,10 +386,9 @@ def sample_islands(docs: DataFrame, most: int = TRAINING_ISLANDS, most_of_kind:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "h", "island"])
 
     found = docs.select("text").mapInArrow(sample, "kind string, h string, island string")
-    distinct = found.groupBy("kind", "h").agg(F.min("island").alias("island"))  # copies first, then the bound
-    least = distinct.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("h"))).filter(F.col("place") <= max(bound.values()))
-    rows = sorted((r["kind"], r["place"], r["island"]) for r in least.collect())
-    return list(dict.fromkeys(s for kind, place, s in rows if place <= bound[kind]))
+    distinct = cut(found.groupBy("kind", "h").agg(F.min("island").alias("island")))  # copies first, then the bound
+    rows = [r["island"] for kind, n in sorted(bound.items()) for r in distinct.filter(F.col("kind") == kind).orderBy("h").limit(n).select("h", "island").collect()]
+    return list(dict.fromkeys(rows))
 
 
 def fit_field(docs: DataFrame, most: int = TRAINING_ISLANDS) -> Field:
