@@ -108,6 +108,13 @@ def query_type(sql: Column) -> Column:
     )
 
 
+def query_type_text(sql: str) -> str | None:
+    """query_type() of one statement."""
+    s = sql.upper()
+    marks = {"columns": ("TABLE_INFO", "DESCRIBE", "INFORMATION_SCHEMA.COLUMNS"), "indexes": ("INDEX_LIST", "SHOW INDEX", "PG_INDEXES"), "rowcount": ("COUNT(*)",), "foreignkeys": ("FOREIGN_KEY", "TABLE_CONSTRAINTS", "SHOW CREATE TABLE")}
+    return next((kind for kind, words in marks.items() if any(w in s for w in words)), None)
+
+
 def parse_verdict(text: str) -> tuple[str, str]:
     """(verdict, explanation) of a model's answer: JSON, JSON within text, or a keyword."""
     text = re.sub(r"^```(?:json)?", "", text.strip()).removesuffix("```").strip()

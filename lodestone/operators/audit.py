@@ -6,7 +6,10 @@ Columns of a case: gt_sql, pred_sql, question, evidence, error_type (row_count o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from ..functions.sqltext import parse_verdict
+from .tasks import ANSWER_TIMEOUT, ASKING, ask_all
 
 # Word lists. Fixed values.
 HIGHEST = r"(?i)\b(highest|most|greatest|maximum|max|best|largest|top|biggest)\b"
@@ -55,5 +58,33 @@ def audit(cases: DataFrame) -> DataFrame:
     return cases.withColumn("_s", first).withColumns({"suspicion_type": F.col("_s")["suspicion_type"], "suspicion_reason": F.col("_s")["suspicion_reason"], "phase": F.when(F.col("_s").isNotNull(), "rule")}).drop("_s")
 
 
+def model_prompt(case: dict) -> str:
+    """What a model is asked about a case that no rule fits."""
+    parts = [("Question", case.get("question")), ("Evidence", case.get("evidence")), ("Gold SQL", case.get("gt_sql")), ("Rows of gold SQL", case.get("gt_brief")), ("Predicted SQL", case.get("pred_sql")), ("Rows of predicted SQL", case.get("pred_brief"))]
+    told = "\n".join(f"{name}: {value}" for name, value in parts if value)
+    return f"{told}\nDoes the gold SQL answer the question? Answer as JSON with `verdict` (GOLD_CORRECT, GOLD_SUSPICIOUS or PRED_BETTER) and `explanation`."
+
+
+def audit_with_model(audited: DataFrame, generator, workers: int = ASKING, timeout: float = ANSWER_TIMEOUT) -> DataFrame:
+    """audited, whose cases that no rule fits were put to a model: GOLD_SUSPICIOUS and PRED_BETTER become suspicions of phase `model`.
+
+    Cases come from a benchmark's list, so those asked about are few enough for the driver. An answer that fails or takes
+    too long raises no suspicion. audited has the column id.
+    """
+    asked = {r["id"]: model_prompt(r.asDict()) for r in audited.filter("suspicion_type IS NULL").collect()}
+    found = []
+    for id, out in ask_all(asked, generator, workers, timeout).items():
+        verdict, explanation = parse_verdict(out.value) if out is not None and out.value else ("", "")
+        if verdict in ("GOLD_SUSPICIOUS", "PRED_BETTER"):
+            found.append((id, verdict.lower(), explanation))
+    told = audited.sparkSession.createDataFrame(found, T.StructType([T.StructField("id", audited.schema["id"].dataType), T.StructField("_type", T.StringType()), T.StructField("_reason", T.StringType())]))
+    joined = audited.join(told, "id", "left")
+    return joined.withColumns({
+        "suspicion_type": F.coalesce("suspicion_type", "_type"),
+        "suspicion_reason": F.coalesce("suspicion_reason", "_reason"),
+        "phase": F.coalesce("phase", F.when(F.col("_type").isNotNull(), "model")),
+    }).select(*audited.columns)
+
+
 def suspicion_breakdown(audited: DataFrame) -> DataFrame:
     return audited.filter("suspicion_type IS NOT NULL").groupBy("suspicion_type").agg(F.count(F.lit(1)).alias("n"))

@@ -159,3 +159,33 @@ def run_all(works: dict[str, object], workers: int = WORKERS, registry: TaskRegi
 
     with ThreadPoolExecutor(max(1, min(workers, len(works) or 1))) as pool:
         return dict(zip(works, pool.map(one, works)))
+
+
+#: Seconds that a model may take for an answer, and answers at a time. Fixed values.
+ANSWER_TIMEOUT, ASKING = 60.0, 4
+
+
+def ask_all(prompts: dict[str, str], generator, workers: int = ASKING, timeout: float = ANSWER_TIMEOUT) -> dict[str, JobOutcome]:
+    """A model's answers by name, at most `workers` at a time; an error or a call over its time is told in the outcome.
+
+    A call that is over its time cannot be stopped from here; its thread is left behind and its answer dropped.
+    """
+
+    def ask(prompt: str) -> JobOutcome:
+        out, began = JobOutcome(), time.time()
+
+        def body():
+            try:
+                out.value = generator(prompt)
+            except Exception as e:
+                out.error = str(e) or type(e).__name__
+
+        thread = threading.Thread(target=body, daemon=True)
+        thread.start()
+        thread.join(timeout)
+        if thread.is_alive():
+            return JobOutcome(None, f"timeout after {timeout:g} s", True, True, time.time() - began)
+        out.seconds = time.time() - began
+        return out
+
+    return run_all({name: (lambda p=prompt: ask(p)) for name, prompt in prompts.items()}, workers)

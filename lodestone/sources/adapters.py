@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import Dialect
 from .catalog import Catalog
+from .jdbc import JdbcSource
 
 
 class UnsupportedDatabaseError(ValueError):
@@ -61,19 +62,22 @@ class SparkAdapter:
 
 
 class JdbcAdapter(SparkAdapter):
-    """Tables of MySQL or PostgreSQL over Spark's JDBC reader (the driver's jar must be there)."""
+    """Tables of MySQL or PostgreSQL over Spark's JDBC reader (the driver's jar must be there), with the keys and indexes that the
+    database itself tells. Without a list of tables: all of them."""
 
-    def __init__(self, spark: SparkSession, kind: str, host: str, port: int, database: str, user: str, password: str, tables: list[str], sslmode: str = "disable"):
+    def __init__(self, spark: SparkSession, kind: str, host: str, port: int, database: str, user: str, password: str, tables: list[str] | None = None, sslmode: str = "disable"):
         self.kind = kind
-        url = jdbc_url(kind, host, port, database, sslmode)
-        catalog = Catalog(spark, name=database)
+        self.source = JdbcSource(spark, kind, jdbc_url(kind, host, port, database, sslmode), {"user": user, "password": password})
         try:
-            for t in tables:
-                catalog.add(t, spark.read.format("jdbc").options(url=url, dbtable=t, user=user, password=password).load())
+            catalog = self.source.catalog(database, tables)
         except Exception as e:
             raise DatabaseConnectionError(f"database connection error: {str(e).splitlines()[0]}") from e
         super().__init__(catalog)
 
+    def version(self) -> str:
+        """The database's own version."""
+        return self.source.version()
+
 
 def jdbc_url(kind: str, host: str, port: int, database: str, sslmode: str = "disable") -> str:
     if kind == "mysql":
