@@ -365,15 +365,16 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     """One document of each group: that with the least doc_id; of several rows with it, that whose text has the least xxhash64,
     then the least row. Rows without doc_id stay."""
     found = cut(near_duplicate_classes(docs, similarity).filter("doc_id IS NOT NULL"))
-    own = found.filter("doc_id = class_id").groupBy("doc_id").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most"), F.count(F.lit(1)).alias("n"))
-    several = cut(own.filter("n > 1").select(F.col("doc_id").alias("_id"), F.col("least").alias("_least")))
-    gone = found.filter("doc_id <> class_id").select("doc_id", F.col("text_hash").alias("_hash")).distinct()
-    kept = docs.withColumn("_hash", F.xxhash64("text")).join(gone, ["doc_id", "_hash"], "left_anti")
+    own = found.filter("doc_id = class_id").groupBy("doc_id").agg(F.min("text_hash").alias("least"), F.count(F.lit(1)).alias("n"))
+    several = cut(own.filter("n > 1").select(F.col("doc_id").alias("of"), "least"))
+    gone = found.filter("doc_id <> class_id").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))  # whatever columns docs has
+    kept = rows.join(gone, ["id", "hash"], "left_anti")
     if several.isEmpty():
-        return kept.select(*docs.columns)
-    again = kept.join(several, F.col("doc_id") == F.col("_id"), "left")
-    one = again.filter(F.col("_hash") == F.col("_least")).groupBy("_id").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return again.filter(F.col("_id").isNull()).select(*docs.columns).union(one)
+        return kept.select("row.*")
+    again = kept.join(several, F.col("id") == F.col("of"), "left")
+    one = again.filter(F.col("hash") == F.col("least")).groupBy("of").agg(F.min("row").alias("row")).select("row.*")
+    return again.filter(F.col("of").isNull()).select("row.*").union(one)
 
 
 def op2_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,7 +135,7 @@ class Profiles:
         return self.langs[best], float(1 - far[best] / (self.size * len(own)))
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str], size: int = PROFILE) -> DataFrame:
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str], size: int = PROFILE, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns keep of docs (which has a column text) with lang_pred and score, from the text alone."""
     table = docs.sparkSession.sparkContext.broadcast(Profiles(profiles, size))
     docs = docs.select(*dict.fromkeys([*keep, "text"]))
@@ -147,10 +147,10 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str],
         for batch in batches:
             got = [table.value.predict(text) for _, texts in utf8_slices(batch) for text in texts]
             columns = [pa.array([x[i] for x in got], t) for i, t in ((0, pa.string()), (1, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *columns], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *columns], names=[*keep, *out])
 
     fields = [docs.schema[c] for c in keep]
-    return docs.mapInArrow(predict, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(predict, T.StructType([*fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())]))
 
 
 def held_out(mod: int) -> Column:
@@ -163,8 +163,9 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     profiles = fit_profiles(docs)
     if not profiles:  # no row has a label, so no language is told, but texts with letters stay
         return with_letters(docs)
-    found = identify(docs, profiles, docs.columns)
-    return found.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    free = "_" * (1 + max(len(c) for c in docs.columns))  # no column has this name
+    found = identify(docs, profiles, docs.columns, out=(f"{free}lang", f"{free}score"))
+    return found.filter(F.col(f"{free}lang") != UNKNOWN).select(*docs.columns)
 
 
 def with_letters(docs: DataFrame) -> DataFrame:

@@ -227,6 +227,17 @@ def test_near_dedup_leaves_one_row_of_a_group(spark, twin_dir):
     assert ids[3] == ids[4] == ids[1] == 1 and ids[None] == 2
 
 
+def test_stages_with_clashing_columns(spark, edge_dir):
+    """Stages that keep rows as they are keep other columns, whatever their names."""
+    from lodestone.llm.op2_dartminhash import drop_near_duplicates
+    from lodestone.llm.op8_language import keep_identified
+
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    for stage in (keep_identified, drop_near_duplicates):
+        kept = stage(docs)
+        assert kept.columns == docs.columns and 50 < kept.count() < docs.count() and kept.first()["lang_pred"] == "clash"
+
+
 @pytest.mark.parametrize("name", ["op3_jump_shards", "op4_context_tree", "op7_semi_markov", "op8_rank_order", "op10_shared_prefix"])
 def test_a_row_for_each_row_that_shares_a_doc_id(spark, twin_dir, twin_rows, name):
     assert Counter(r["doc_id"] for r in registry.QUERIES[name](spark, twin_dir).collect()) == Counter(r[0] for r in twin_rows)
@@ -261,3 +272,46 @@ def test_join_few_spreads_a_frequent_value(spark, monkeypatch):
     few = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")).filter("k <> 4")
     got = sorted(tuple(r) for r in common.join_few(rows, few, ["k"], ["v"]).select("k", "v", "top").collect())
     assert got == sorted((1 if i % 2 else i, i, 1999 if i % 2 else i) for i in range(2000) if i != 4)
+
+
+def test_pipeline_equals_brute_force(spark, edge_dir, edge_rows):
+    """The whole result: what each stage leaves is worked out again from the rows, down to the ids of every piece."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lodestone.llm import op7_pii as op7
+
+    from .test_operators import similarity_classes
+
+    rows = {i: t for i, t, *_ in edge_rows if i is not None and t and any(c.isalpha() for c in t)}  # repeated rows are one document
+    unnamed = [t for i, t, *_ in edge_rows if i is None]
+    root = similarity_classes(rows)
+    kept = {i: t for i, t in rows.items() if root[i] == i}
+    first = {}
+    for i in sorted(kept):
+        words = kept[i].encode().split()
+        for s in range(len(words) - 49):
+            first.setdefault(tuple(words[s : s + 50]), i)
+    cut = {}
+    for i, t in kept.items():
+        words = t.encode().split()
+        gone = {k for s in range(len(words) - 49) if first[tuple(words[s : s + 50])] < i for k in range(s, s + 50)}
+        cut[i] = b" ".join(w for k, w in enumerate(words) if k not in gone).decode() if gone else t
+    field = op7.fit_field(spark.createDataFrame([(t,) for t in [*cut.values(), *unnamed]], "text STRING"))
+    clean = {i: op7.redact(t, op7.added_spans(t, op7.base_spans(t), field)) for i, t in [*cut.items(), *((None, t) for t in unnamed)]}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {i: np.array(tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4") for i, t in clean.items()}
+    pieces, room = defaultdict(list), defaultdict(list)
+    for r in corpus_pipeline.run(spark, edge_dir).collect():
+        own = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes()), r["doc_id"]
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+        room[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(pieces) == set(ids)
+    for own, whole in [(pieces[i], len(ids[i])) for i in ids] + [(parts, None) for parts in room.values()]:
+        end = 0
+        for start, length in sorted(own):
+            assert start == end
+            end += length
+        assert end == whole if whole is not None else end <= 4096
+    assert sorted(room) == list(range(len(room)))
