@@ -10,6 +10,7 @@ from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Rows that are turned into Python objects at a time.
@@ -54,32 +55,15 @@ def free_shuffles(spark: SparkSession) -> None:
 _KEPT: dict[str, dict] = {}
 
 
-def give_back_memory() -> None:
-    """Lets free memory of this process go back to the system, now and when arrays of 1 MB and more are freed."""
-    import ctypes
-
-    import pyarrow as pa
-
-    pa.default_memory_pool().release_unused()
-    try:
-        libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # such arrays get memory of their own
-        libc.malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def worker_for(operator: str) -> dict:
     """Makes a Python worker ready for an operator's tasks; returns what it keeps for them between tasks.
 
-    What other operators kept is dropped and free memory goes back to the system, as a pipeline's stages share the workers.
-    Garbage is collected rarely: walking millions of remembered words again and again would take a fifth of the time.
+    What other operators kept is dropped, as a pipeline's stages share the workers.
     """
-    gc.set_threshold(1_000_000, 20, 100)
     if operator not in _KEPT:
         _KEPT.clear()
         gc.collect()
-    give_back_memory()
+    pa.default_memory_pool().release_unused()
     return _KEPT.setdefault(operator, {})
 
 
@@ -100,7 +84,6 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
 def utf8_slices(batch, column: str = "text"):
     """(first row, list of bytes or None) for slices of an Arrow batch's string column, of at most SLICE_ROWS rows and,
     if of more than one row, SLICE_BYTES; no text is decoded."""
-    import pyarrow as pa
     import pyarrow.compute as pc
 
     texts = batch.column(column)

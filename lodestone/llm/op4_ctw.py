@@ -18,7 +18,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import give_back_memory, read, utf8_slices, worker_for
+from .common import read, utf8_slices, worker_for
 from .op8_language import held_out
 
 DEPTH = 5
@@ -27,7 +27,7 @@ MOST_GRAMS = 1 << 21
 #: Words whose counts the executors hold; rows of other words are joined with their counts.
 MOST_WORDS = 1 << 18
 #: n-grams and bytes that a task handles at a time.
-HELD = 1_000_000
+HELD = 500_000
 PIECE = 1 << 18
 END = b"\n"
 SMOOTHING = 0.1
@@ -442,7 +442,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for _, texts in utf8_slices(batch):
                 for text in texts:
                     held.update(words_of(text))
-                if len(held) > 300_000:
+                if len(held) > 150_000:
                     yield from flush()
         yield from flush()
 
@@ -457,11 +457,9 @@ def score_documents(docs: DataFrame, train: DataFrame, depth: int = DEPTH) -> Da
     from .common import cut
 
     spark = docs.sparkSession
-    give_back_memory()
     trees, tree = fit(train, depth)
     model = spark.sparkContext.broadcast(trees)
     del trees
-    give_back_memory()
     words = cut(word_counts(train))
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = train.count()
@@ -474,7 +472,6 @@ def score_documents(docs: DataFrame, train: DataFrame, depth: int = DEPTH) -> Da
     whole = len(n) == total["v"]  # then other words are unknown
     log_of = spark.sparkContext.broadcast(dict(zip(table["word"].to_pylist(), np.log10((n + SMOOTHING) / below).tolist())))
     del table, n
-    give_back_memory()
     end_log = math.log10((ends + SMOOTHING) / below)
     unseen_log = math.log10(SMOOTHING / below)
 
