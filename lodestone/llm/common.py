@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import tempfile
@@ -58,12 +59,17 @@ _KEPT: dict[str, dict] = {}
 def worker_for(operator: str) -> dict:
     """Makes a Python worker ready for an operator's tasks; returns what it keeps for them between tasks.
 
-    What other operators kept is dropped, as a pipeline's stages share the workers.
+    A pipeline's stages share the workers: when the tasks of another operator begin, what the one before kept is dropped
+    and its memory goes back to the system. No setting of the worker is changed.
     """
     if operator not in _KEPT:
         _KEPT.clear()
         gc.collect()
-    pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError, TypeError):  # another C library keeps what is free, or gives it back by itself
+            pass
     return _KEPT.setdefault(operator, {})
 
 
