@@ -56,20 +56,27 @@ def free_shuffles(spark: SparkSession) -> None:
 _KEPT: dict[str, dict] = {}
 
 
+def give_back_memory() -> None:
+    """Lets free memory of this process go back to the system, now and when arrays of 1 MB and more are freed: else the heap's
+    gaps between small objects keep what one stage of a pipeline used while the next one runs in the same worker."""
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # such arrays get memory of their own
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def worker_for(operator: str) -> dict:
     """Makes a Python worker ready for an operator's tasks; returns what it keeps for them between tasks.
 
-    A pipeline's stages share the workers: when the tasks of another operator begin, what the one before kept is dropped
-    and its memory goes back to the system. No setting of the worker is changed.
+    What other operators kept is dropped and free memory goes back to the system, as a pipeline's stages share the workers.
     """
     if operator not in _KEPT:
         _KEPT.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError, TypeError):  # another C library keeps what is free, or gives it back by itself
-            pass
+    give_back_memory()
     return _KEPT.setdefault(operator, {})
 
 
