@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op2_dartminhash as op2, op3_sharding as op3, op5_threshold as op5, op6_substring as op6, op8_language as op8
+from . import op2_dartminhash as op2, op3_sharding as op3, op5_threshold as op5, op6_substring as op6, op8_language as op8, op11_resampling as op11
 from .op1_adaptive_scan import op1_adaptive_scan
 from .op10_sentencepiece import op10_shared_prefix
+from .op11_resampling import op11_importance_resampling
 from .op2_dartminhash import op2_dartminhash
 from .op3_sharding import op3_jump_shards
 from .op4_ctw import op4_context_tree
@@ -17,6 +18,7 @@ from .op9_packing import op9_shortest_pack_first
 QUERIES = {
     "op1_adaptive_scan": op1_adaptive_scan,
     "op10_shared_prefix": op10_shared_prefix,
+    "op11_importance_resampling": op11_importance_resampling,
     "op2_dartminhash": op2_dartminhash,
     "op3_jump_shards": op3_jump_shards,
     "op4_context_tree": op4_context_tree,
@@ -27,6 +29,7 @@ QUERIES = {
     "op9_shortest_pack_first": op9_shortest_pack_first,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op11_importance_resampling": op11.ORACLE,
     "op2_dartminhash": op2.ORACLE,
     "op3_jump_shards": op3.ORACLE,
     "op5_threshold_topk": op5.ORACLE,
