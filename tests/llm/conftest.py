@@ -4,7 +4,7 @@ import pytest
 
 DOCUMENTS = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG"
 #: Names that operators use inside; a table may have columns of these names.
-CLASHING = "start, size, id, keys, score, shard, slot, anchor, bucket, rep, root, word, uid, ids, lang_pred, held_out, length, offset, class_id, h1, h2, first, n, rank, vec, removed, similarity, spans, _id, _range, _rank, _t"
+CLASHING = "start, size, id, keys, score, shard, slot, anchor, bucket, rep, root, word, uid, ids, lang_pred, held_out, length, offset, file, row, digest, hit, n_words, weight, cluster, class_id, h1, h2, first, n, rank, vec, removed, similarity, spans, _id, _range, _rank, _t"
 
 
 def make_text(rng, n, vocabulary=400):
@@ -36,6 +36,8 @@ def edge_dir(spark, edge_rows, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("edge"))
     docs = spark.createDataFrame(edge_rows, DOCUMENTS)
     docs.withColumns({c.strip(): F.lit("clash") for c in CLASHING.split(",")}).write.parquet(f"{folder}/documents.parquet")
+    target = [(0, "One TWO words w1 w2 w3 É"), (1, None), (2, ""), (3, edge_rows[0][1]), (3, edge_rows[0][1])]
+    spark.createDataFrame(target, "item_id LONG, text STRING").withColumns({c.strip(): F.lit("clash") for c in CLASHING.split(",")}).write.parquet(f"{folder}/benchmark.parquet")
     rng = random.Random(6)
     vectors = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(0, 120)]
     vectors += [(200, vectors[3][1]), (250, vectors[50][1]), (250, vectors[50][1]), (300, [0.0] * 8), (350, None), (400, []), (450, [1.0, None] + [0.0] * 6), (500, [float("nan")] * 8), (550, [float("inf")] * 8), (600, [1.0, 2.0]), (None, [1.0] * 8)]
@@ -49,6 +51,7 @@ def empty_dir(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], DOCUMENTS).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "vec_id LONG, embedding ARRAY<FLOAT>, label INT").write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([], "item_id LONG, text STRING").write.parquet(f"{folder}/benchmark.parquet")
     return folder
 
 

@@ -22,7 +22,7 @@ def test_pipeline_on_empty_table(spark, empty_dir):
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_dartminhash", "op3_jump_shards", "op4_context_tree", "op6_count_min_windows", "op7_semi_markov", "op8_rank_order", "op10_shared_prefix"])
+@pytest.mark.parametrize("name", ["op2_dartminhash", "op3_jump_shards", "op4_context_tree", "op6_count_min_windows", "op7_semi_markov", "op8_rank_order", "op10_shared_prefix", "op11_importance_resampling", "op13_stream_dedup"])
 def test_one_row_per_document(spark, edge_dir, edge_rows, name):
     rows = registry.QUERIES[name](spark, edge_dir).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in edge_rows)

@@ -682,7 +682,7 @@ def test_query_equals_oracle(spark, name):
     import duckdb
 
     duck = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = registry.QUERIES[name](spark, SF).toPandas(), duck.sql(registry.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
