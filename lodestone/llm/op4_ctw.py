@@ -118,9 +118,32 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Logarithm of the Krichevsky-Trofimov probability of a sequence with these counts."""
+    """Logarithm of the Krichevsky-Trofimov probability of a sequence with these counts: Stirling's formula with the large terms
+    of the three gamma functions taken together, so that it is as exact for counts of 10^12 as for small ones."""
     zeros, ones = zeros.astype(float), ones.astype(float)
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - math.log(math.pi)
+    n = zeros + ones + 1
+    share = lambda x, y: x * np.where(x > y, np.log1p(-(y + 0.5) / n), np.log((x + 0.5) / n))
+    large = share(zeros, ones) + share(ones, zeros) - 0.5 * np.log(n) + 0.5 * math.log(2 * math.pi)
+    return large + stirling_rest(zeros + 0.5) + stirling_rest(ones + 0.5) - stirling_rest(n) - math.log(math.pi)
+
+
+def stirling_rest(x: np.ndarray) -> np.ndarray:
+    """What log gamma is more than the first terms of Stirling's series."""
+    some = np.maximum(x, 10)
+    series = 1 / (12 * some) - 1 / (360 * some**3) + 1 / (1260 * some**5)
+    few = np.minimum(x, 10)
+    return np.where(x < 10, log_gamma(few) - ((few - 0.5) * np.log(few) - few + 0.5 * math.log(2 * math.pi)), series)
+
+
+def shares(kt: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of a node's own estimate and of its children, which add up to 1."""
+    return np.exp(-np.logaddexp(0, below - kt)), np.exp(-np.logaddexp(0, kt - below))
+
+
+def log10_of(odds: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """log10 of the probability of a decision, from the logarithm of the odds of its going one way: exact for both, however
+    close to 1 one of them is."""
+    return -np.logaddexp(0, np.where(one, -odds, odds).astype(float)) / math.log(10)
 
 
 def weighted_levels(grams: list[tuple[np.ndarray, np.ndarray]], bit: int, lowest: int = 0) -> list[dict]:
@@ -137,7 +160,7 @@ def weighted_levels(grams: list[tuple[np.ndarray, np.ndarray]], bit: int, lowest
         v = levels[i]
         v["kt"] = log_kt(v["n0"], v["n1"])
         if i == len(levels) - 1:
-            v["weight"], v["log_p"] = np.ones(len(v["key"])), v["kt"]
+            v["weight"], v["rest"], v["log_p"] = np.ones(len(v["key"])), np.zeros(len(v["key"])), v["kt"]
             continue
         c = levels[i + 1]
         suffix = c["key"] & np.uint64((1 << (8 * (lowest + i + 1))) - 1)  # the oldest byte goes
@@ -145,16 +168,23 @@ def weighted_levels(grams: list[tuple[np.ndarray, np.ndarray]], bit: int, lowest
         c["parent"] = at
         below = np.bincount(at, c["log_p"], len(v["key"]))  # every decision of a node is one of a child's
         v["log_p"] = np.logaddexp(v["kt"], below) - math.log(2)
-        v["weight"] = np.exp(v["kt"] - math.log(2) - v["log_p"])
+        v["weight"], v["rest"] = shares(v["kt"], below)
     return levels
 
 
-def mixtures(v: dict, a0: np.ndarray, b0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Predictions of a level's nodes for contexts that go on with no node below (an empty subtree predicts 1/2; leaves have none,
-    their weight is 1), and what their children mix from; a0, b0: the same of their parents."""
-    p1 = (v["n1"] + 0.5) / (v["n0"] + v["n1"] + 1.0)
-    a, b = a0 + b0 * v["weight"] * p1, b0 * (1 - v["weight"])
-    return np.clip(a + b / 2, 1e-9, 1 - 1e-9).astype(np.float32), a, b
+def mixtures(v: dict, above: tuple[np.ndarray, ...]) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Predictions of a level's nodes, as logarithms of the odds of a one, for contexts that go on with no node below (an empty
+    subtree predicts 1/2; leaves have none, their weight is 1), and what their children mix from: what both ways have so
+    far, and the share that is left. above: the same of their parents."""
+    n = v["n0"] + v["n1"] + 1.0
+    zero, one, left = above
+    zero, one = (x + left * v["weight"] * (k + 0.5) / n for x, k in ((zero, v["n0"]), (one, v["n1"])))
+    left = left * v["rest"]
+    return (np.log(one + left / 2) - np.log(zero + left / 2)).astype(np.float32), (zero, one, left)
+
+
+def at_root(n: int) -> tuple[np.ndarray, ...]:
+    return np.zeros(n), np.zeros(n), np.ones(n)
 
 
 class Top:
@@ -168,10 +198,10 @@ class Top:
         for v in levels[::-1]:
             kt = log_kt(v["n0"], v["n1"])
             log_p = np.logaddexp(kt, below) - math.log(2)
-            v["weight"] = np.exp(kt - math.log(2) - log_p)
+            v["weight"], v["rest"] = shares(kt, below)
             below = np.bincount(parent, log_p, len(root)) if v is levels[1] else None
-        stop0, a, b = mixtures(levels[0], np.zeros(len(root)), np.ones(len(root)))
-        stop1, self.a, self.b = mixtures(levels[1], a[parent], b[parent])
+        stop0, mixed = mixtures(levels[0], at_root(len(root)))
+        stop1, self.mixed = mixtures(levels[1], tuple(x[parent] for x in mixed))
         self.keys, self.nodes = keys, [(root, stop0), (keys, stop1)]
 
 
@@ -182,29 +212,29 @@ class Model:
     def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], top: Top | None = None):
         lowest = 2 if top else 0
         self.depth = lowest + len(grams) - 1
-        #: For each bit and depth the nodes, sorted, and their predictions.
+        #: For each bit and depth the nodes, sorted, and their predictions as logarithms of odds.
         self.nodes: list[list[tuple[np.ndarray, np.ndarray]]] = []
         known = np.zeros(len(grams[-1][0]))  # log10 of the probability of each gram of the greatest length
         for bit in range(8):
             levels = weighted_levels(grams, bit, lowest)
-            a, b = None, None
+            mixed: tuple[np.ndarray, ...] = ()
             self.nodes.append(list(top.nodes) if top else [])
             for d, v in enumerate(levels):  # mixtures, from the root
                 if d:
-                    a0, b0 = a[v["parent"]], b[v["parent"]]
+                    mixed = tuple(x[v["parent"]] for x in mixed)
                 elif top:
                     at = np.searchsorted(top.keys, v["key"] & np.uint64(65535))
-                    a0, b0 = top.a[at], top.b[at]
+                    mixed = tuple(x[at] for x in top.mixed)
                 else:
-                    a0, b0 = np.zeros(len(v["key"])), np.ones(len(v["key"]))
-                stop, a, b = mixtures(v, a0, b0)
+                    mixed = at_root(len(v["key"]))
+                stop, mixed = mixtures(v, mixed)
                 self.nodes[bit].append((v["key"], stop))
-                del v["weight"], v["kt"], v["log_p"], v["n0"], v["n1"]
+                del v["weight"], v["rest"], v["kt"], v["log_p"], v["n0"], v["n1"]
             v = levels[-1]
             if len(known):
-                p = np.repeat(self.nodes[bit][-1][1].astype(float), np.diff(np.append(v["first"], len(known))))
-                known += np.log10(np.where(v["one"], p, 1 - p))
-            del levels, v, a, b
+                odds = np.repeat(self.nodes[bit][-1][1], np.diff(np.append(v["first"], len(known))))
+                known += log10_of(odds, v["one"])
+            del levels, v, mixed
         self.grams, self.known = grams[-1][0], known.astype(np.float32)
 
     def built(self) -> "Model":
@@ -255,19 +285,19 @@ class Model:
         total = np.zeros(len(keys))
         for bit in range(8):
             node = (keys >> np.uint64(8) << np.uint64(8)) | (np.uint64(1 << bit) | ((keys & np.uint64(255)) >> np.uint64(8 - bit)))
-            p = np.full(len(keys), 0.5)
+            odds = np.zeros(len(keys), np.float32)
             todo = np.arange(len(keys))
             for d in range(self.depth, -1, -1):
-                own, chance = self.nodes[bit][d]
+                own, stop = self.nodes[bit][d]
                 if not len(own) or not len(todo):
                     continue
                 want = node[todo] & np.uint64((1 << (8 * (d + 1))) - 1)
                 at = np.minimum(np.searchsorted(own, want), len(own) - 1)
                 there = own[at] == want
-                p[todo[there]] = chance[at[there]]
+                odds[todo[there]] = stop[at[there]]
                 todo = todo[~there]
             one = (keys >> np.uint64(7 - bit)) & np.uint64(1) == 1
-            total += np.log10(np.where(one, p, 1 - p))
+            total += log10_of(odds, one)
         return total
 
     def score(self, streams: list[bytes], missed: list | None = None) -> np.ndarray:

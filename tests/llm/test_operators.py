@@ -7,6 +7,7 @@ import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -245,6 +246,82 @@ def test_op4_weights_follow_the_recursion():
     assert model.log10(np.array([context << 8 | byte], np.uint64))[0] == pytest.approx(want, abs=1e-5)
 
 
+def exact_log10(grams, depth, keys):
+    """log10 of the probability of each gram's last byte, by the recursion over counts of grams, with 40 digits."""
+    from decimal import Decimal as D, getcontext
+
+    getcontext().prec = 40
+    getcontext().Emax, getcontext().Emin = 10**17, -(10**17)
+    @cache
+    def log_gamma(x):
+        shift = D(0)
+        while x < 100:
+            shift, x = shift + x.ln(), x + 1
+        terms = [(12, 1), (-360, 3), (1260, 5), (-1680, 7), (1188, 9)]
+        half_log = D("0.918938533204672741780329736405617639861397473637783412817151540")
+        return (x - D("0.5")) * x.ln() - x + half_log + sum(1 / (c * x**e) for c, e in terms) - shift
+
+    log_pi = D("1.144729885849400174143427351353058711647294812915311571513623071")
+    kt = lambda n: log_gamma(D(n[0]) + D("0.5")) + log_gamma(D(n[1]) + D("0.5")) - log_gamma(D(sum(n)) + 1) - log_pi
+    @cache
+    def tree(bit, prefix):
+        nodes = defaultdict(lambda: [0, 0])
+        for g, n in grams.items():
+            if (1 << bit) | ((g & 255) >> (8 - bit)) == prefix:
+                for d in range(depth + 1):
+                    nodes[d, (g >> 8) & ((1 << 8 * d) - 1)][g >> (7 - bit) & 1] += n
+
+        @cache
+        def weighted(d, context):
+            own = kt(nodes[d, context])
+            if d == depth:
+                return own, D(1)
+            below = sum(weighted(d + 1, c)[0] for e, c in list(nodes) if e == d + 1 and c & ((1 << 8 * d) - 1) == context)
+            return own + ((1 + (below - own).exp()) / 2).ln(), 1 / (1 + (below - own).exp())
+
+        return nodes, weighted
+
+    def chance(key, bit, d=0):
+        nodes, weighted = tree(bit, (1 << bit) | ((key & 255) >> (8 - bit)))
+        context = (key >> 8) & ((1 << 8 * d) - 1)
+        if (d, context) not in nodes:
+            return D("0.5")
+        n, w = nodes[d, context], weighted(d, context)[1]
+        own = (D(n[1]) + D("0.5")) / (sum(n) + 1)
+        return own if d == depth else w * own + (1 - w) * chance(key, bit, d + 1)
+
+    out = []
+    for key in keys:
+        p = [chance(key, bit) for bit in range(8)]
+        out.append(float(sum((x if key >> (7 - bit) & 1 else 1 - x).log10() for bit, x in enumerate(p))))
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 1000, 2 * 10**8, 10**9, 10**12])
+def test_op4_large_counts_stay_finite(n):
+    """Known and unmet bytes after a context of very many counts, in a whole tree and in one with its top apart."""
+    depth, of = 3, lambda text: int.from_bytes(text, "big")
+    grams = {of(b"abca"): n, of(b"abc["): 1, of(b"abcb"): max(1, n // 7), of(b"xbca"): 3 * n, of(b"zzca"): n, of(b"zzzz"): n, of(b"qrst"): 5}
+    keys = np.array(sorted(grams), np.uint64)
+    counts = np.array([grams[k] for k in sorted(grams)])
+    asked = np.array([*map(int, keys), of(b"abcq"), of(b"zbca"), of(b"zzz["), of(b"....")], np.uint64)
+    want = exact_log10(grams, depth, asked.tolist())
+    whole = op4.Model(op4.levels_of(keys, counts, depth))
+    assert np.isfinite(want).all()
+    np.testing.assert_allclose(whole.log10(asked), want, rtol=1e-6)
+    np.testing.assert_allclose(whole.by_nodes(asked), want, rtol=1e-6)
+    parts = op4.levels_of(keys, counts, depth, 2)
+    found = []
+    for bit in range(8):
+        v = op4.weighted_levels(parts, bit, 2)[0]
+        node, at = np.unique(v["key"] & np.uint64(65535), return_inverse=True)
+        found.append((node, *(np.bincount(at, v[c], len(node)) for c in ("n0", "n1", "log_p"))))
+    node, n0, n1, below = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(node)
+    joined = op4.Model(parts, op4.Top(node[order], n0[order], n1[order], below[order]))
+    np.testing.assert_allclose(joined.by_nodes(asked), want, rtol=1e-6)
+
+
 def brute_force_score(train, text, depth):
     """log10 of a text's probability by the recursion itself, node by node: contexts are kept as suffixes, an empty subtree is 1/2."""
 
