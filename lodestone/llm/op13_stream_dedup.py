@@ -30,6 +30,7 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STATE_MB),
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition of the state takes some MB of disk at once
 }
 
 
