@@ -12,6 +12,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Rows that are turned into Python objects at a time.
@@ -97,8 +98,6 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
 def utf8_slices(batch, column: str = "text"):
     """(first row, list of bytes or None) for slices of an Arrow batch's string column, of at most SLICE_ROWS rows and,
     if of more than one row, SLICE_BYTES; no text is decoded."""
-    import pyarrow.compute as pc
-
     texts = batch.column(column)
     texts = texts.cast(pa.large_binary()) if pa.types.is_large_string(texts.type) else texts.cast(pa.binary())
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -111,6 +110,21 @@ def utf8_slices(batch, column: str = "text"):
         at += n
 
 
+def with_texts(batch: pa.RecordBatch, texts: dict[int, str]) -> pa.RecordBatch:
+    """batch with other texts in some rows, and the numbers of their characters in n_chars, if it has such a column of whole numbers."""
+    if not texts:
+        return batch
+    for name, new in (("text", texts), ("n_chars", {i: len(t) for i, t in texts.items()})):
+        at = batch.schema.get_field_index(name)
+        if at < 0 or name == "n_chars" and not pa.types.is_integer(batch.schema.field(at).type):
+            continue
+        rows = np.zeros(batch.num_rows, bool)
+        rows[list(new)] = True
+        column = pc.replace_with_mask(batch.column(at), pa.array(rows), pa.array([new[i] for i in sorted(new)], batch.schema.field(at).type))
+        batch = batch.set_column(at, batch.schema.field(at), column)
+    return batch
+
+
 def splits(df: DataFrame, order: list[str], n: int) -> tuple[list[int], dict[int, list[int]]]:
     """(cuts, of_hot): values of the first column of order that cut df's rows into n ranges of about equal size; and for
     values that fill several ranges alone, cuts of their rows by the second column. Both columns are long, null counts as least."""

@@ -16,13 +16,16 @@ No window that occurs in two documents is lost; an estimate too high only costs
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, digests, hash_words, join_few, mix64, read, run_hashes, utf8_slices, worker_for
+from .common import cut, digests, hash_words, join_few, mix64, read, with_texts, run_hashes, utf8_slices, worker_for
 
 WINDOW = 50
 ANCHOR = 25
@@ -33,6 +36,10 @@ MIN_BITS, MAX_BITS = 16, 27
 RANGES = 64
 #: Bits of the filter of anchors whose stretches differ.
 ANCHOR_BITS = 26
+#: Bytes of a long text that are looked at together.
+PART = 1 << 18
+
+_BLANK, _WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -59,8 +66,9 @@ def slots(a: np.ndarray, bits: int) -> list[np.ndarray]:
 class Stretches:
     """The stretches of a slice of texts: document (place in the slice), first window, number of windows, anchor."""
 
-    def __init__(self, texts: list[bytes | None], window: int, anchor: int):
+    def __init__(self, texts: list[bytes | None], window: int, anchor: int, base: int = 0):
         self.texts, self.window = texts, window
+        self.base = base  # words of the document before a text that is a part of it
         self.words, self.first = hash_words(texts)
         a = anchors(self.words, window, anchor)
         of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.first))
@@ -78,16 +86,18 @@ class Stretches:
         self.start, self.size, self.anchor, self.of = self.start[which], self.size[which], self.anchor[which], self.of[which]
 
     def place(self) -> np.ndarray:
-        """Number of the first window within its text."""
-        return self.start - self.first[self.of]
+        """Number of the first window within its document."""
+        return self.start - self.first[self.of] + self.base
+
+    def _digests(self, of: np.ndarray, place: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+        def parts():  # one at a time
+            own, split = None, []
+            for i, a, n in zip(of.tolist(), (place - self.base).tolist(), n_words.tolist()):  # texts in order
+                if i != own:
+                    own, split = i, self.texts[i].split()
+                yield b" ".join(split[a : a + n])
 
-    def _digests(self, of: np.ndarray, start: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-        own, split, parts = None, [], []
-        for i, a, n in zip(of.tolist(), start.tolist(), n_words.tolist()):  # texts in order
-            if i != own:
-                own, split = i, self.texts[i].split()
-            parts.append(b" ".join(split[a : a + n]))
-        return digests(parts)
+        return digests(parts())
 
     def keys(self) -> np.ndarray:
         """128-bit digests of all words of each stretch."""
@@ -100,6 +110,30 @@ class Stretches:
         return of, place, self._digests(of, place, np.full(len(of), self.window))
 
 
+def text_parts(text: bytes, overlap: int = 0) -> Iterator[tuple[int, int, bytes]]:
+    """(words before, words, bytes) of the parts of a text, some hundred KB each, with `overlap` words of the next part behind."""
+    at, before = 0, 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + PART) if at + PART < len(text) else None
+        end = blank.start() if blank else len(text)
+        own = len(text[at:end].split())
+        last = end
+        for word in islice(_WORD.finditer(text, end), overlap):
+            last = word.end()
+        yield before, own, text[at:last]
+        at, before = end, before + own
+
+
+def stretches_of(texts: list[bytes | None], window: int, anchor: int) -> Iterator[Stretches]:
+    """The stretches of a slice of texts; those of a long text part by part, each window once. A stretch that ends with its part may
+    go on in the next one: then its windows are compared one by one."""
+    if len(texts) > 1 or len(texts[0] or b"") <= 2 * PART:
+        yield Stretches(texts, window, anchor)
+    else:
+        for before, _, part in text_parts(texts[0], window - 1):
+            yield Stretches([part], window, anchor, before)
+
+
 def sketch(docs: DataFrame, bits: int, window: int, anchor: int) -> DataFrame:
     """Merged count-min sketch of the anchors of stretches, as one row (row, part, bits) for each range of slots, the bits of
     slots with a count of 2 or more."""
@@ -132,10 +166,10 @@ def sketch(docs: DataFrame, bits: int, window: int, anchor: int) -> DataFrame:
 
         for batch in batches:
             for _, texts in utf8_slices(batch):
-                own = Stretches(texts, window, anchor).anchor
-                for row, s in enumerate(slots(own, bits)):
-                    seen[row].append(s)
-                held += len(own)
+                for part in stretches_of(texts, window, anchor):
+                    for row, s in enumerate(slots(part.anchor, bits)):
+                        seen[row].append(s)
+                    held += len(part.anchor)
                 if held > 4_000_000:
                     yield from flush()
                     held = 0
@@ -173,21 +207,22 @@ def repeated(docs: DataFrame, sketch_bits: int | None = None, window: int = WIND
         table[r["row"], r["part"]] = np.frombuffer(r["bits"], np.uint8)
     often = spark.sparkContext.broadcast(table.reshape(ROWS, -1))
 
-    def candidates(texts) -> Stretches:
-        found, bitmap = Stretches(texts, window, anchor), often.value
-        keep = np.ones(len(found.anchor), bool)
-        for row, s in enumerate(slots(found.anchor, bits)):
-            keep &= (bitmap[row][s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
-        found.keep(keep)
-        return found
+    def candidates(texts) -> Iterator[Stretches]:
+        bitmap = often.value
+        for found in stretches_of(texts, window, anchor):
+            keep = np.ones(len(found.anchor), bool)
+            for row, s in enumerate(slots(found.anchor, bits)):
+                keep &= (bitmap[row][s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
+            found.keep(keep)
+            if len(found.start):
+                yield found
 
     def find(batches):
         worker_for("op6")
         for batch in batches:
             ids, hashes = batch.column("doc_id").to_numpy(), batch.column("text_hash").to_numpy()
             for at, texts in utf8_slices(batch):
-                found = candidates(texts)
-                if len(found.start):
+                for found in candidates(texts):
                     k1, k2 = found.keys().T
                     columns = (ids[at + found.of], hashes[at + found.of], found.place().astype(np.int32), found.size.astype(np.int32), found.anchor.view(np.int64), k1, k2)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "text_hash", "start", "size", "anchor", "k1", "k2"])
@@ -208,10 +243,11 @@ def repeated(docs: DataFrame, sketch_bits: int | None = None, window: int = WIND
         for batch in batches:
             ids, hashes = batch.column("doc_id").to_numpy(), batch.column("text_hash").to_numpy()
             for at, texts in utf8_slices(batch):
-                found = candidates(texts)
-                s = (found.anchor >> np.uint64(64 - ANCHOR_BITS)).astype(np.int64)
-                found.keep((differ.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1)
-                if len(found.start):
+                for found in candidates(texts):
+                    s = (found.anchor >> np.uint64(64 - ANCHOR_BITS)).astype(np.int64)
+                    found.keep((differ.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1)
+                    if not len(found.start):
+                        continue
                     of, place, keys = found.windows()
                     k1, k2 = keys.T
                     columns = (ids[at + of], hashes[at + of], place.astype(np.int32), k1, k2)
@@ -224,64 +260,87 @@ def repeated(docs: DataFrame, sketch_bits: int | None = None, window: int = WIND
     return by_stretch.union(by_window)
 
 
-def without_repeats(docs: DataFrame, emit, schema: str, sketch_bits: int | None = None, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """emit(other columns of the row, text, words, mask of removed words or None) -> output tuple, for each row of docs (doc_id, text, ...)."""
-    found = repeated(docs, sketch_bits, window, anchor)
-    spans = F.collect_set(F.struct("start", "size")).alias("_removed")  # a set, as rows that repeat a document repeat its spans
-    removed = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(spans)  # no longer than the document
-    names, types = [c.split()[0] for c in schema.split(", ")], [_ARROW[c.split()[1]] for c in schema.split(", ")]
-
-    def apply(batches):
-        worker_for("op6")
-        for batch in batches:
-            for at, texts in utf8_slices(batch):
-                part = batch.slice(at, len(texts))
-                rest = [part.column(c).to_pylist() for c in part.schema.names if c not in ("text", "_removed")]
-                rows = []
-                for text, stretches, *row in zip(texts, part.column("_removed").to_pylist(), *rest):
-                    words, gone = (text or b"").split(), None
-                    if stretches:
-                        mask = np.zeros(len(words) + 1, np.int32)
-                        start, size = (np.array([s[c] for s in stretches]) for c in ("start", "size"))
-                        np.add.at(mask, start, 1)
-                        np.add.at(mask, start + size + window - 1, -1)
-                        gone = (np.cumsum(mask[:-1]) > 0).tolist()
-                    rows.append(emit(row, text, words, gone))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-    joined = docs.join(removed, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left").drop("_id", "_hash")
-    return joined.mapInArrow(apply, schema)
-
-
-_ARROW = {"long": pa.int64(), "string": pa.string()}
+def with_repeats(docs: DataFrame, out: str, sketch_bits: int | None = None, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """docs (doc_id, text and others) with the repeated windows of each row as out: an array of (start, size), null if there is none."""
+    found = repeated(docs.select("doc_id", "text"), sketch_bits, window, anchor)
+    spans = F.collect_set(F.struct("start", "size")).alias(out)  # a set, as rows that repeat a document repeat its spans
+    own, same = f"{out}_id", f"{out}_hash"  # no longer than the document
+    removed = found.groupBy(F.col("doc_id").alias(own), F.col("text_hash").alias(same)).agg(spans)
+    return docs.join(removed, (docs["doc_id"].cast("long") == F.col(own)) & (F.xxhash64(docs["text"]) == F.col(same)), "left").drop(own, same)
+
+
+def removed_words(column: pa.Array, window: int) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    """For each row of with_repeats() the disjoint ranges of words, first and end, that its windows cover; None, if there is none."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    starts, counts = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+    at = 0
+    for n in sizes.tolist():
+        if not n:
+            yield None
+            continue
+        start, count = starts[at : at + n], counts[at : at + n]
+        at += n
+        order = np.argsort(start, kind="stable")
+        first, end = start[order], np.maximum.accumulate((start + count)[order] + window - 1)
+        apart = first[1:] > end[:-1]
+        yield first[np.append(True, apart)], end[np.append(apart, True)]
+
+
+def kept_words(text: bytes, ranges: tuple[np.ndarray, np.ndarray] | None) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of words, words that stay) of the parts of a text."""
+    for before, n, part in text_parts(text):
+        words = part.split()
+        if ranges is not None:
+            first, end = ranges
+            some = slice(int(np.searchsorted(end, before, "right")), int(np.searchsorted(first, before + n)))
+            gone = np.zeros(n + 1, np.int32)
+            np.add.at(gone, np.maximum(first[some] - before, 0), 1)
+            np.add.at(gone, np.minimum(end[some] - before, n), -1)
+            words = [w for w, g in zip(words, np.cumsum(gone[:-1]).tolist()) if not g]
+        yield n, words
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """documents (doc_id, text, lang, source, n_chars) with repeated windows cut out of the text.
+    """docs (doc_id, text and any others) with repeated windows cut out of the text.
 
-    Texts that lose no word stay as they are, others get their kept words joined by one space. Null texts stay null,
-    rows without doc_id stay as they are. Rows that repeat a doc_id count as one document, whose texts are cut one by one.
+    Texts that lose no word stay as they are, others get their kept words joined by one space, and their number of characters
+    in n_chars, if there is such a column. Null texts stay null, rows without doc_id stay as they are. Rows that repeat a doc_id
+    count as one document, whose texts are cut one by one.
     """
+    free = "_" * (1 + max(len(c) for c in docs.columns))  # no column has this name
 
-    def emit(row, text, words, gone):
-        doc_id, lang, source, n_chars = row
-        if gone is None:
-            return doc_id, None if text is None else text.decode(), lang, source, n_chars
-        kept = b" ".join([w for w, g in zip(words, gone) if not g]).decode()
-        return doc_id, kept, lang, source, len(kept)
+    def apply(batches):
+        worker_for("op6")
+        for batch in batches:
+            for at, texts in utf8_slices(batch):
+                part, ranges = batch.slice(at, len(texts)), list(removed_words(batch.column(free).slice(at, len(texts)), window))
+                yield with_texts(part.drop_columns([free]), {i: b" ".join(w for _, some in kept_words(texts[i], r) for w in some).decode() for i, r in enumerate(ranges) if r is not None})
 
-    return without_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")), emit, "doc_id long, text string, lang string, source string, n_chars long", window=window)
+    return with_repeats(docs, free, window=window).mapInArrow(apply, docs.schema)
 
 
 def op6_count_min_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per row of documents: doc_id, n_words, n_removed, kept_sha256. Null text: no words. Rows that share a doc_id, with equal or
     different texts, are never repeats of each other; each is judged against smaller doc_ids. Rows without doc_id keep all."""
 
-    def emit(row, text, words, gone):
-        kept = [w for w, g in zip(words, gone) if not g] if gone else words
-        return row[0], len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
-
-    return without_repeats(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), emit, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    def tell(batches):
+        worker_for("op6")
+        for batch in batches:
+            for at, texts in utf8_slices(batch):
+                rows = []
+                for text, ranges in zip(texts, removed_words(batch.column("removed").slice(at, len(texts)), WINDOW)):
+                    digest, total, left = hashlib.sha256(), 0, 0
+                    for n, words in kept_words(text or b"", ranges):
+                        if words:
+                            digest.update(b" " * (left > 0) + b" ".join(words))
+                        total, left = total + n, left + len(words)
+                    rows.append((total, total - left, digest.hexdigest()))
+                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), *columns], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_repeats(docs, "removed").mapInArrow(tell, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 #: DuckDB SQL for op6_count_min_windows: every window of every document, grouped as text.

@@ -24,7 +24,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import cut, read, utf8_slices, worker_for
+from .common import cut, read, utf8_slices, with_texts, worker_for
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 40
@@ -456,28 +456,24 @@ def find_personal_data(docs: DataFrame, keep: list[str], field: Field) -> DataFr
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """documents (doc_id, text, lang, source, n_chars) with personal data replaced by its kind. Null texts stay null."""
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    """docs (text and any other columns) with personal data replaced by its kind, and n_chars, if there is such a column, by the
+    new number of characters. Null texts stay null."""
     field = docs.sparkSession.sparkContext.broadcast(fit_field(docs).weights)
 
     def clean(batches):
-        import pyarrow as pa
-
         worker_for("op7")
         model = Field(field.value)
         for batch in batches:
-            texts, sizes = [], batch.column("n_chars").to_pylist()
             for at, part in utf8_slices(batch):
+                new = {}
                 for i, raw in enumerate(part):
-                    text = None if raw is None else raw.decode()
+                    text = (raw or b"").decode()
                     spans = added_spans(text, base_spans(text), model) if text else []
                     if spans:
-                        text = redact(text, spans)
-                        sizes[at + i] = len(text)
-                    texts.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("lang"), batch.column("source"), pa.array(sizes, pa.int64())], names=batch.schema.names)
+                        new[i] = redact(text, spans)
+                yield with_texts(batch.slice(at, len(part)), new)
 
-    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text", "lang", "source", docs.n_chars.cast("long").alias("n_chars")).mapInArrow(clean, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op7_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:

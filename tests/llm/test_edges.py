@@ -1,6 +1,7 @@
 """Every query on tables with nulls, empty and long texts, ties, repeated rows and clashing columns, and on empty tables."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -227,15 +228,124 @@ def test_near_dedup_leaves_one_row_of_a_group(spark, twin_dir):
     assert ids[3] == ids[4] == ids[1] == 1 and ids[None] == 2
 
 
-def test_stages_with_clashing_columns(spark, edge_dir):
-    """Stages that keep rows as they are keep other columns, whatever their names."""
-    from lodestone.llm.op2_dartminhash import drop_near_duplicates
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:-1]], ids=[n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_keep_other_columns(spark, edge_dir, stage):
+    """Whatever their names; and a stage needs no column but doc_id and text."""
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    kept = stage(spark, docs, edge_dir)
+    assert kept.schema == docs.schema
+    rows = kept.collect()
+    assert 50 < len(rows) <= docs.count() and all(r["lang_pred"] == "clash" for r in rows)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+    few = stage(spark, docs.select("text", "score", "doc_id"), edge_dir)
+    assert few.columns == ["text", "score", "doc_id"] and few.count() > 50
+
+
+def plain_profile(texts, size=400):
+    """The most frequent n-grams of texts by rank, from regular expressions."""
+    import re
+
+    counts = Counter()
+    for text in texts:
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            word = f" {word} "
+            counts.update(x for n in (1, 2, 3) for x in (word[i : i + n] for i in range(len(word) - n + 1)) if x != " ")
+    return {x: at for at, (x, _) in enumerate(sorted(counts.items(), key=lambda c: (-c[1], len(c[0]), c[0]))[:size])}
+
+
+def identified(rows, least=0.35):
+    """{doc_id, text: lang} of the rows (doc_id, text, lang) that the language stage keeps."""
+    profiles = {lang: plain_profile([t for _, t, own in rows if own == lang and t]) for lang in sorted({own for _, t, own in rows if own and t})}
+    kept = []
+    for i, text, lang in rows:
+        own = plain_profile([text or ""])
+        if own:
+            far = {k: sum(abs(at - p[x]) if x in p else 400 for x, at in own.items()) for k, p in profiles.items() if p}
+            best = min(far, key=lambda k: (far[k], k))
+            if best == lang or 1 - far[best] / (400 * len(own)) >= least:
+                kept.append((i, text, lang or best))
+    return kept
+
+
+def test_language_stage_equals_brute_force(spark, edge_dir, edge_rows):
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    got = Counter((r["doc_id"], r["text"], r["lang"]) for r in corpus_pipeline.STAGES[0][1](spark, docs, edge_dir).collect())
+    assert got == Counter(identified([(r[0], r[1], r[2]) for r in edge_rows]))
+
+
+def test_language_stage_uses_the_prediction(spark):
+    """Texts of no learnt language go, others stay: on whole tables, with foreign texts among them."""
+    from pyspark.sql import functions as F
+
     from lodestone.llm.op8_language import keep_identified
 
-    docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
-    for stage in (keep_identified, drop_near_duplicates):
-        kept = stage(docs)
-        assert kept.columns == docs.columns and 50 < kept.count() < docs.count() and kept.first()["lang_pred"] == "clash"
+    rng = random.Random(12)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("lang"))
+    other = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(80)) for letters in ("абвгдежзик", "あいうえおかき", "qxzjkvw") for _ in range(20)]
+    docs = docs.union(spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(other)], docs.schema))
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    kept = {r["doc_id"]: r["lang"] for r in keep_identified(docs).collect()}
+    assert set(kept) == set(truth)
+    assert sum(kept[i] == truth[i] for i in truth) / len(truth) > 0.99
+
+
+def test_long_texts_take_little_memory():
+    """A text of 20 MB: what operators hold besides it stays below ten times its size."""
+    import tracemalloc
+
+    from lodestone.llm import op6_substring as op6, op8_language as op8
+
+    rng = random.Random(4)
+    few = [f"w{rng.randrange(10**5)}".encode() for _ in range(60_000)]
+    text = b" ".join(few * 50)
+    assert len(text) > 19_000_000
+
+    def windows():
+        for s in op6.stretches_of([text], 50, 25):
+            s.keys()
+            s.windows()
+            return_after = s.base > len(few) * 3  # parts are alike
+            if return_after:
+                break
+
+    def kept():
+        total = 0
+        for n, words in op6.kept_words(text, (np.array([10]), np.array([len(few)]))):
+            total += len(words)
+        assert total == 50 * len(few) - len(few) + 10
+
+    for work in (windows, kept, lambda: op8.gram_table(text)):
+        tracemalloc.start()
+        work()
+        assert tracemalloc.get_traced_memory()[1] < 10 * len(text)
+        tracemalloc.stop()
+
+
+def test_op6_long_texts_in_parts(spark, monkeypatch, tmp_path):
+    """Long texts that share passages across the borders of their parts lose the same words as whole ones."""
+    from lodestone.llm import op6_substring as op6
+
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    passage = words(400)
+    rows = [(i, " ".join(words(rng.randrange(300)) + passage[rng.randrange(200) :] + words(300) + passage)) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id LONG, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, want = set(), {}
+    for i, t in rows:
+        w = t.split()
+        own = [tuple(w[s : s + 50]) for s in range(len(w) - 49)]
+        gone = {k for s, x in enumerate(own) if x in seen for k in range(s, s + 50)}
+        want[i] = (len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
+        seen |= set(own)
+    pieces = {}
+    for part in (300, 1 << 18):
+        monkeypatch.setattr(op6, "PART", part)
+        found = [s.windows() for _, t in rows for s in op6.stretches_of([t.encode()], 50, 25)]
+        pieces[part] = sorted((p, k) for _, place, keys in found for p, k in zip(place.tolist(), map(bytes, keys)))
+        assert [w for _, t in rows for n, w in op6.kept_words(t.encode(), None)] and sum(n for _, t in rows for n, _ in op6.kept_words(t.encode(), None)) == sum(x[0] for x in want.values())
+    assert pieces[300] == pieces[1 << 18]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in op6.op6_count_min_windows(spark, str(tmp_path)).collect()}
+    assert got == want
 
 
 @pytest.mark.parametrize("name", ["op3_jump_shards", "op4_context_tree", "op7_semi_markov", "op8_rank_order", "op10_shared_prefix"])
@@ -283,8 +393,10 @@ def test_pipeline_equals_brute_force(spark, edge_dir, edge_rows):
 
     from .test_operators import similarity_classes
 
-    rows = {i: t for i, t, *_ in edge_rows if i is not None and t and any(c.isalpha() for c in t)}  # repeated rows are one document
-    unnamed = [t for i, t, *_ in edge_rows if i is None]
+    told = identified([(r[0], r[1], r[2]) for r in edge_rows])
+    assert len(told) < sum(any(c.isalpha() for c in r[1] or "") for r in edge_rows)
+    rows = {i: t for i, t, _ in told if i is not None}  # repeated rows are one document
+    unnamed = [t for i, t, _ in told if i is None]
     root = similarity_classes(rows)
     kept = {i: t for i, t in rows.items() if root[i] == i}
     first = {}
