@@ -1,7 +1,7 @@
 """The corpus pipeline: language identification, near-dedup, substring dedup, personal data, packing.
 
-Each stage is (name, function); a function takes (spark, docs, sf_dir), where docs has the columns of documents, and
-returns a DataFrame with these columns (the last one: pieces of packed sequences). Between stages, what was kept is
+Each stage is (name, function); a function takes (spark, docs, sf_dir), where docs has doc_id, text and any other columns, and
+returns a DataFrame with the same columns (the last one: pieces of packed sequences). Between stages, what was kept is
 written as Parquet to the folder in spark.checkpoint.dir and read again.
 """
 
@@ -18,7 +18,8 @@ from lodestone.llm.op9_packing import pack_documents
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null texts and texts without a letter go."""
+    """Documents whose predicted language agrees with their label or scores enough; missing labels are filled. Null texts, texts
+    without a letter and texts in none of the labels' languages go."""
     return keep_identified(docs)
 
 
