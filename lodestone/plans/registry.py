@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import scaling
 from ..functions.canonical import canonical_frame
 from ..functions.dialect import Dialect, install_shims, tokenize
 from ..operators import compare, graph, profile, ranking, report, verify
@@ -42,7 +43,7 @@ def _sql_query(sql: str, dialect: bool = False):
         tables = catalog(spark, sf_dir, _tables_in(sql)).register()
         install_shims(spark)
         text = Dialect(spark, {n: df.schema for n, df in tables.frames.items()}).rewrite(sql) if dialect else sql
-        return spark.sql(text)
+        return scaling.run(spark, text)
 
     return run
 

@@ -21,6 +21,11 @@ SAME: dict[str, str] = {
     "self_join": "SELECT a.n_name AS n1, b.n_name AS n2 FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "join_right_full": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, l.quality FROM labels l FULL OUTER JOIN documents d ON d.doc_id = l.doc_id",
     "semi_in": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
+    "anti_not_in_pairs": "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) GROUP BY c_nationkey",
+    "anti_not_in_with_nulls": "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT CASE WHEN c_custkey > 5 THEN c_custkey END FROM customer)",
+    "join_or_three": "SELECT n_name, count(*) AS pairs FROM supplier JOIN customer ON s_suppkey = c_custkey OR s_nationkey = c_nationkey AND s_acctbal < c_acctbal OR s_name = c_name JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name",
+    "rank_over_all": "SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice DESC) AS place, dense_rank() OVER (ORDER BY o_orderpriority) AS priority FROM orders",
+    "share_over_all": "SELECT s_suppkey, round(s_acctbal - avg(s_acctbal) OVER (), 4) AS above_mean, count(*) OVER () AS n FROM supplier WHERE s_acctbal > 0",
     "anti_not_in": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)",
     "exists": "SELECT s_suppkey, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 50)",
     "not_exists": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
@@ -87,6 +92,7 @@ SAME: dict[str, str] = {
 PAIRS: dict[str, tuple[str, str]] = {
     "orphan_documents_labels": (SAME["orphan_documents_labels"], "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"),
     "integer_division": ("SELECT p_partkey, p_size div 7 AS q, p_size % 7 AS r FROM part", "SELECT p_partkey, CAST(p_size // 7 AS BIGINT) AS q, p_size % 7 AS r FROM part"),
+    "running_sum": ("SELECT o_orderkey, sum(o_custkey) OVER (ORDER BY o_orderdate) AS so_far FROM orders", "SELECT o_orderkey, CAST(sum(o_custkey) OVER (ORDER BY o_orderdate) AS BIGINT) AS so_far FROM orders"),
     "join_or_direct": ("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_suppkey = c_custkey OR (s_nationkey = c_nationkey AND s_acctbal = c_acctbal)", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_suppkey = c_custkey UNION SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_acctbal = c_acctbal"),
     "strftime_year": ("SELECT date_format(o_orderdate, 'yyyy') AS y, count(*) AS n FROM orders GROUP BY 1", "SELECT strftime(o_orderdate, '%Y') AS y, count(*) AS n FROM orders GROUP BY 1"),
     "group_by_expr": ("SELECT date_format(l_shipdate, 'yyyy-MM') AS m, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY date_format(l_shipdate, 'yyyy-MM')", "SELECT strftime(l_shipdate, '%Y-%m') AS m, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY 1"),

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import scaling
 from ..functions.dialect import Dialect
 from .catalog import Catalog
 from .jdbc import JdbcSource
@@ -48,7 +49,7 @@ class SparkAdapter:
     def query(self, sql: str) -> QueryOutcome:
         began = time.time()
         try:
-            df = self.spark.sql(self.dialect.rewrite(sql) if self.dialect else sql)
+            df = scaling.run(self.spark, self.dialect.rewrite(sql) if self.dialect else sql)
             return QueryOutcome(unique_columns(df), None, int(1000 * (time.time() - began)))
         except Exception as e:  # analysis or parse errors become data
             return QueryOutcome(None, str(e).splitlines()[0] if str(e) else type(e).__name__, int(1000 * (time.time() - began)))
