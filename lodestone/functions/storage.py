@@ -7,6 +7,8 @@ expressions are temporary SQL functions for rewritten statements.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Affinities: those of columns (blob, that of a column without a type, leaves values as they are), and none, that of literals
@@ -17,7 +19,7 @@ NUMERIC, TEXT, BLOB, NONE = "numeric", "text", "blob", "none"
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 WHOLE = r"^\s*[+-]?[0-9]+\s*$"
 
-_CLASS = "regexp_replace(schema_of_variant(v), '[(].*', '')"
+_CLASS = "schema_of_variant(v)"
 
 
 def _sql(text: str) -> str:
@@ -28,16 +30,16 @@ def _sql(text: str) -> str:
 FUNCTIONS = {
     # a double and what a whole number is more than it: exact where doubles are not
     "storage_key(v VARIANT) RETURNS STRUCT<kind: INT, number: DOUBLE, more: BIGINT, bytes: BINARY>": _sql("""
-        CASE WHEN v IS NULL OR {class} = 'VOID' THEN NULL
-        WHEN {class} IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT') THEN named_struct('kind', 1, 'number', cast(try_variant_get(v, '$', 'bigint') AS DOUBLE),
+        CASE WHEN v IS NULL OR is_variant_null(v) THEN NULL
+        WHEN {class} = 'BIGINT' THEN named_struct('kind', 1, 'number', cast(try_variant_get(v, '$', 'bigint') AS DOUBLE),
           'more', cast(cast(try_variant_get(v, '$', 'bigint') AS DECIMAL(38, 0)) - cast(cast(try_variant_get(v, '$', 'bigint') AS DOUBLE) AS DECIMAL(38, 0)) AS BIGINT), 'bytes', X'')
-        WHEN {class} IN ('DOUBLE', 'FLOAT', 'DECIMAL') THEN if(isnan(try_variant_get(v, '$', 'double')), NULL, named_struct('kind', 1, 'number', try_variant_get(v, '$', 'double') + 0.0D, 'more', 0L, 'bytes', X''))
+        WHEN {class} RLIKE '^(DOUBLE|FLOAT|DECIMAL)' THEN if(isnan(try_variant_get(v, '$', 'double')), NULL, named_struct('kind', 1, 'number', try_variant_get(v, '$', 'double') + 0.0D, 'more', 0L, 'bytes', X''))
         WHEN {class} = 'BOOLEAN' THEN named_struct('kind', 1, 'number', if(try_variant_get(v, '$', 'boolean'), 1.0D, 0.0D), 'more', 0L, 'bytes', X'')
         WHEN {class} = 'BINARY' THEN named_struct('kind', 3, 'number', 0.0D, 'more', 0L, 'bytes', try_variant_get(v, '$', 'binary'))
         ELSE named_struct('kind', 2, 'number', 0.0D, 'more', 0L, 'bytes', cast(try_variant_get(v, '$', 'string') AS BINARY)) END"""),
     "storage_class(v VARIANT) RETURNS STRING": _sql("""
-        CASE WHEN v IS NULL OR {class} = 'VOID' THEN 'null' WHEN {class} IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT', 'BOOLEAN') THEN 'integer'
-        WHEN {class} IN ('DOUBLE', 'FLOAT', 'DECIMAL') THEN if(isnan(try_variant_get(v, '$', 'double')), 'null', 'real') WHEN {class} = 'BINARY' THEN 'blob' ELSE 'text' END"""),
+        CASE WHEN v IS NULL OR is_variant_null(v) THEN 'null' WHEN {class} IN ('BIGINT', 'BOOLEAN') THEN 'integer'
+        WHEN {class} RLIKE '^(DOUBLE|FLOAT|DECIMAL)' THEN if(isnan(try_variant_get(v, '$', 'double')), 'null', 'real') WHEN {class} = 'BINARY' THEN 'blob' ELSE 'text' END"""),
     # what a column of this affinity would hold
     "numeric_storage(v VARIANT) RETURNS VARIANT": _sql(f"""
         CASE WHEN {{class}} <> 'STRING' THEN v
@@ -49,17 +51,23 @@ FUNCTIONS = {
         WHEN cast(x AS STRING) LIKE '%E-_' THEN replace(cast(x AS STRING), 'E-', 'e-0') WHEN cast(x AS STRING) LIKE '%E-%' THEN replace(cast(x AS STRING), 'E-', 'e-')
         WHEN cast(x AS STRING) LIKE '%E_' THEN replace(cast(x AS STRING), 'E', 'e+0') WHEN cast(x AS STRING) LIKE '%E%' THEN replace(cast(x AS STRING), 'E', 'e+') ELSE cast(x AS STRING) END"""),
     "storage_text(v VARIANT) RETURNS STRING": _sql("""
-        CASE WHEN {class} IN ('DOUBLE', 'FLOAT', 'DECIMAL') THEN real_text(try_variant_get(v, '$', 'double'))
+        CASE WHEN {class} RLIKE '^(DOUBLE|FLOAT|DECIMAL)' THEN real_text(try_variant_get(v, '$', 'double'))
         WHEN {class} = 'BOOLEAN' THEN if(try_variant_get(v, '$', 'boolean'), '1', '0') ELSE try_variant_get(v, '$', 'string') END"""),
     "text_storage(v VARIANT) RETURNS VARIANT": _sql("CASE WHEN {class} IN ('VOID', 'BINARY') THEN v ELSE cast(storage_text(v) AS VARIANT) END"),
     # the number that a text begins with, 0 without one
     "storage_number(v VARIANT) RETURNS DOUBLE": _sql(r"""
-        CASE WHEN v IS NULL OR {class} = 'VOID' THEN NULL WHEN {class} IN ('STRING', 'BINARY')
+        CASE WHEN v IS NULL OR is_variant_null(v) THEN NULL WHEN {class} IN ('STRING', 'BINARY')
           THEN coalesce(try_cast(nullif(regexp_extract(try_variant_get(v, '$', 'string'), '^\\s*([+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?)', 1), '') AS DOUBLE), 0.0D)
         WHEN {class} = 'BOOLEAN' THEN if(try_variant_get(v, '$', 'boolean'), 1.0D, 0.0D) ELSE try_variant_get(v, '$', 'double') END"""),
 }
 
 
+def key_of(expression: str) -> str:
+    """The SQL of storage_key() of an expression, without the function."""
+    body = next(b for s, b in FUNCTIONS.items() if s.startswith("storage_key("))
+    return "(" + re.sub(r"\bv\b", lambda _: f"({expression})", body) + ")"
+
+
 def install(spark: SparkSession) -> None:
     for signature, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")

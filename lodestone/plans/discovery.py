@@ -1,10 +1,12 @@
-"""Queries over keys that are found in the rows of plain files, with their DuckDB oracles."""
+"""Queries over what is found in the rows of plain files: keys, merged profiles, heavy values; with their DuckDB oracles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
 
-from ..operators import graph, keys, profile
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators import graph, keys, profile, sketches
 from ..sources.catalog import KEYS, Catalog
 from .registry import registered
 
@@ -69,3 +71,44 @@ def join_by_inferred_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = keys.with_inferred_keys(Catalog.of_parquet(spark, sf_dir, ("lineitem", "orders", "customer", "nation", "region"), keys={}))
     rows = graph.join_along(tables, graph.join_path(tables, "lineitem", "region"))
     return rows.groupBy(rows["region_r_name"].alias("r_name")).count().withColumnRenamed("count", "n")
+
+
+# Profiles from sketches, heavy values
+
+
+@registered("merged_profile_orders", """SELECT column_name, row_count, null_count, round(min_value, 4) AS min_value, round(max_value, 4) AS max_value, round(avg_value, 4) AS avg_value, round(deviation, 4) AS deviation, true AS distinct_is_close, median_is_close FROM (
+    SELECT 'o_orderkey' AS column_name, count(*) AS row_count, count(*) - count(o_orderkey) AS null_count, min(o_orderkey)::DOUBLE AS min_value, max(o_orderkey)::DOUBLE AS max_value, avg(o_orderkey) AS avg_value, stddev_pop(o_orderkey) AS deviation, true AS median_is_close FROM orders
+    UNION ALL SELECT 'o_custkey', count(*), count(*) - count(o_custkey), min(o_custkey), max(o_custkey), avg(o_custkey), stddev_pop(o_custkey), true FROM orders
+    UNION ALL SELECT 'o_totalprice', count(*), count(*) - count(o_totalprice), min(o_totalprice), max(o_totalprice), avg(o_totalprice), stddev_pop(o_totalprice), true FROM orders
+    UNION ALL SELECT 'o_orderstatus', count(*), count(*) - count(o_orderstatus), NULL, NULL, NULL, NULL, NULL FROM orders
+    UNION ALL SELECT 'o_orderdate', count(*), count(*) - count(o_orderdate), NULL, NULL, NULL, NULL, NULL FROM orders
+    UNION ALL SELECT 'o_orderpriority', count(*), count(*) - count(o_orderpriority), NULL, NULL, NULL, NULL, NULL FROM orders)""")
+def merged_profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of orders from sketches of two halves; estimates lie within their stated errors of the exact numbers."""
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    state = reduce(DataFrame.unionAll, [sketches.file_sketches(df.filter(F.pmod(F.xxhash64("o_orderkey"), F.lit(2)) == i), "orders") for i in (0, 1)])
+    exact = profile.column_stats(df, "orders").select("column_name", F.col("distinct_count").alias("exact"))
+    numbers = ["o_orderkey", "o_custkey", "o_totalprice"]
+    below = df.agg(*[F.percentile(c, 0.5 + side * 3 * sketches.RANK_ERROR).alias(f"{c}{side}") for c in numbers for side in (-1, 1)])
+    bounds = below.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"{c}-1").alias("lo"), F.col(f"{c}1").alias("hi")) for c in numbers])).alias("b")).select("b.*")
+    found = sketches.merged(state).join(exact, "column_name").join(bounds, "column_name", "left")
+    close = F.abs(F.col("distinct_count") - F.col("exact")) <= 1 + 4 * sketches.DISTINCT_ERROR * F.col("exact")
+    rounded = [F.round(c, 4).alias(c) for c in ("min_value", "max_value", "avg_value", "deviation")]
+    return found.select("column_name", "row_count", "null_count", *rounded, close.alias("distinct_is_close"), F.col("quantiles")[2].between(F.col("lo"), F.col("hi")).alias("median_is_close"))
+
+
+_HEAVY = ("l_partkey", "l_suppkey", "l_orderkey", "l_shipdate")
+_VALUE = {"l_shipdate": "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')"}
+
+
+@registered("heavy_values_lineitem", " UNION ALL ".join(f"SELECT * FROM (SELECT 'lineitem' AS table_name, '{c}' AS column_name, {_VALUE.get(c, f'{c}::VARCHAR')} AS value, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY value ORDER BY n DESC, value LIMIT 15)" for c in _HEAVY))
+def heavy_values_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent values of columns with many, exactly."""
+    return sketches.heavy_table(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "lineitem", list(_HEAVY))
+
+
+@registered("heavy_words", "SELECT word AS value, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 25")
+def heavy_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent words of all documents: few of very many values, so most are never grouped."""
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+)"))).alias("word"))
+    return sketches.heavy_hitters(words, "word", 25)

@@ -261,6 +261,6 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-from . import cases, discovery  # noqa: E402, F401  register their queries
+from . import cases, discovery, mixed  # noqa: E402, F401  register their queries
 
 __all__ = ["ORACLE_SQL", "QUERIES", "catalog", "registered"]

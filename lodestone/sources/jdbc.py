@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
@@ -13,6 +15,11 @@ from .ddl import Column, ForeignKey, Index, TableDef
 #: Rows of a table that one partition reads on average, and partitions of a table at most.
 PARTITION_ROWS, MOST_PARTITIONS = 1_000_000, 512
 
+#: Types of keys that tables are cut by.
+_CUT_BY = (T.IntegerType, T.LongType, T.ShortType, T.DecimalType, T.StringType, T.DateType, T.TimestampType)
+#: Words of SQL that tables are named by.
+_WORDS = frozenset("all and any as between both by case cast check column constraint create cross current_date default desc distinct end except exists from full grant group having in index inner into is join key left like limit natural not null offset on or order outer primary references right select session_user some table then to union unique user using values when where window with".split())
+
 _OWN = {"mysql": "table_schema = DATABASE()", "postgresql": "table_schema = current_schema()"}
 
 #: Statements for what information_schema and the systems' own catalogs tell, by system.
@@ -44,6 +51,8 @@ class JdbcSource:
     url: str
     properties: dict[str, str] = field(default_factory=dict)
     run: Callable[[str], DataFrame] | None = None
+    #: Rows with their place in the order of the key, by the database.
+    ranked: str = "SELECT {columns}, ROW_NUMBER() OVER (ORDER BY {columns}) AS place FROM {source}"
 
     def query(self, sql: str) -> DataFrame:
         return self.run(sql) if self.run else self.spark.read.format("jdbc").options(url=self.url, query=sql, **self.properties).load()
@@ -79,19 +88,68 @@ class JdbcSource:
                 c.primary_key = c.name in t.primary_key
         return list(tables.values())
 
-    def table(self, name: str, key: str | None = None) -> DataFrame:
-        """A table; read over many connections if it has a key of whole numbers and more rows than one partition takes."""
-        reader = self.spark.read.format("jdbc").options(url=self.url, dbtable=name, **self.properties)
+    def quoted(self, name: str) -> str:
+        """A name as the database wants it: in quotes unless it is plain lower case and no word of SQL."""
+        if re.fullmatch(r"[a-z_][a-z0-9_]*", name) and name not in _WORDS:
+            return name
+        return self._quote(name)
+
+    def _quote(self, name: str) -> str:
+        mark = "`" if self.kind == "mysql" else '"'
+        return mark + name.replace(mark, mark * 2) + mark
+
+    def table(self, name: str, key: str | list[str] | None = None) -> DataFrame:
+        """A table; read over many connections if it has a key and more rows than one partition takes.
+
+        One key of whole numbers is cut evenly between its ends. Other keys, of texts, times or several columns, are cut where
+        the database says that every so many rows end, so skewed ones read evenly as well.
+        """
+        source, keys = self.quoted(name), [key] if isinstance(key, str) else list(key or ())
+        reader = self.spark.read.format("jdbc").options(url=self.url, dbtable=source, **self.properties)
         df = reader.load()
-        if key is None or not isinstance(df.schema[key].dataType, (T.IntegerType, T.LongType, T.ShortType)):
+        kinds = [df.schema[k].dataType for k in keys]
+        if not keys or not all(isinstance(k, _CUT_BY) for k in kinds):
             return df
-        mark = "`" if self.kind == "mysql" else '"'
-        column = mark + key.replace(mark, mark * 2) + mark
-        span = self.query(f"SELECT MIN({column}) AS lo, MAX({column}) AS hi, COUNT(*) AS n FROM {name}").toDF("lo", "hi", "n").first()
+        if len(keys) > 1 or not isinstance(kinds[0], (T.IntegerType, T.LongType, T.ShortType)):
+            bounds = self.bounds(source, keys)
+            return self.spark.read.jdbc(self.url, source, predicates=self.predicates(keys, bounds), properties=self.properties) if bounds else df
+        column = self._quote(keys[0])
+        span = self.query(f"SELECT MIN({column}) AS lo, MAX({column}) AS hi, COUNT(*) AS n FROM {source}").toDF("lo", "hi", "n").first()
         parts = min(MOST_PARTITIONS, -(-(span["n"] or 0) // PARTITION_ROWS))
         if parts < 2:
             return df
-        return reader.options(partitionColumn=key, lowerBound=int(span["lo"]), upperBound=int(span["hi"]) + 1, numPartitions=parts).load()
+        return reader.options(partitionColumn=keys[0], lowerBound=int(span["lo"]), upperBound=int(span["hi"]) + 1, numPartitions=parts).load()
+
+    def bounds(self, source: str, keys: list[str]) -> list[tuple]:
+        """The keys of every so many rows in the order of the key, one for each partition but the first; MOST_PARTITIONS at most."""
+        n = self.query(f"SELECT COUNT(*) AS n FROM {source}").toDF("n").first()["n"]
+        parts = min(MOST_PARTITIONS, -(-n // PARTITION_ROWS))
+        if parts < 2:
+            return []
+        columns = ", ".join(self._quote(k) for k in keys)
+        step = -(-n // parts)
+        ordered = self.ranked.format(columns=columns, source=source)
+        rows = self.query(f"SELECT {columns} FROM ({ordered}) placed WHERE MOD(place - 1, {step}) = 0 AND place > 1").collect()
+        return sorted({tuple(r) for r in rows if None not in tuple(r)})
+
+    def predicates(self, keys: list[str], bounds: list[tuple]) -> list[str]:
+        """Conditions that hold each row in exactly one of the parts; keys that are null belong to the first."""
+
+        def literal(v) -> str:
+            return str(v) if isinstance(v, (int, Decimal)) and not isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'"
+
+        def from_(bound: tuple) -> str:
+            """(a, b, ..) >= bound, column by column."""
+            parts = []
+            for i, (k, v) in enumerate(zip(keys, bound)):
+                same = [f"{self._quote(k2)} = {literal(v2)}" for k2, v2 in zip(keys[:i], bound[:i])]
+                parts.append("(" + " AND ".join([*same, f"{self._quote(k)} {'>=' if i == len(keys) - 1 else '>'} {literal(v)}"]) + ")")
+            return "(" + " OR ".join(parts) + ")"
+
+        null = " OR ".join(f"{self._quote(k)} IS NULL" for k in keys)
+        full = " AND ".join(f"{self._quote(k)} IS NOT NULL" for k in keys)
+        edges = [from_(b) for b in bounds]
+        return [f"{null} OR NOT {edges[0]}", *(f"{full} AND {a} AND NOT {b}" for a, b in zip(edges, edges[1:])), f"{full} AND {edges[-1]}"]
 
     def catalog(self, name: str, tables: list[str] | None = None) -> Catalog:
         """The tables (all, if none is named) with all that the database tells of them."""
@@ -99,8 +157,7 @@ class JdbcSource:
         definitions = [d for d in self.definitions() if tables is None or d.name in tables]
         found.declare(definitions)
         for d in definitions:
-            key = d.primary_key[0] if len(d.primary_key) == 1 else None
-            found.add(d.name, self.table(d.name, key), d.primary_key)
+            found.add(d.name, self.table(d.name, d.primary_key), d.primary_key)
         return found
 
 

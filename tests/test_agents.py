@@ -63,6 +63,26 @@ def test_large_tables_are_read_in_parts(spark, tmp_path, monkeypatch):
     assert source.table("numbers").rdd.getNumPartitions() == 1
 
 
+def test_tables_with_other_keys_are_read_in_parts(spark, tmp_path, monkeypatch):
+    """Text and composite keys, most rows with one beginning, quotes in keys, a name in mixed case."""
+    url = f"jdbc:derby:{tmp_path}/shop;create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = [(f"O'Neil {i:04d}" if i % 10 else chr(97 + i % 26) + str(i), i % 3, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "name string, part int, v long")
+    try:
+        df.write.format("jdbc").options(url=url, dbtable='"Some Names"', createTableColumnTypes="name VARCHAR(40)", **options).save()
+    except Exception as e:
+        pytest.skip(f"no embedded database: {e}")
+    monkeypatch.setattr(jdbc, "PARTITION_ROWS", 30)
+    # this database numbers rows without an order of its own, so they are ordered first
+    source = jdbc.JdbcSource(spark, "postgresql", url, options, ranked="SELECT o.*, ROW_NUMBER() OVER () AS place FROM (SELECT {columns} FROM {source} ORDER BY {columns}) o")
+    assert source.quoted("Some Names") == '"Some Names"' and source.quoted("order") == '"order"' and source.quoted("plain_1") == "plain_1"
+    for key in (["name"], ["part", "name"], ["name", "v"]):
+        got = source.table("Some Names", key)
+        sizes = [len(p) for p in got.rdd.glom().collect()]
+        assert len(sizes) == 7 and max(sizes) <= 32 and sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str), (key, sizes)
+
+
 def test_model_phase_of_the_audit(spark):
     rows = [(1, "SELECT CURRENT_DATE", "x", "now?", "", "data_mismatch", 1, 1, True, True), (2, "SELECT a FROM t", "SELECT b FROM t", "which b?", "", "data_mismatch", 1, 1, True, True), (3, "SELECT a FROM t", "SELECT c FROM t", "slow?", "", "data_mismatch", 1, 1, True, True), (4, "SELECT a FROM t", "SELECT d FROM t", "fine?", "", "data_mismatch", 1, 1, True, True), (5, "SELECT a FROM t", "SELECT e FROM t", "fails?", "", "data_mismatch", 1, 1, True, True)]
     cases = audit.audit(spark.createDataFrame(rows, "id INT, gt_sql STRING, pred_sql STRING, question STRING, evidence STRING, error_type STRING, gt_rows INT, pred_rows INT, gt_success BOOLEAN, pred_success BOOLEAN"))
