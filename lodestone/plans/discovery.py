@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import graph, keys, profile, sketches
 from ..sources.catalog import KEYS, Catalog
-from .registry import registered
+from ..sources.scratch import scratch
+from ..streaming import rollups
+from .registry import _VERDICTS, _rounded, _verdicts, registered
 
 #: Columns of whole numbers and of texts, by table.
 _COLUMNS = {
@@ -112,3 +114,26 @@ def heavy_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent words of all documents: few of very many values, so most are never grouped."""
     words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+)"))).alias("word"))
     return sketches.heavy_hitters(words, "word", 25)
+
+
+# A running evaluation
+
+
+def _followed(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a stream that has followed the verdicts of all orders, written in three parts, the first of them twice."""
+    records, folder = scratch(spark, "records"), scratch(spark, "rollup")
+    verdicts = _verdicts(spark, sf_dir).withColumn("sequence", F.lit(1).cast("long"))
+    for part in (0, 1, 0, 2):
+        verdicts.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == part).write.mode("append").json(records)
+        rollups.start(spark, records, folder, once=True).awaitTermination()
+    return folder
+
+
+@registered("running_summary", _VERDICTS + "SELECT count(*) AS total, count(*) FILTER (error_type = 'exact_match') AS correct_count, count(*) FILTER (error_type = 'semantic_match') AS equivalent_count, round(count(*) FILTER (error_type <> 'row_count_error') * 100.0 / count(*), 4) AS correct_rate FROM v")
+def running_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(rollups.running_summary(spark, _followed(spark, sf_dir))).select("total", "correct_count", "equivalent_count", "correct_rate")
+
+
+@registered("running_difficulties", _VERDICTS + "SELECT difficulty, count(*) AS total, count(*) FILTER (error_type <> 'row_count_error') AS correct, round(count(*) FILTER (error_type <> 'row_count_error') * 100.0 / count(*), 4) AS accuracy FROM v GROUP BY difficulty")
+def running_difficulties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(rollups.running_difficulties(spark, _followed(spark, sf_dir))).select("difficulty", "total", "correct", "accuracy")
