@@ -143,7 +143,11 @@ def shares(kt: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def log10_of(odds: np.ndarray, one: np.ndarray) -> np.ndarray:
     """log10 of the probability of a decision, from the logarithm of the odds of its going one way: exact for both, however
     close to 1 one of them is."""
-    return -np.logaddexp(0, np.where(one, -odds, odds).astype(float)) / math.log(10)
+    out = np.empty(len(odds))
+    for at in range(0, len(odds), PIECE):  # little at a time besides the result
+        part = slice(at, at + PIECE)
+        out[part] = -np.logaddexp(0, np.where(one[part], -odds[part], odds[part]).astype(float)) / math.log(10)
+    return out
 
 
 def weighted_levels(grams: list[tuple[np.ndarray, np.ndarray]], bit: int, lowest: int = 0) -> list[dict]:
