@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import graph, keys, profile, sketches
+from ..functions.canonical import canonical
+from ..operators import graph, keys, matching, profile, sketches
 from ..sources.catalog import KEYS, Catalog
+from ..sources.commits import RecordFolder, write_array_parts
 from ..sources.scratch import scratch
 from ..streaming import rollups
 from .registry import _VERDICTS, _rounded, _verdicts, registered
@@ -137,3 +139,55 @@ def running_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("running_difficulties", _VERDICTS + "SELECT difficulty, count(*) AS total, count(*) FILTER (error_type <> 'row_count_error') AS correct, round(count(*) FILTER (error_type <> 'row_count_error') * 100.0 / count(*), 4) AS accuracy FROM v GROUP BY difficulty")
 def running_difficulties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rollups.running_difficulties(spark, _followed(spark, sf_dir))).select("difficulty", "total", "correct", "accuracy")
+
+
+# Columns matched by values that differ in part
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Columns of lineitem, and the same in another order where every twentieth cell of a column is another value."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    row = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    changed = lambda c, i: F.when(row % 20 == i, F.lit("changed")).otherwise(canonical(F.col(c), items.schema[c].dataType)).alias(f"p_{c}")
+    gold = items.select("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    return gold, items.select(*[changed(c, i) for i, c in enumerate(("l_returnflag", "l_quantity", "l_partkey", "l_suppkey"))])
+
+
+def _text(c: str) -> str:
+    return f"(CASE WHEN {c} = floor({c}) THEN {c}::BIGINT::VARCHAR ELSE {c}::VARCHAR END)" if c == "l_quantity" else f"{c}::VARCHAR"
+
+
+_GOLD, _PRED = ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag"), ("l_returnflag", "l_quantity", "l_partkey", "l_suppkey")
+_OVERLAPS = f"""WITH a AS ({" UNION ALL ".join(f"SELECT {i} AS a, {_text(c)} AS v, count(*) AS n FROM lineitem GROUP BY v" for i, c in enumerate(_GOLD))}),
+    b AS ({" UNION ALL ".join(f"SELECT {i} AS b, CASE WHEN (l_orderkey * 7 + l_linenumber) % 20 = {i} THEN 'changed' ELSE {_text(c)} END AS v, count(*) AS n FROM lineitem GROUP BY v" for i, c in enumerate(_PRED))}),
+    s AS (SELECT a, b, sum(least(a.n, b.n))::DOUBLE / (SELECT count(*) FROM lineitem) AS similarity FROM a JOIN b USING (v) GROUP BY a, b)"""
+
+
+@registered("column_similarities", f"{_OVERLAPS} SELECT a AS gold_column, b AS pred_column, similarity FROM s")
+def column_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much the values of every pair of columns overlap, over all rows."""
+    found = matching.similarities(*_changed(spark, sf_dir))
+    return spark.createDataFrame([(i, j, s) for i, row in enumerate(found) for j, s in enumerate(row) if s], "gold_column int, pred_column int, similarity double")
+
+
+@registered("column_matching", f"{_OVERLAPS} SELECT a AS gold_column, b AS pred_column, similarity FROM s WHERE (a, b) IN ((0, 2), (1, 3), (2, 1), (3, 0))")
+def column_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matching of the columns: each meets its own, with a twentieth of its cells changed."""
+    match = matching.match_columns(*_changed(spark, sf_dir))
+    return spark.createDataFrame([(i, j, s) for i, (j, s) in enumerate(zip(match.pairs, match.similarities))], "gold_column int, pred_column int, similarity double")
+
+
+# Records of several writers
+
+
+@registered("committed_records", _VERDICTS + "SELECT error_type, count(*) AS n, sum(id)::BIGINT AS ids FROM v GROUP BY error_type")
+def committed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts of all orders, committed in four parts, one of them twice, then written by many tasks as one array and read again."""
+    folder, target = RecordFolder(spark, scratch(spark, "commits")), scratch(spark, "array")
+    verdicts = _verdicts(spark, sf_dir)
+    for part in (0, 1, 2, 1, 3):
+        folder.commit(verdicts.filter(F.pmod(F.xxhash64("id"), F.lit(4)) == part), f"part-{part}")
+    write_array_parts(folder.lines(), target)
+    lines = spark.read.text(target).select(F.regexp_replace("value", "^,", "").alias("value")).filter("value NOT IN ('[', ']')")
+    rows = lines.select(F.from_json("value", "id LONG, error_type STRING").alias("r")).select("r.*")
+    return rows.groupBy("error_type").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
