@@ -3,18 +3,20 @@ a partition.
 
 Spark plans NOT IN as a null-aware anti join, which broadcasts the subquery whatever its size, a join condition with OR as a
 nested loop, and a window without a partition in one task. A rewritten text is used only if Spark gives it the same schema as
-the first one; else the first one stays.
+the first one; else the first one stays. Where a statement only counts the pairs of a join with OR, no pair is made.
 """
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import ranking
+from ..operators import joins, ranking
 from .dialect import KEYWORDS, SET_OPERATORS, Token, _clause_span, _closing, _items, _levels, _next, _operand, _select_list, _split, _text, tokenize
 
 _JOINS = ("JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "NATURAL", "OUTER", "SEMI", "ANTI")
@@ -41,6 +43,12 @@ def rewritten(spark: SparkSession, sql: str) -> str:
 
 def run(spark: SparkSession, sql: str) -> DataFrame:
     """The result of sql; what can be rewritten is."""
+    try:
+        counted = _without_pairs(spark, sql)
+    except (IndexError, ValueError, PySparkException):
+        counted = None
+    if counted is not None:
+        return counted
     text = rewritten(spark, sql)
     try:
         placed = _without_gathering(spark, text)
@@ -114,54 +122,157 @@ def _or_branches(on: list[Token]) -> list[str]:
     return [*parts, _text(on[last:]).strip()]
 
 
-def _without_or_joins(spark: SparkSession, sql: str) -> str:
-    """FROM a JOIN b ON x OR y: the rows where x holds, and those where y holds and x does not, each by a join of its own. Both tables
-    come out of the union as one struct each, under their names, so that a.c still means the same."""
-    tokens = _parts(sql)
+@dataclass
+class _Joins:
+    """FROM, at the tokens start to end: tables or subqueries under different names, joined inside by ON. columns: those of each name."""
+
+    start: int
+    end: int
+    sources: list[str]
+    conditions: list[list[Token]]
+    names: list[str]
+    columns: dict[str, list[str]]
+
+
+def _inner_joins(spark: SparkSession, tokens: list[Token]) -> _Joins | None:
     span = _clause_span(tokens, "FROM")
     if span is None or any(t.is_word(*SET_OPERATORS) for _, t, depth in _levels(tokens) if depth == 0):
-        return sql
+        return None
     start, end = span
     body = tokens[start + 1 : end]
     marks = [i for i, t, depth in _levels(body) if depth == 0 and t.is_word("JOIN")]
     kinds = [t.upper for _, t, depth in _levels(body) if depth == 0 and t.is_word(*_JOINS)]
     if not marks or any(k not in ("JOIN", "INNER") for k in kinds) or any(t.text == "," for _, t, depth in _levels(body) if depth == 0):
-        return sql
+        return None
     pieces = [body[a:b] for a, b in zip([0, *[m + 1 for m in marks]], [*marks, len(body)])]
     pieces = [[t for t in p if not t.is_word("INNER")] for p in pieces]
     sources, conditions = [pieces[0]], [[]]
     for p in pieces[1:]:
-        on = next(i for i, t, depth in _levels(p) if depth == 0 and t.is_word("ON"))
+        on = next((i for i, t, depth in _levels(p) if depth == 0 and t.is_word("ON")), None)
+        if on is None:
+            return None
         sources.append(p[:on])
         conditions.append(p[on + 1 :])
     names = [_alias_of(s) for s in sources]
     if None in names or len(set(names)) < len(names):
+        return None
+    texts = [_text(s).strip() for s in sources]
+    columns = {n: [c for c, _ in _schema(spark, f"SELECT * FROM {s}") or ()] for n, s in zip(names, texts)}
+    return _Joins(start, end, texts, conditions, names, columns) if all(columns.values()) else None
+
+
+def _without_or_joins(spark: SparkSession, sql: str) -> str:
+    """FROM a JOIN b ON x OR y: the rows where x holds, and those where y holds and x does not, each by a join of its own. Both tables
+    come out of the union as one struct each, under their names, so that a.c still means the same."""
+    tokens = _parts(sql)
+    found = _inner_joins(spark, tokens)
+    if found is None:
         return sql
-    columns = {n: [c for c, _ in _schema(spark, f"SELECT * FROM {_text(s).strip()}") or ()] for n, s in zip(names, sources)}
-    if not all(columns.values()):
-        return sql
-    done = f"{_text(sources[0]).strip()}"
-    changed, known, wrapped = False, [names[0]], 0
-    for source, on, name in zip(sources[1:], conditions[1:], names[1:]):
+    done, known, wrapped = found.sources[0], [found.names[0]], 0
+    for source, on, name in zip(found.sources[1:], found.conditions[1:], found.names[1:]):
         branches = _or_branches(on)
         known.append(name)
-        if len(branches) < 2:
-            done += f" JOIN {_text(source).strip()} ON {_text(on).strip()}"
+        own = {n: found.columns[n] for n in known}
+        if len(branches) < 2:  # behind a union a column is found under its table's name only
+            done += f" JOIN {source} ON {(_qualified(on, own) if wrapped else _text(on)).strip()}"
             continue
-        changed, wrapped = True, wrapped + 1
-        qualified = [_qualified(tokenize(b), {n: columns[n] for n in known}) for b in branches]
+        wrapped += 1
+        qualified = [_qualified(tokenize(b), own) for b in branches]
         structs = ", ".join(f"struct({n}.*) AS {n}" for n in known)
         parts = []
         for i, b in enumerate(qualified):
             rest = "".join(f" AND NOT coalesce(({x}), false)" for x in qualified[:i])
-            parts.append(f"SELECT {structs} FROM {done} JOIN {_text(source).strip()} ON ({b}){rest}")
+            parts.append(f"SELECT {structs} FROM {done} JOIN {source} ON ({b}){rest}")
         done = f"({' UNION ALL '.join(parts)}) AS _any{wrapped}"
-    if not changed:
+    if not wrapped:
         return sql
-    head, tail = _qualified(tokens[:start], columns), _qualified(tokens[end:], columns)
+    head, tail = _qualified(tokens[: found.start], found.columns), _qualified(tokens[found.end :], found.columns)
     return f"{head} FROM {done} {tail}"
 
 
+# Counted pairs of ON with OR
+
+#: Branches of a condition whose pairs are counted: each set of them is a count of its own.
+MOST_BRANCHES = 4
+_TURNED = {"=": "=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
+def _comparisons(branch: str, left: str, right: str, columns: dict[str, list[str]]) -> set[tuple[str, str, str]] | None:
+    """A branch that is nothing but comparisons of a column of left with one of right, joined by AND: (column, sign, column)."""
+    tokens = [t for t in tokenize(_qualified(tokenize(branch), columns)) if t.kind != "space"]
+    found = set()
+    ends = [i for i, t, depth in _levels(tokens) if depth == 0 and t.is_word("AND")]
+    for a, b in zip([0, *[i + 1 for i in ends]], [*ends, len(tokens)]):
+        own = [t.text.strip("`") for t in tokens[a:b]]
+        sign = "".join(own[3:-3])
+        if len(own) < 7 or own[1] != "." or own[-2] != "." or sign not in _TURNED:
+            return None
+        x, y = (own[0], own[2]), (own[-3], own[-1])
+        if x[0] == right:
+            x, y, sign = y, x, _TURNED[sign]
+        if x[0] != left or y[0] != right:
+            return None
+        found.add((x[1].lower(), sign, y[1].lower()))
+    return found
+
+
+def _without_pairs(spark: SparkSession, sql: str) -> DataFrame | None:
+    """The result of SELECT .., count(*) FROM a JOIN b ON x OR y .. where nothing else asks for b: each row of a with the number of its
+    partners, by inclusion and exclusion over the branches, and count(*) as the sum of these. None for other statements: other
+    aggregates, branches that are more than comparisons of columns, several orders (<) at once."""
+    tokens = _parts(sql)
+    found = _inner_joins(spark, tokens) if any(t.is_word("OR") for t in tokens) else None
+    if found is None:
+        return None
+    branches = _or_branches(found.conditions[1])
+    if not 2 <= len(branches) <= MOST_BRANCHES:
+        return None
+    outside: list[list[Token]] = []
+    counts = 0
+    for part in (tokens[: found.start], tokens[found.end :]):
+        part = list(part)
+        for i in reversed([i for i, t in enumerate(part) if t.is_word("COUNT")]):
+            words = [j for j in range(i, len(part)) if part[j].kind != "space"][:4]
+            if [part[j].text for j in words[1:]] == ["(", "*", ")"]:
+                part[i : words[-1] + 1] = [Token("kept", "coalesce(sum(_pairs), 0)")]
+                counts += not outside
+        outside.append(part)
+    rest = [*outside[0], *(t for on in found.conditions[2:] for t in on), *outside[1]]
+    plain = [t for t in rest if t.kind != "space"]
+    if not counts or any(t.is_word("SELECT") for t in plain[1:]) or any(t.is_word("DISTINCT", "OVER", "WITH", "FILTER") or t.text in ("(", "*") for t in plain):
+        return None
+    asked = tokenize(_qualified(rest, found.columns))
+    named = {t.text.strip("`").lower() for i, t in enumerate(asked) if (j := _next(asked, i)) is not None and asked[j].text == "."}
+    sides = [(a, b) for a, b in ((0, 1), (1, 0)) if found.names[b].lower() not in named]
+    if not sides:
+        return None
+    kept, other = sides[0]
+    own = {n: found.columns[n] for n in found.names[:2]}
+    pairs = [_comparisons(b, found.names[kept], found.names[other], own) for b in branches]
+    left, right = (spark.sql(f"SELECT * FROM {found.sources[i]}") for i in (kept, other))
+    kinds = [{f.name.lower(): f.dataType for f in df.schema.fields} for df in (left, right)]
+    if None in pairs or any(len(k) < len(df.columns) for k, df in zip(kinds, (left, right))):
+        return None
+    parts = []
+    for n in range(1, len(pairs) + 1):
+        for some in combinations(pairs, n):
+            every = sorted(set().union(*some))
+            orders = [c for c in every if c[1] != "="]
+            equal = [(x, y) for x, sign, y in every if sign == "="]
+            if len(orders) > 1 or not equal or any(kinds[0][x] != kinds[1][y] for x, _, y in every) or orders and not joins.ordered(kinds[0][orders[0][0]]):
+                return None
+            counted = joins.partner_counts(left, right, equal, orders[0] if orders else None, "_pairs")
+            parts.append(counted if n % 2 else counted.withColumn("_pairs", -F.col("_pairs")))
+    view = f"_counted_{uuid.uuid4().hex}"
+    reduce(DataFrame.unionAll, parts).createOrReplaceTempView(view)
+    try:
+        text = f"{_text(outside[0])} FROM {view} AS `{found.names[kept]}`" + "".join(f" JOIN {s} ON {_text(on).strip()}" for s, on in zip(found.sources[2:], found.conditions[2:]))
+        out = spark.sql(f"{text} {_text(outside[1])}").toDF(*spark.sql(sql).columns)
+        return out if [(f.name, f.dataType.simpleString()) for f in out.schema.fields] == _schema(spark, sql) else None
+    finally:
+        spark.catalog.dropTempView(view)
+
+
 def _qualified(tokens: list[Token], columns: dict[str, list[str]]) -> str:
     """Text in which columns of one table only, outside subqueries, are written with its name."""
     owner: dict[str, list[str]] = {}

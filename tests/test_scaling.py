@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import scaling
-from lodestone.operators.joins import join_any, not_in
-from lodestone.plans import registry
+from lodestone.operators.joins import join_any, not_in, partner_counts
+from lodestone.plans import registry, relational
 from lodestone.sources.adapters import SparkAdapter
 from lodestone.sources.catalog import Catalog
 
@@ -159,3 +159,57 @@ def test_row_numbers_are_a_permutation(spark, tables):
 def test_ranks_through_the_adapter(spark, tables):
     got = SparkAdapter(tables, dialect=True).query("SELECT s, RANK() OVER (ORDER BY k DESC) AS place FROM aa WHERE k IS NOT NULL ORDER BY place, s")
     assert [tuple(r) for r in got.df.collect()] == [("w", 1), ("z", 2), (None, 3), ("x", 3), ("x", 3)]
+
+
+COUNTED = [
+    "SELECT label, count(*) AS n FROM aa JOIN bb ON aa.id = bb.id OR aa.k = bb.m AND aa.s < bb.s JOIN cc ON code = k GROUP BY label",
+    "SELECT count(*) FROM aa JOIN bb ON k = m AND aa.id <= bb.id OR aa.s = bb.s OR aa.id = bb.id",
+    "SELECT b.m, COUNT(*) AS n, count(*) AS again FROM aa AS a INNER JOIN bb b ON (a.s = b.s AND b.id > a.id OR a.k = b.m) WHERE b.m IS NOT NULL GROUP BY b.m HAVING count(*) > 1 ORDER BY count(*), b.m LIMIT 5",
+    "SELECT a.s, count(*) AS n FROM aa a JOIN aa b ON a.id = b.k OR a.k = b.k AND a.id >= b.id GROUP BY a.s",
+    "SELECT count(*) AS n FROM aa JOIN nothing ON aa.id = nothing.id OR aa.k = nothing.k AND aa.id < nothing.id",
+]
+PAIRS_WANTED = [
+    "SELECT bb.id, count(*) AS n FROM aa JOIN bb ON aa.id = bb.id OR aa.k = bb.m GROUP BY bb.id, aa.id",
+    "SELECT count(*) AS n, sum(k) AS t FROM aa JOIN bb ON aa.id = bb.id OR aa.k = bb.m",
+    "SELECT aa.s FROM aa JOIN bb ON aa.id = bb.id OR aa.k = bb.m",
+    "SELECT count(*) AS n FROM aa JOIN bb ON aa.id = bb.id OR aa.k = bb.m + 1",
+    "SELECT count(*) AS n FROM aa JOIN bb ON aa.id = bb.id AND aa.k < bb.m OR aa.s = bb.s AND aa.id < bb.id",
+    "SELECT count(*) AS n FROM aa JOIN bb USING (id)",
+]
+
+
+@pytest.mark.parametrize("sql", COUNTED)
+def test_counted_pairs_are_not_made(spark, tables, sql):
+    found = scaling._without_pairs(spark, sql)
+    assert found is not None and found.columns == spark.sql(sql).columns and rows(found) == rows(spark.sql(sql)) == rows(scaling.run(spark, sql))
+
+
+@pytest.mark.parametrize("sql", PAIRS_WANTED)
+def test_other_pairs_are_made(spark, tables, sql):
+    assert scaling._without_pairs(spark, sql) is None and rows(scaling.run(spark, sql)) == rows(spark.sql(sql))
+
+
+def test_a_later_join_by_a_column_without_its_table(spark, tables):
+    sql = "SELECT label, bb.id FROM aa JOIN bb ON aa.id = bb.id OR aa.k = m JOIN cc ON code = k"
+    assert scaling.rewritten(spark, sql) != sql and rows(scaling.run(spark, sql)) == rows(spark.sql(sql))
+
+
+@pytest.mark.parametrize("sign", ["<", "<=", ">", ">="])
+def test_partners_in_an_order(spark, sign):
+    values = [None, float("nan"), float("inf"), -0.0, 0.0, *[i / 4 for i in range(-9, 9)]]
+    left = spark.createDataFrame([(i, i % 3 or None, values[i % len(values)]) for i in range(80)], "id int, k int, x double")
+    right = spark.createDataFrame([(i % 4, values[i * 7 % len(values)]) for i in range(90)], "m int, y double")
+    want = left.join(right, F.expr(f"k = m AND x {sign} y")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    for ranges in (3, 256):
+        assert rows(partner_counts(left, right, [("k", "m")], ("x", sign, "y"), "n", ranges).select("id", "n")) == rows(want)
+
+
+def test_three_branches_make_no_pairs(spark):
+    for name, key, shift in (("supplier", "s_suppkey", 10), ("customer", "c_custkey", 150), ("nation", "n_nationkey", None)):
+        df = spark.read.parquet(f"{SF}/{name}.parquet")
+        many = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn(key, F.col(key) + F.col("_i") * shift).drop("_i") if shift else df
+        many.createOrReplaceTempView(name)
+    sql = relational.SAME["join_or_three"]
+    df = scaling.run(spark, sql)
+    text = plan(df)
+    assert rows(df) == rows(spark.sql(sql)) and "NestedLoop" not in text and "Cartesian" not in text, text
