@@ -623,7 +623,7 @@ def resumed_records(spark, sf_dir):
     sinks.append_records(records.filter("id % 3 = 0"), path)
     sinks.append_records(sinks.unfinished(records, path), path)
     sinks.write_json_array(spark, path, array)
-    return spark.read.option("multiLine", True).json(array).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.sum("id").cast("long").alias("total"))
+    return sinks.read_json_array(spark, array, "id LONG, status STRING").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.sum("id").cast("long").alias("total"))
 
 
 @registered("context_file", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS row_count, {len(_COLUMNS[t])} AS columns FROM {t}" for t in SMALL))

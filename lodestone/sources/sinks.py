@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.report import category, error_counts, summary
+from .commits import write_array_parts
 
 
 def write_predictions(records: DataFrame, path: str) -> None:
@@ -31,22 +32,15 @@ def unfinished(records: DataFrame, path: str) -> DataFrame:
 
 
 def write_json_array(spark: SparkSession, path: str, target: str) -> None:
-    """The JSON lines at path as one valid JSON array, a record on each line. A run's records are a benchmark's list, so one task writes them."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").coalesce(1)
-
-    def listed(batches):
-        import pyarrow as pa
-
-        last = None
-        yield pa.RecordBatch.from_arrays([pa.array(["["])], names=["value"])
-        for batch in batches:
-            values = batch.column("value").to_pylist()
-            out = [f"{x}," for x in ([last] if last is not None else []) + values[:-1]] if values else []
-            last = values[-1] if values else last
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-        yield pa.RecordBatch.from_arrays([pa.array([x for x in (last, "]") if x is not None])], names=["value"])
-
-    lines.mapInArrow(listed, "value string").write.mode("overwrite").text(target)
+    """The JSON lines at path as one valid JSON array, a record on each line: the contents of target's files in the order of their names."""
+    write_array_parts(spark.read.text(path).filter(F.trim("value") != ""), target)
+
+
+def read_json_array(spark: SparkSession, target: str, schema: str) -> DataFrame:
+    """The records of an array that write_json_array() wrote, each line by itself, so the array need not fit into a task; a line that
+    is no record is an error."""
+    lines = spark.read.text(target).filter("value NOT IN ('[', ']')").select(F.regexp_replace("value", "^,", "").alias("value"))
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def write_classified(verdicts: DataFrame, path: str) -> None:

@@ -2,12 +2,13 @@
 
 import json
 import threading
+from collections import Counter
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.sources import commits
+from lodestone.sources import commits, sinks
 from lodestone.sources.commits import RecordFolder, write_array_parts
 
 SCHEMA = "id long, text string"
@@ -93,3 +94,24 @@ def test_arrays_of_many_tasks(spark, tmp_path, n, parts):
     got = json.loads("".join(f.read_text() for f in files))
     assert sorted(r["id"] for r in got) == list(range(n))
     assert n < 100 or sum(f.stat().st_size > 0 for f in files) > 2
+
+
+def test_a_run_becomes_an_array_by_many_tasks(spark, tmp_path):
+    path, target = str(tmp_path / "records"), tmp_path / "array"
+    sinks.append_records(frame(spark, range(0, 400, 2)), path)
+    sinks.append_records(sinks.unfinished(frame(spark, range(400)), path), path)
+    sinks.write_json_array(spark, path, str(target))
+    files = sorted(target.glob("part-*.txt"))
+    assert len(files) > 1 and max(f.stat().st_size for f in files) < 0.6 * sum(f.stat().st_size for f in files)
+    assert sorted(r["id"] for r in json.loads("".join(f.read_text() for f in files))) == list(range(400))
+    assert Counter(sinks.read_json_array(spark, str(target), SCHEMA).collect()) == Counter(frame(spark, range(400)).collect())
+    (target / "part-99999.txt").write_text(",{broken\n")
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        sinks.read_json_array(spark, str(target), SCHEMA).collect()
+
+
+def test_no_records_are_an_empty_array(spark, tmp_path):
+    (tmp_path / "records").mkdir()
+    sinks.write_json_array(spark, str(tmp_path / "records"), str(tmp_path / "array"))
+    assert json.loads("".join(f.read_text() for f in sorted((tmp_path / "array").glob("part-*.txt")))) == []
+    assert sinks.read_json_array(spark, str(tmp_path / "array"), SCHEMA).count() == 0
