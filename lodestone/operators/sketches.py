@@ -80,6 +80,29 @@ def merged(state: DataFrame) -> DataFrame:
     )
 
 
+def ranks_hold(df: DataFrame, estimates: dict[str, float], share: float, error: float) -> DataFrame:
+    """(column_name, holds): whether a value of each numeric column, such as an estimated quantile, lies between the exact quantiles
+    share - error and share + error, as F.percentile gives them. Values below it are counted, so no column is sorted or gathered."""
+    if not estimates:
+        return df.sparkSession.createDataFrame([], "column_name string, holds boolean")
+    sums = []
+    for i, (name, estimate) in enumerate(estimates.items()):
+        x, value = ticked(name).cast("double"), F.lit(float(estimate))
+        sums += [F.count(x).alias(f"n{i}"), F.count_if(x < value).alias(f"less{i}"), F.count_if(x <= value).alias(f"upto{i}"), F.max(F.when(x < value, x)).alias(f"under{i}"), F.min(F.when(x > value, x)).alias(f"over{i}")]
+    one = df.agg(*sums)
+
+    def quantile(i: int, q: float) -> Column:
+        """The quantile, if both values beside its place are the estimate or next to it; else some value on the same side."""
+        place = F.lit(q) * (F.col(f"n{i}") - 1)
+        value = F.lit(float(list(estimates.values())[i]))
+        at = lambda k: F.when(k < F.col(f"less{i}"), F.col(f"under{i}")).when(k < F.col(f"upto{i}"), value).otherwise(F.col(f"over{i}"))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        return low + (high - low) * (place - F.floor(place))
+
+    holds = [F.struct(F.lit(name).alias("column_name"), F.lit(float(v)).between(quantile(i, max(0.0, share - error)), quantile(i, min(1.0, share + error))).alias("holds")) for i, (name, v) in enumerate(estimates.items())]
+    return one.select(F.explode(F.array(*holds)).alias("h")).select("h.*")
+
+
 class ProfileStore:
     """Sketches of a database's files in a folder that Spark reaches, beside its context document. Each update writes one new part
     with the files that are new or have changed; an interrupted update leaves no part that counts."""

@@ -98,3 +98,23 @@ def test_counters_are_too_low_by_the_slack_at_most(spark):
         if r["value"] is not None:
             got[r["value"]] += r["n"]
     assert 0 < slack <= len(values) / 51 and all(true[v] - slack <= got[v] <= true[v] for v in true)
+
+
+@pytest.mark.parametrize("values", [[5], [1, 1, 1, 2], list(range(101)), [i % 7 for i in range(50)], [None, 3, 9, None, 4], [0.5 * i * i for i in range(30)]])
+def test_ranks_hold_as_percentiles_do(spark, values):
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double")
+    for share, error in ((0.5, 0.04), (0.5, 0.0), (0.1, 0.3), (0.9, 0.02)):
+        low, high = df.agg(F.percentile("x", max(0.0, share - error)), F.percentile("x", min(1.0, share + error))).first()
+        tried = sorted({float(v) for v in values if v is not None})
+        tried = tried[:: max(1, len(tried) // 6)] + [tried[0] - 1, tried[-1] + 1, (tried[0] + tried[-1]) / 2 + 0.01]
+        wide = df.select(*[F.col("x").alias(f"x{i}") for i in range(len(tried))])
+        got = {r["column_name"]: r["holds"] for r in sketches.ranks_hold(wide, {f"x{i}": v for i, v in enumerate(tried)}, share, error).collect()}
+        assert got == {f"x{i}": low <= v <= high for i, v in enumerate(tried)}, (share, error)
+
+
+def test_the_median_check_gathers_no_column(spark):
+    from lodestone.plans import registry
+
+    text = registry.QUERIES["merged_profile_orders"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in text
+    assert sketches.ranks_hold(spark.range(3), {}, 0.5, 0.1).count() == 0
