@@ -12,7 +12,7 @@ import math
 import os.path
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..sources.catalog import Catalog
 from ..sources.ddl import ForeignKey
@@ -91,13 +91,10 @@ def candidate_pairs(facts: list[Fact], keys: list[Fact]) -> list[tuple[Fact, Fac
 def _bitmaps(catalog: Catalog, columns: list[Fact], exact: bool) -> DataFrame | None:
     """(id, bucket, bits) of the sets of values of columns, by their places in the list: 32,768 places a row."""
     out = None
-    for table in sorted({f.table for f in columns}):
-        def place(f: Fact) -> Column:
-            x = ticked(f.column)
-            return x.cast("long") if exact else F.when(x.isNotNull(), F.shiftrightunsigned(F.xxhash64(x.cast("string")), 64 - FILTER_BITS))
-
-        pairs = [F.struct(F.lit(i).alias("id"), place(f).alias("v")) for i, f in enumerate(columns) if f.table == table]
-        rows = catalog.frames[table].select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("v IS NOT NULL")
+    for i, f in enumerate(columns):  # each column alone: those of few values are put together without sorting
+        x = ticked(f.column)
+        place = x.cast("long") if exact else F.shiftrightunsigned(F.xxhash64(x.cast("string")), 64 - FILTER_BITS)
+        rows = catalog.frames[f.table].filter(x.isNotNull()).select(F.lit(i).alias("id"), place.alias("v"))
         part = rows.groupBy("id", F.expr("bitmap_bucket_number(v)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(v))").alias("bits"))
         out = part if out is None else out.union(part)
     return out
@@ -174,9 +171,9 @@ def named_alike(catalog: Catalog, table: str, column: str, key_table: str, key:
     return own in of_table or own == other and table != key_table and own not in GENERIC
 
 
-def inferred_keys(catalog: Catalog, most_missing: float = 0.0) -> list[tuple[str, ForeignKey]]:
-    """(table, foreign key) for the inclusions whose names agree: for each column the key that it covers most, ties to the first
-    in the alphabet. Of two tables that include each other, the one later in the alphabet refers to the other."""
+def inferred_coverage(catalog: Catalog, most_missing: float = 0.0) -> list[tuple[str, ForeignKey, float]]:
+    """(table, foreign key, coverage) for the inclusions whose names agree: for each column the key that it covers most, ties to the
+    first in the alphabet. Of two tables that include each other, the one later in the alphabet refers to the other."""
     best: dict[tuple[str, str], tuple[float, str, str]] = {}
     rows = [tuple(r)[:4] + (r["coverage"],) for r in inclusions(catalog, most_missing).collect()]  # as many as pairs of columns
     pairs = {r[:4] for r in rows}
@@ -184,7 +181,12 @@ def inferred_keys(catalog: Catalog, most_missing: float = 0.0) -> list[tuple[str
         mutual = (key_table, key, table, column) in pairs and (table, column) < (key_table, key)
         if not mutual and named_alike(catalog, table, column, key_table, key):
             best[table, column] = min(best.get((table, column), (0.0, "~", "")), (-coverage, key_table, key))
-    return [(t, ForeignKey(c, key_table, key)) for (t, c), (_, key_table, key) in sorted(best.items())]
+    return [(t, ForeignKey(c, key_table, key), -covered) for (t, c), (covered, key_table, key) in sorted(best.items())]
+
+
+def inferred_keys(catalog: Catalog, most_missing: float = 0.0) -> list[tuple[str, ForeignKey]]:
+    """(table, foreign key) of inferred_coverage()."""
+    return [(t, fk) for t, fk, _ in inferred_coverage(catalog, most_missing)]
 
 
 def with_inferred_keys(catalog: Catalog, most_missing: float = 0.0) -> Catalog:

@@ -58,9 +58,8 @@ _FKS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{fk.column}' AS column_
 @registered("inferred_foreign_keys", f"{_sets_sql()} SELECT table_name, column_name, referenced_table, referenced_column, coverage FROM found JOIN ({_FKS}) USING (table_name, column_name, referenced_table, referenced_column) WHERE missing_count = 0")
 def inferred_foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The foreign keys that rows and names tell: those that are declared elsewhere, with the share of the keys that they use."""
-    tables = _plain(spark, sf_dir)
-    found = spark.createDataFrame([(t, fk.column, fk.referenced_table, fk.referenced_column) for t, fk in keys.inferred_keys(tables)], "table_name string, column_name string, referenced_table string, referenced_column string")
-    return found.join(keys.inclusions(tables), found.columns).select(*found.columns, "coverage")
+    found = keys.inferred_coverage(_plain(spark, sf_dir))
+    return spark.createDataFrame([(t, fk.column, fk.referenced_table, fk.referenced_column, covered) for t, fk, covered in found], "table_name string, column_name string, referenced_table string, referenced_column string, coverage double")
 
 
 @registered("orphans_of_inferred_keys", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{fk.column}' AS column_name, '{fk.referenced_table}' AS referenced_table, '{fk.referenced_column}' AS referenced_column, count(*) AS orphan_count FROM {t} c WHERE c.{fk.column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {fk.referenced_table} p WHERE p.{fk.referenced_column} = c.{fk.column})" for t in KEYS for fk in KEYS[t][1]))

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from lodestone.operators import graph, keys, profile
+from lodestone.plans import registry
 from lodestone.sources.catalog import KEYS, Catalog
 
 SF = "/root/testdata/sf0.001"
@@ -85,3 +86,12 @@ def test_all_declared_keys_are_found(spark):
 
 def test_no_tables(spark):
     assert keys.inclusions(Catalog(spark)).count() == 0 and keys.inferred_keys(catalog_of(spark, {"none": ("id long", [])})) == []
+
+
+def test_the_coverage_of_inferred_keys_takes_one_search(spark, shop, monkeypatch):
+    catalog, searches, search = catalog_of(spark, shop), [], keys.inclusions
+    of = {tuple(r)[:4]: r["coverage"] for r in search(catalog).collect()}
+    for t, fk, covered in keys.inferred_coverage(catalog):
+        assert covered == of[t, fk.column, fk.referenced_table, fk.referenced_column]
+    monkeypatch.setattr(keys, "inclusions", lambda *a: searches.append(a) or search(*a))
+    assert registry.QUERIES["inferred_foreign_keys"](spark, SF).count() > 0 and len(searches) == 1
